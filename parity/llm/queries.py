@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, topk, urls
+from . import bpe, packing, substrings, topk, urls
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -38,6 +38,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -48,6 +53,18 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ v AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+ m AS (SELECT h FROM v GROUP BY h HAVING count(*) > 1),
+ g AS (SELECT DISTINCT r, i + j AS p FROM v JOIN m USING (h), range(35) AS t(j)),
+ a AS (SELECT r, list(p) AS gone FROM g GROUP BY r),
+ k AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN a USING (r))
+SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), ' ')) AS kept_sha256
+FROM k
+"""
+
 OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -60,7 +77,11 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op7_bpe": op7_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_maxscore": op10_maxscore,
 }
-ORACLES: dict[str, str] = {"op10_maxscore": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op8_substring_dedup": OP8_SQL,
+    "op10_maxscore": OP10_SQL,
+}
