@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, packing, substrings, topk, toxicity, urls
+from . import bpe, chat, fingerprints, jaccard, packing, substrings, topk, toxicity, urls
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -37,6 +37,32 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+TOOLS: chat.Schema = {
+    "measure": {"chars": ("integer", True), "opening": ("string", False)},
+    "search": {"limit": ("number", False), "query": ("string", True)},
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations played as tool use: an assistant's turn is a call that follows the call of half its turn number, and the turn after
+    it is the call's result."""
+    call_id = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    n = F.length("text")
+    name = F.when(F.col("turn") % 4 == 1, "search").when(n % 11 == 0, "guess").otherwise("measure")
+    search = F.to_json(F.struct(F.substring("text", 1, 40).alias("query"), (n % 10 + 0.5).alias("limit")))
+    measure = F.to_json(F.struct(F.substring("text", 1, 20).alias("opening"), F.when(n % 7 > 0, n).alias("chars")))
+    after = F.when(F.col("turn") >= 2, F.array(call_id(F.floor(F.col("turn") / 2)))).otherwise(F.array().cast("array<string>"))
+    body = F.struct(call_id(F.col("turn")).alias("id"), name.alias("name"), F.parse_json(F.when(F.col("turn") % 4 == 1, search).otherwise(measure)).alias("arguments"), after.alias("after"))
+    calls = conversations.filter("role = 'assistant'").select("conv_id", "turn", "role", F.to_json(F.struct(body.alias("tool_call"))).alias("text"))
+    answer = F.struct(call_id(F.col("turn") - 1).alias("id"), F.substring("text", 1, 60).alias("content"))
+    results = conversations.filter("role = 'user'").select("conv_id", "turn", F.lit("tool").alias("role"), F.to_json(F.struct(answer.alias("tool_result"))).alias("text"))
+    return calls.unionByName(results)
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tool_calls(tool_messages(table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def held_out() -> Column:
     """Rows whose labels are not learned from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -86,6 +112,26 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
 """
 
+OP5_SQL = """
+WITH RECURSIVE c AS (SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, text, length(text) AS n,
+         CASE WHEN turn % 4 = 1 THEN 'search' WHEN length(text) % 11 = 0 THEN 'guess' ELSE 'measure' END AS name,
+         CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn // 2) END AS dep
+       FROM conversations WHERE role = 'assistant'),
+ r AS (SELECT 'c' || conv_id || '-' || (turn - 1) AS call_id, to_json(substr(text, 1, 60)) AS content FROM conversations WHERE role = 'user'),
+ l AS (SELECT call_id, 0 AS level FROM c WHERE dep IS NULL OR dep NOT IN (SELECT call_id FROM c)
+       UNION ALL SELECT c.call_id, l.level + 1 FROM l JOIN c ON c.dep = l.call_id),
+ a AS (SELECT c.*, l.level, r.content, dep IS NOT NULL AND dep NOT IN (SELECT call_id FROM c) AS lost,
+         CASE WHEN turn % 4 = 1 THEN '{"limit":' || (n % 10) || '.5,"query":' || to_json(substr(text, 1, 40)) || '}'
+              ELSE '{' || CASE WHEN n % 7 > 0 THEN '"chars":' || n || ',' ELSE '' END || '"opening":' || to_json(substr(text, 1, 20)) || '}' END AS args,
+         CASE WHEN name = 'measure' AND n % 7 = 0 THEN 'missing chars' ELSE '' END AS errors
+       FROM c JOIN l USING (call_id) LEFT JOIN r USING (call_id))
+SELECT conv_id, turn, call_id, name, level,
+       CASE WHEN name = 'guess' THEN 'unknown tool' WHEN errors <> '' THEN 'invalid arguments' WHEN lost THEN 'missing predecessor'
+            WHEN content IS NULL THEN 'no result' ELSE 'ok' END AS status,
+       errors, '{"arguments":' || args || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(content, 'null') || '}' AS record
+FROM a
+"""
+
 OP8_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
  v AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
@@ -111,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_tool_calls": op5_tool_calls,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_substring_dedup": op8_substring_dedup,
@@ -119,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_jaccard_join": OP3_SQL,
+    "op5_tool_calls": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op10_maxscore": OP10_SQL,
 }
