@@ -1,12 +1,14 @@
 """Exact n-gram Jaccard join with count vectors as points of an R-tree.
 
-A document is the set of its distinct word shingles (64-bit hashes).  Shingles are hashed into ``GROUPS`` groups and
-a set's group counts are its point; the summed coordinate minima of two points bound their overlap from above, and
-so do the minima with the upper corner of a node's box.
-
-Count vectors alone do not part large sets (their coordinates are all near n / GROUPS), so blocks come first: two sets
-that link share a shingle among the n - ceil(t n) + 1 smallest hashes of each.  A small block gives its few pairs; in a
-block of any size a one-pass insertion into boxes (leaf nodes) joins what the bound allows.  Sets that the bound
+A document is the set of its distinct word shingles (64-bit hashes).  Shingles are grouped by the upper bits of their
+hash and a set's group counts are its point; the summed coordinate minima of two points bound their overlap from
+above, and so do the minima with the upper corner of a node's box.
+
+Plain count vectors do not part large sets (their coordinates are all near n / GROUPS), so blocks come first: two sets
+that link share a shingle among the n - ceil(t n) + 1 smallest hashes of each, their prefix.  A prefix shingle that no
+other set's prefix holds adds nothing to any overlap, so the ``LOW`` first groups, which lie inside the prefix, become
+one coordinate that counts only shingles met in a block.  A small block gives its few pairs; in a
+block of any size a one-pass insertion into leaf nodes joins what the bound allows.  Sets that the bound
 connects form families; a family is packed in leaves of bounded size, leaf pairs whose boxes cannot hold a link are
 dropped, and the rest are verified exactly, skipping pairs that are already connected.
 """
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, components, mix, signed, text_slices, window_hashes, word_hashes, word_spans, written
 
 GROUPS = 64
+LOW = 12  # groups below the prefix's end (about a quarter of all) that are counted by blocks
 SMALL_BLOCK = 8  # blocks up to this size give their pairs one by one (28 at most)
-OPEN_BOXES = 2048  # boxes held open in a block; beyond, they melt into one box, which bounds nothing away
+NODE_ROWS = 32  # members of a node
+OPEN_NODES = 4096  # nodes held open in a block; beyond, they melt into one whose corner stands for its members, and nothing is lost
 LEAF_ROWS, LEAF_SHINGLES = 1024, 1 << 21
 SEEN_SETS = 200_000  # signatures kept per task to send a repeated set once
 
@@ -52,7 +56,11 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+
+
+def prefix(s: np.ndarray, percent: int) -> np.ndarray:
+    return s[: len(s) - -(-percent * len(s) // 100) + 1]
 
 
 def least_overlap(total: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -77,18 +85,22 @@ def _texts(docs: DataFrame, run: Callable[[pa.RecordBatch, int, int, list[np.nda
     return docs.mapInArrow(all_batches, schema)
 
 
-def _described(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, s1, s2, point) of every row."""
+def _described(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n, s1, s2, below, covered, point) of every row: below counts the shingles of the LOW first groups, covered
+    tells whether the prefix holds all of them."""
 
     def run(batch: pa.RecordBatch, a: int, b: int, sets: list[np.ndarray]) -> pa.RecordBatch:
         sigs = [signature(s) for s in sets]
+        below = [int(np.searchsorted(s, np.uint64(LOW << 58))) for s in sets]
+        covered = [c <= len(prefix(s, percent)) and c < len(s) for s, c in zip(sets, below, strict=True)]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sigs], pa.int64()),
-             pa.array([y for _, y in sigs], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary())],
-            names=["doc_id", "n", "s1", "s2", "point"],
+             pa.array([y for _, y in sigs], pa.int64()), pa.array(below, pa.int64()), pa.array(covered, pa.bool_()),
+             pa.array([point(s)[LOW:].tobytes() for s in sets], pa.binary())],
+            names=["doc_id", "n", "s1", "s2", "below", "covered", "point"],
         )
 
-    return _texts(docs, run, "doc_id long, n long, s1 long, s2 long, point binary", k)
+    return _texts(docs, run, "doc_id long, n long, s1 long, s2 long, below long, covered boolean, point binary", k)
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -106,7 +118,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(sid)
-                    rows.append(s[: len(s) - -(-percent * len(s) // 100) + 1])
+                    rows.append(prefix(s, percent))
                     sizes.append(len(s))
                     ids.append(sid)
                 if rows:
@@ -117,7 +129,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _blocks(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Rows (shingle, a, b): a pair of a small block (shingle null), or a member a of a larger one (b null).
+    """Rows (shingle, a, b, met): a pair of a small block (shingle null), a member a of a larger one (b null), or for a set
+    a how many of its shingles in the LOW first groups were met in blocks (both null).
 
     Prefixes lie sorted by (shingle, n, s1) in their partition; a block is a run and is never held whole.
     """
@@ -165,7 +178,14 @@ def _blocks(prefixes: DataFrame, percent: int) -> DataFrame:
             m = len(pairs)
             shingle = pa.array(np.concatenate([np.zeros(m, np.int64), key[at]]), mask=np.arange(m + len(at)) < m)
             other = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(at), np.int64)]), mask=np.arange(m + len(at)) >= m)
-            return pa.RecordBatch.from_arrays([shingle, pa.array(np.concatenate([pairs[:, 0], sid[at]])), other], names=["shingle", "a", "b"])
+            low = np.flatnonzero((key[:cut].view(np.uint64) < np.uint64(LOW << 58)) & (of_big | (np.repeat(size, size)[:cut] > 1)))
+            who, met = np.unique(sid[low], return_counts=True)
+            nothing = pa.nulls(len(who), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([shingle, nothing]), pa.array(np.concatenate([pairs[:, 0], sid[at], who])), pa.concat_arrays([other, nothing]),
+                 pa.concat_arrays([pa.nulls(m + len(at), pa.int64()), pa.array(met.astype(np.int64))])],
+                names=["shingle", "a", "b", "met"],
+            )
 
         for batch in batches:
             new = [np.asarray(batch.column(c)) for c in ("shingle", "n", "s1")]
@@ -177,69 +197,96 @@ def _blocks(prefixes: DataFrame, percent: int) -> DataFrame:
             yield out
 
     laid = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "s1")
-    return laid.mapInArrow(all_batches, "shingle long, a long, b long")
+    return laid.mapInArrow(all_batches, "shingle long, a long, b long, met long")
 
 
-def _points_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    col = batch.column(name)
-    return np.frombuffer(b"".join(col.to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+def _points_of(batch: pa.RecordBatch, low: str, rest: str) -> np.ndarray:
+    flat = np.frombuffer(b"".join(batch.column(rest).to_pylist()), dtype=np.int32).reshape(-1, GROUPS - LOW)
+    return np.concatenate([np.asarray(batch.column(low)).astype(np.int32)[:, None], flat], axis=1)
 
 
 def _bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs whose summed minima reach the least overlap."""
-    one = points.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    two = points.select(F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    one = points.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("point").alias("pa"))
+    two = points.select(F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("point").alias("pb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
-            bound = np.minimum(_points_of(batch, "pa"), _points_of(batch, "pb")).sum(axis=1)
+            bound = np.minimum(_points_of(batch, "la", "pa"), _points_of(batch, "lb", "pb")).sum(axis=1)
             yield batch.filter(pa.array(bound >= least_overlap(total, percent))).select(["a", "b"])
 
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
 class Boxes:
-    """Leaf nodes of one block, filled in order of n: upper corners, size ranges and one member each."""
+    """The leaf nodes of one block's tree, filled in order of n: up to ``NODE_ROWS`` members of one cluster each, with their upper
+    corner.  A node whose largest member is too small for what is to come closes."""
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
-        self.high = np.zeros((0, GROUPS), np.int32)
-        self.low_n = np.zeros(0, np.int64)
-        self.high_n = np.zeros(0, np.int64)
-        self.member: list[int] = []
-
-    def _merge(self, which: np.ndarray) -> list[tuple[int, int]]:
-        to, gone = which[0], which[1:]
-        if not len(gone):
-            return []
-        edges = [(self.member[to], self.member[i]) for i in gone]
-        self.high[to] = self.high[which].max(axis=0)
-        self.low_n[to], self.high_n[to] = self.low_n[which].min(), self.high_n[which].max()
-        self._keep(np.setdiff1d(np.arange(len(self.member)), gone))
-        return edges
+        self.corner = np.zeros((0, 1 + GROUPS - LOW), np.int32)
+        self.low_n, self.high_n, self.cluster = (np.zeros(0, np.int64) for _ in range(3))
+        self.points: list[np.ndarray | None] = []  # None: melted, its corner stands for all its members
+        self.sizes: list[list[int]] = []
+        self.members: list[list[int]] = []
 
     def _keep(self, at: np.ndarray) -> None:
-        self.high, self.low_n, self.high_n = self.high[at], self.low_n[at], self.high_n[at]
-        self.member = [self.member[i] for i in at]
+        self.corner, self.low_n, self.high_n, self.cluster = self.corner[at], self.low_n[at], self.high_n[at], self.cluster[at]
+        for name in ("points", "sizes", "members"):
+            old = getattr(self, name)
+            setattr(self, name, [old[i] for i in at])
+
+    def _melt(self) -> list[tuple[int, int]]:
+        edges = [(self.members[0][0], m[0]) for m in self.members[1:]]
+        corner, low, high = self.corner.max(axis=0), self.low_n.min(), self.high_n.max()
+        self._keep(np.array([0]))
+        self.corner[0], self.low_n[0], self.high_n[0], self.points[0] = corner, low, high, None
+        return edges
+
+    def _partner(self, node: int, n: int, p: np.ndarray) -> int | None:
+        if self.points[node] is None:
+            return self.members[node][0]
+        many = len(self.members[node])
+        bound = np.minimum(self.points[node][:many], p).sum(axis=1)
+        at = np.flatnonzero(bound >= least_overlap(np.array(self.sizes[node]) + n, self.percent))
+        return self.members[node][at[-1]] if len(at) else None
 
     def insert(self, sid: int, n: int, p: np.ndarray) -> list[tuple[int, int]]:
-        """Edges that connect the set with every box that may hold a partner of it."""
+        """Edges that connect the set with every cluster that holds a member which the bound allows."""
         near = 100 * self.high_n >= self.percent * n
         if not near.all():
             self._keep(np.flatnonzero(near))
         least = least_overlap(n + np.maximum(self.low_n, -(-self.percent * n // 100)), self.percent)
-        fits = np.flatnonzero(np.minimum(self.high, p).sum(axis=1) >= least)
-        if len(fits):
-            edges = [(self.member[fits[0]], sid)] + self._merge(fits)
-            to = fits[0]
-            np.maximum(self.high[to], p, out=self.high[to])
+        edges, joined = [], []
+        for node in np.flatnonzero(np.minimum(self.corner, p).sum(axis=1) >= least)[::-1].tolist():
+            if self.cluster[node] in joined:
+                continue
+            partner = self._partner(node, n, p)
+            if partner is not None:
+                edges.append((partner, sid))
+                joined.append(self.cluster[node])
+        own = joined[0] if joined else sid
+        for c in joined[1:]:
+            self.cluster[self.cluster == c] = own
+        last = np.flatnonzero(self.cluster == own)[-1:]
+        if len(last) and (self.points[last[0]] is None or len(self.members[last[0]]) < NODE_ROWS):
+            to = int(last[0])
+            if self.points[to] is not None:
+                self.points[to][len(self.members[to])] = p
+                self.members[to].append(sid)
+                self.sizes[to].append(n)
+            np.maximum(self.corner[to], p, out=self.corner[to])
             self.low_n[to], self.high_n[to] = min(self.low_n[to], n), max(self.high_n[to], n)
             return edges
-        self.high = np.concatenate([self.high, p[None]])
-        self.low_n, self.high_n = np.append(self.low_n, n), np.append(self.high_n, n)
-        self.member.append(sid)
-        return self._merge(np.arange(len(self.member))) if len(self.member) > OPEN_BOXES else []
+        room = np.zeros((NODE_ROWS, len(p)), np.int32)
+        room[0] = p
+        self.corner = np.concatenate([self.corner, p[None]])
+        self.low_n, self.high_n, self.cluster = np.append(self.low_n, n), np.append(self.high_n, n), np.append(self.cluster, own)
+        self.points.append(room)
+        self.sizes.append([n])
+        self.members.append([sid])
+        return edges + (self._melt() if len(self.members) > OPEN_NODES else [])
 
 
 def _block_edges(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -249,7 +296,7 @@ def _block_edges(members: DataFrame, points: DataFrame, percent: int) -> DataFra
         key, boxes = None, Boxes(percent)
         for batch in batches:
             edges: list[tuple[int, int]] = []
-            pts = _points_of(batch, "point")
+            pts = _points_of(batch, "low", "point")
             for i, (k, sid, n) in enumerate(zip(*(np.asarray(batch.column(c)).tolist() for c in ("shingle", "s1", "n")), strict=True)):
                 if k != key:
                     key, boxes = k, Boxes(percent)
@@ -257,12 +304,12 @@ def _block_edges(members: DataFrame, points: DataFrame, percent: int) -> DataFra
             pairs = np.unique(np.array(edges, np.int64).reshape(-1, 2), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    laid = members.join(points, "s1").select("shingle", "n", "s1", "point").repartition("shingle").sortWithinPartitions("shingle", "n", "s1")
+    laid = members.join(points, "s1").select("shingle", "n", "s1", "low", "point").repartition("shingle").sortWithinPartitions("shingle", "n", "s1")
     return laid.mapInArrow(run, "a long, b long")
 
 
 def _leaves(members: DataFrame) -> DataFrame:
-    """(family, leaf, rep, n, point): families packed, in order of size and point, in leaves of bounded size."""
+    """(family, leaf, rep, n, low, point): families packed, in order of size and point, in leaves of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
@@ -274,10 +321,10 @@ def _leaves(members: DataFrame) -> DataFrame:
                     leaf, rows, shingles, family = leaf + 1, 0, 0, f
                 rows, shingles = rows + 1, shingles + n
                 out.append(base + leaf)
-            yield pa.RecordBatch.from_arrays([batch.column("family"), pa.array(out, pa.int64()), *(batch.column(c) for c in ("rep", "n", "point"))], names=["family", "leaf", "rep", "n", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column("family"), pa.array(out, pa.int64()), *(batch.column(c) for c in ("rep", "n", "low", "point"))], names=["family", "leaf", "rep", "n", "low", "point"])
 
-    laid = members.select("family", "rep", "n", "point").repartitionByRange("family", "n", "point").sortWithinPartitions("family", "n", "point", "rep")
-    return laid.mapInArrow(run, "family long, leaf long, rep long, n long, point binary")
+    laid = members.select("family", "rep", "n", "low", "point").repartitionByRange("family", "n", "point").sortWithinPartitions("family", "n", "point", "rep")
+    return laid.mapInArrow(run, "family long, leaf long, rep long, n long, low long, point binary")
 
 
 def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
@@ -285,18 +332,18 @@ def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
     many = leaves.groupBy("family").agg(F.min("leaf").alias("x"), F.max("leaf").alias("y")).filter("x <> y").select("family")
 
     def box(pdf):
-        pts = np.frombuffer(b"".join(pdf["point"]), dtype=np.int32).reshape(-1, GROUPS)
-        return pdf.head(1)[["family", "leaf"]].assign(low=pdf["n"].min(), high=pdf["n"].max(), corner=[pts.max(axis=0).tobytes()])
+        pts = np.frombuffer(b"".join(pdf["point"]), dtype=np.int32).reshape(len(pdf), -1)
+        return pdf.head(1)[["family", "leaf"]].assign(least=pdf["n"].min(), most=pdf["n"].max(), low=pdf["low"].max(), corner=[pts.max(axis=0).tobytes()])
 
-    boxes = leaves.join(many, "family", "left_semi").groupBy("family", "leaf").applyInPandas(box, "family long, leaf long, low long, high long, corner binary")
+    boxes = leaves.join(many, "family", "left_semi").groupBy("family", "leaf").applyInPandas(box, "family long, leaf long, least long, most long, low long, corner binary")
     boxes = written(boxes, "boxes")
-    other = boxes.select("family", *(F.col(c).alias(c + "2") for c in ("leaf", "low", "high", "corner")))
-    near = (F.col("leaf") < F.col("leaf2")) & (100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low"))
+    other = boxes.select("family", *(F.col(c).alias(c + "2") for c in ("leaf", "least", "most", "low", "corner")))
+    near = (F.col("leaf") < F.col("leaf2")) & (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = np.asarray(batch.column("low")) + np.asarray(batch.column("low2"))
-            bound = np.minimum(_points_of(batch, "corner"), _points_of(batch, "corner2")).sum(axis=1)
+            total = np.asarray(batch.column("least")) + np.asarray(batch.column("least2"))
+            bound = np.minimum(_points_of(batch, "low", "corner"), _points_of(batch, "low2", "corner2")).sum(axis=1)
             yield batch.filter(pa.array(bound >= least_overlap(total, percent))).select(["leaf", "leaf2"]).rename_columns(["one", "two"])
 
     crossing = boxes.join(other, "family").filter(near).mapInArrow(run, "one long, two long")
@@ -385,12 +432,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     of either reach both; an empty table gives no rows.  No link is lost at any size of block or family.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = written(_described(docs, k), "described")
-    sets = info.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"))
-    sets = written(sets, "sets")
-    points = sets.select("s1", F.col("n"), "point")
+    info = written(_described(docs, k, percent), "described")
     blocks = written(_blocks(_prefixes(docs, k, percent), percent), "blocks")
-    pairs = _bounded_pairs(blocks.filter("shingle is null").select("a", "b").distinct(), points, percent)
+    met = blocks.filter("met is not null").groupBy("a").agg(F.sum("met").alias("met")).withColumnRenamed("a", "s1")
+    sets = info.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("below", "covered", "point")))
+    low = F.when(F.col("covered"), F.coalesce("met", F.lit(0))).otherwise(F.col("below"))
+    sets = written(sets.join(met, "s1", "left").select("s1", "s2", "n", "rep", low.alias("low"), "point"), "sets")
+    points = sets.select("s1", "n", "low", "point")
+    pairs = _bounded_pairs(blocks.filter("b is not null").select("a", "b").distinct(), points, percent)
     inside = _block_edges(blocks.filter("shingle is not null").select("shingle", F.col("a").alias("s1")), points, percent)
     families = components(pairs.unionByName(inside), "families").select(F.col("id").alias("s1"), F.col("component").alias("family"))
     leaves = written(_leaves(sets.join(families, "s1")), "leaves")
