@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, packing, substrings, topk, toxicity, urls
+from . import bpe, chat, fingerprints, jaccard, packing, secrets, substrings, topk, toxicity, urls
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -37,6 +37,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "secret")
+
+
 TOOLS: chat.Schema = {
     "measure": {"chars": ("integer", True), "opening": ("string", False)},
     "search": {"limit": ("number", False), "query": ("string", True)},
@@ -157,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_secret_scan": op4_secret_scan,
     "op5_tool_calls": op5_tool_calls,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,

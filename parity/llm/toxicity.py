@@ -157,14 +157,14 @@ def fit_bags(y: np.ndarray, document: np.ndarray, feature: np.ndarray, sentence:
     return Model(weights, bias)
 
 
-def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
-    """docs with ``score`` (0 to 1) and ``offending``: byte spans and scores of the sentences at or above ``cut``.
+def score(docs: DataFrame, model: Model, cut: float = 0.3, name: str = "score", spans_name: str = "offending") -> DataFrame:
+    """docs with a score (0 to 1) and the byte spans and scores of the sentences at or above ``cut``.
 
-    The null or empty text has no sentence and the score 0; repeated rows score alike.  Clashing columns of docs are replaced.
+    The null or empty text has no sentence and the score 0; repeated rows score alike.  Columns of docs with the new names are replaced.
     """
-    docs = docs.drop("score", "offending")
+    docs = docs.drop(name, spans_name)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
-    schema = with_fields(docs, ("score", "double"), ("offending", "array<struct<from:int,to:int,score:double>>"))
+    schema = with_fields(docs, (name, "double"), (spans_name, "array<struct<from:int,to:int,score:double>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
@@ -177,6 +177,6 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
                 spans = pa.StructArray.from_arrays([pa.array(g.start[bad].astype(np.int32)), pa.array(g.stop[bad].astype(np.int32)), pa.array(p[bad])], names=["from", "to", "score"])
                 at = np.searchsorted(g.document[bad], np.arange(b - a + 1)).astype(np.int32)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(doc, 0.0, 1.0)), pa.ListArray.from_arrays(pa.array(at), spans)], names=[*part.schema.names, "score", "offending"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(doc, 0.0, 1.0)), pa.ListArray.from_arrays(pa.array(at), spans)], names=[*part.schema.names, name, spans_name])
 
     return docs.mapInArrow(run, schema)
