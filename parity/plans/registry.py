@@ -1,4 +1,6 @@
-"""Registered queries of the library and their SQL."""
+"""All registered queries of the library and their SQL; importing a module of queries registers them."""
 
-QUERIES = {}
-ORACLES = {}
+from . import compare, relational  # noqa: F401
+from .common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
