@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import functools
 import json
-import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,18 +21,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import byte_chars, rare
+from .bpe import PERHAPS_RARE, byte_chars, rare
 from .common import parts, text_slices, with_fields, written
 
 # Fixed value: the published word pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 1
 CACHE_WORDS = 600_000
-CROWDED = re.compile(r"\s | \s|^ | $")  # a space beside white space or an end: not a safe place to split
 SWEEPS = 20  # of coordinate descent
 TRIPLES = 8  # combinations of three enumerated for a length
 
 
+class Crowded(Exception):
+    """A space stands beside white space or an end: not a safe place to split."""
+
+
+class Words(dict):
+    """Ids of the words that follow a single space, learned on first sight."""
+
+    def __init__(self, ids: Callable[[str], bytes]) -> None:
+        self.ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise Crowded
+        self[word] = out = self.ids(" " + word)
+        return out
+
+
 class ByteEncoder:
     """A byte-level BPE tokenizer file; words behind single spaces are encoded once and kept."""
 
@@ -44,24 +60,27 @@ class ByteEncoder:
         byte_of = {c: b for b, c in enumerate(byte_chars())}
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
+        self.known = Words(self.ids)
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
+    def ids(self, text: str) -> bytes:
+        """Ids of a text without special tokens; rare characters take the library itself."""
+        if not text.isascii() and PERHAPS_RARE.search(text) and rare().search(text):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers, equal to the library's."""
-        if any(s in text for s in self.special) or not text.isascii() and rare().search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if CROWDED.search(text):
-            return self._ids(text)
-        first, *units = text.split(" ")
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for u in set(units).difference(known):
-            known[u] = self._ids(" " + u)
-        return b"".join([self._ids(first), *map(known.__getitem__, units)])
+        if any(s in text for s in self.special):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        first, *words = text.split(" ")
+        if not words or not first or first[-1].isspace():
+            return self.ids(text)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        try:
+            return b"".join([self.ids(first), *map(self.known.__getitem__, words)])
+        except Crowded:
+            return self.ids(text)
 
 
 @functools.lru_cache(maxsize=2)
