@@ -46,8 +46,10 @@ def _windows(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, k1, k2): rows of equal id and text share a key, and a verdict."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """(doc_id, text, rest, k1, k2): rows of equal id and text share a key, and a verdict; rest holds the other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.lit(None).cast("int")
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", F.lit(1), "doc_id"))
 
 
@@ -96,13 +98,13 @@ def _candidates(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, k: int) -> DataFrame:
-    schema = with_fields(docs.select("doc_id"), ("n_words", "long"), ("n_removed", "long"), ("removed", "array<struct<from:int,to:int>>"), ("kept", "string"))
+    schema = with_fields(docs.select("doc_id", "rest"), ("n_words", "long"), ("n_removed", "long"), ("removed", "array<struct<from:int,to:int>>"), ("kept", "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("starts")
             ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-            ids = batch.column("doc_id")
+            ids, rest = batch.column("doc_id"), batch.column("rest")
             for a, b, buf, offs in text_slices(batch.column("text")):
                 starts, stops, first = word_spans(buf, offs)
                 many = np.diff(first)
@@ -137,8 +139,8 @@ def _cut(docs: DataFrame, k: int) -> DataFrame:
                 kept = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(out_offs.tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
                 removed = np.bincount(text[gone], minlength=b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(many.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.ListArray.from_arrays(pa.array(span_offs), spans), kept],
-                    names=["doc_id", "n_words", "n_removed", "removed", "kept"],
+                    [ids.slice(a, b - a), rest.slice(a, b - a), pa.array(many.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.ListArray.from_arrays(pa.array(span_offs), spans), kept],
+                    names=["doc_id", "rest", "n_words", "n_removed", "removed", "kept"],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -149,7 +151,7 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(doc_id, n_words, n_removed, removed, kept) for every row of docs (doc_id, text).
+    """(doc_id, n_words, n_removed, removed, kept, rest) for every row of docs (doc_id, text); rest holds docs' other columns.
 
     Words are runs without the six ASCII spaces, unchanged.  Every word covered by a window of ``window`` words that
     also starts anywhere else (the same document included) goes; ``removed`` lists the maximal intervals of word
@@ -159,7 +161,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     docs = _keyed(docs)
     anchors = _repeated(_anchors(docs, window), "anchor")
     listed = anchors.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))
-    again = _repeated(_candidates(docs.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "anchors"), window), "window")
+    # both joins read the same columns of docs, so that the texts are shuffled once
+    again = _repeated(_candidates(docs.join(listed, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "rest", "anchors"), window), "window")
     starts = again.groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
-    joined = docs.join(starts, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    joined = docs.join(starts, ["k1", "k2"], "left").select("doc_id", "text", "rest", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
     return _cut(joined, window)
