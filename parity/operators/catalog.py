@@ -43,8 +43,9 @@ def spark_type(spec: Mapping) -> T.DataType:
     return PLAIN[kind]
 
 
-def catalog_to_struct(catalog: Mapping[str, dict], table: str) -> T.StructType:
-    fields = [T.StructField(c["col_name"], spark_type(c["type"]), "NOT NULL" not in c.get("attribute", [])) for c in catalog[table]["cols"]]
+def catalog_to_struct(catalog: Mapping[str, dict], table: str, not_null: bool = True) -> T.StructType:
+    """The table's declared schema; not_null=False leaves NOT NULL marks to check_constraints."""
+    fields = [T.StructField(c["col_name"], spark_type(c["type"]), not (not_null and "NOT NULL" in c.get("attribute", []))) for c in catalog[table]["cols"]]
     return T.StructType(fields)
 
 
