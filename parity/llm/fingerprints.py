@@ -58,7 +58,7 @@ def _phrases(sym: np.ndarray, first: np.ndarray) -> np.ndarray:
     small = label.astype(np.int8)
     left, right = np.empty(n, np.int8), np.empty(n, np.int8)
     left[1:], right[:-1] = small[:-1], small[1:]
-    left[0], right[-1] = -1, -1
+    left[0], right[-1] = 99, 99
     left[head] = 99  # no local maximum beside a forced start
     right[:-1][head[1:]] = 99
     return np.flatnonzero(head | ((small > left) & (small >= right)))
