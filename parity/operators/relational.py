@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import family
+from .corpus import shared_folder
 
 def _filler(kind: T.DataType, typed_null: bool) -> Column:
     """What stands for a missing column: a typed null, or 0.0 for numbers, 2025-05-30 for times and null else."""
@@ -135,15 +136,24 @@ def merge_queries(a: DataFrame, b: DataFrame, catalog: Mapping[str, dict], names
     return fk_join(a, b, catalog, names, how) if _keys_between(*names, catalog, ()) else union_all_aligned(a, b)
 
 
-def hierarchy_levels(df: DataFrame, id_col: str, parent_col: str, view: str | None = None) -> DataFrame:
-    """(id, level) from the roots (null parent) down parent links: a recursive CTE."""
-    view = view or f"links_{hashlib.md5(repr((id_col, parent_col)).encode()).hexdigest()[:8]}"
-    df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).createOrReplaceTempView(view)
-    return df.sparkSession.sql(f"""
-        WITH RECURSIVE tree(id, level) AS (
-          SELECT id, 0 FROM {view} WHERE parent IS NULL
-          UNION ALL SELECT c.id, t.level + 1 FROM tree t JOIN {view} c ON c.parent = t.id)
-        SELECT id, level FROM tree""")
+def hierarchy_levels(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(id, level) from the roots (null parent) down parent links; rows below no root are left out.
+
+    Spark's recursive CTE stops at a million rows, so each level is one join with the links, written to the shared folder:
+    as many rounds as the tree is deep.
+    """
+    spark = df.sparkSession
+    base = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
+    links = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
+    front, level = links.filter("parent is null").select("id", F.lit(0).alias("level")), 0
+    while True:
+        front.write.parquet(f"{base}/level={level}")
+        front = spark.read.schema(front.schema).parquet(f"{base}/level={level}")
+        if front.isEmpty():
+            break
+        level += 1
+        front = links.join(front.select(F.col("id").alias("parent")), "parent").select("id", F.lit(level).alias("level"))
+    return spark.read.schema(front.schema).parquet(*(f"{base}/level={i}" for i in range(level + 1)))
 
 
 def order_by_dialect(specs: Sequence[tuple], dialect: str) -> list[Column]:
