@@ -26,8 +26,8 @@ TOSSES = 4  # 2^64 names -> 128 -> 14 -> 8 -> 6 labels
 RANGE_ROWS = 1000  # documents of one range of ids
 
 
-def _collapse(sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One symbol for each run of equal symbols of a document."""
+def _collapse(sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One symbol for each run of equal symbols of a document, the number of each document's first, and where runs begin and how long they are."""
     edge = np.ones(len(sym), dtype=bool)
     edge[1:] = sym[1:] != sym[:-1]
     edge[first[:-1][np.diff(first) > 0]] = True
@@ -36,7 +36,7 @@ def _collapse(sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out = sym[at]
     long = many > 1
     out[long] = mix(out[long] + np.uint64(0x632BE59BD9B4E019) * many[long].astype(np.uint64))
-    return out, np.searchsorted(at, first)
+    return out, np.searchsorted(at, first), at, many
 
 
 def _phrases(sym: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -65,23 +65,34 @@ def _phrases(sym: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def parse(buf: np.ndarray, offs: np.ndarray, level: int = LEVEL) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the level's phrases of each document and the number of each one's first."""
+    """Names of the level's phrases of all documents and the document of each.
+
+    A run of equal symbols is one symbol and would be one name, however long; it also gives its symbol's name once for every
+    phrase's worth of it, so that repetitive texts keep their weight.
+    """
     sym, first = mix(np.arange(1, 257, dtype=np.uint64))[buf], offs
+    names, owners = [], []
     for k in range(level):
         if not len(sym):
             break
-        sym, first = _collapse(sym, first)
+        worth = 3 ** (level - k)
+        whole, before = sym, first
+        sym, first, at, many = _collapse(sym, first)
+        long = many >= 2 * worth
+        names.append(np.repeat(mix(whole[at[long]] + np.uint64(0x9FB21C651E98DF25)), many[long] // worth))
+        owners.append(np.repeat(np.searchsorted(before, at[long], side="right") - 1, many[long] // worth))
         starts = _phrases(sym, first)
         ends = np.append(starts[1:], len(sym))
         sym = span_hash(sym, starts, ends, WORD_POWERS) + np.uint64(k)
         first = np.searchsorted(starts, first)
-    return sym, first
+    names.append(sym)
+    owners.append(np.repeat(np.arange(len(offs) - 1), np.diff(first)))
+    return np.concatenate(names), np.concatenate(owners).astype(np.uint64)
 
 
 def sketches(buf: np.ndarray, offs: np.ndarray, level: int = LEVEL) -> list[np.ndarray]:
     """The smallest ``SKETCH`` 32-bit names of each document's phrases, sorted; the i-th time a phrase occurs has a name of its own."""
-    names, first = parse(buf, offs, level)
-    doc = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(first))
+    names, doc = parse(buf, offs, level)
     order = np.lexsort((names, doc))
     names, doc = names[order], doc[order]
     fresh = np.ones(len(names), dtype=bool)
