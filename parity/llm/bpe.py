@@ -49,6 +49,7 @@ def rare() -> re.Pattern:
 
 
 CONTROLS = re.compile("[\x1c-\x1f]")
+PERHAPS_RARE = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")  # all below is known
 SPACES = re.compile("[^\\S\x1c-\x1f]+")
 
 
@@ -84,7 +85,7 @@ class MergeTable:
     def split_word(self, unit: str) -> list[bytes]:
         """The words of a run without white space, normalised; rare characters take the library's own splitter."""
         if not unit.isascii() or CONTROLS.search(unit):
-            if rare().search(unit):
+            if PERHAPS_RARE.search(unit) and rare().search(unit):
                 clean = self.library.normalizer.normalize_str(unit)
                 return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
             unit = unicodedata.normalize("NFC", unit)
@@ -147,10 +148,6 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
 
     def _learn(self, units: list[str]) -> None:
-        if len(self.units) > CACHE_WORDS:
-            self.units.clear()
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         split = [self.table.split_word(u) for u in units]
         fresh = list({w for ws in split for w in ws if w not in self.words})
         if fresh:
@@ -165,12 +162,12 @@ class Encoder:
         cut = self.table.cut
         pieces = [cut.split(t) if cut is not None and "<|" in t else [t] for t in texts]
         split = [[p if i % 2 else [u for u in SPACES.split(p) if u] if CONTROLS.search(p) else p.split() for i, p in enumerate(ps)] for ps in pieces]
+        for cache in (self.units, self.words):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
         missing = list({u for ps in split for p in ps if isinstance(p, list) for u in p if u not in self.units})
         if missing:
             self._learn(missing)
-            missed = [u for ps in split for p in ps if isinstance(p, list) for u in p if u not in self.units]
-            if missed:  # the cache was emptied meanwhile
-                self._learn(list(set(missed)))
         known, special = self.units, self.table.special
         return [b"".join([b"".join([known[u] for u in p]) if isinstance(p, list) else special[p].to_bytes(4, "little") for p in ps]) for ps in split]
 
