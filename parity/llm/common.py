@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20  # text handled at once by a numpy pass; a longer document is one slice of its own
+SLICE_BYTES = 1 << 19  # text handled at once by a numpy pass; a longer document is one slice of its own
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -20,9 +20,10 @@ from .common import BYTE_POWERS, LOWER, span_hash, text_slices, with_fields
 
 BITS = 18  # features are hashed into 2^18 weights: 1 MB when broadcast
 BEGINNINGS = (3, 4, 5)  # bytes of a longer word's beginning
-MOST_LABELLED = 8000
+MOST_LABELLED = 6000
 EVIDENCE = 12.0  # a feature whose likelihood ratio against the labels is lower gets no weight
 ROUNDS, RATE, DECAY = 200, 0.05, 1e-4
+LEAST_BIAS = -10.5  # a plain sentence's log odds; lower would let a single mark of toxicity in a short text go unseen
 
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -99,22 +100,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     rows = rows.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "toxic").limit(most).select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, features, sizes = [], [], []
         for batch in batches:
+            y += batch.column("toxic").to_pylist()
             for a, b, buf, offs in text_slices(batch.column("text")):
                 g = bags(buf, offs)
-                feats = np.split(g.feature, np.searchsorted(g.sentence, np.arange(1, len(g.document))))
+                many = np.bincount(g.sentence, minlength=len(g.document)).astype(np.int32)
                 sents = np.searchsorted(g.document, np.arange(b - a + 1))
-                lists = [[feats[j].astype("<i4").tobytes() for j in range(sents[i], sents[i + 1])] for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), pa.array(lists, pa.list_(pa.binary()))], names=["toxic", "sentences"])
+                ends = np.concatenate([[0], np.cumsum(many)])[sents]
+                feats = g.feature.astype(np.int32)
+                features += [feats[ends[i] : ends[i + 1]].copy() for i in range(b - a)]
+                sizes += [many[sents[i] : sents[i + 1]].copy() for i in range(b - a)]
+        model = fit_bags(np.array(y, dtype=np.float64), features, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
-    got = rows.mapInArrow(run, "toxic int, sentences array<binary>").toArrow()
-    y = np.asarray(got.column("toxic"), dtype=np.float64)
-    lists = got.column("sentences").to_pylist()
-    document = np.repeat(np.arange(len(y)), [len(s) for s in lists]).astype(np.int64)
-    flat = [s for x in lists for s in x]
-    feature = np.frombuffer(b"".join(flat), dtype="<i4").astype(np.int64)
-    sentence = np.repeat(np.arange(len(flat)), [len(s) // 4 for s in flat])
-    return fit_bags(y, document, feature, sentence, len(flat))
+    # the bounded sample is one task's work; only the weights (1 MB) come back
+    got = rows.coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(got["weights"], dtype="<f4"), got["bias"]) if got else fit_bags(np.zeros(0), [], [])
 
 
 def _evidence(bad: np.ndarray, good: np.ndarray, all_bad: float, all_good: float) -> np.ndarray:
@@ -124,19 +126,28 @@ def _evidence(bad: np.ndarray, good: np.ndarray, all_bad: float, all_good: float
     return 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0.0) for seen, due in cells)
 
 
-def fit_bags(y: np.ndarray, document: np.ndarray, feature: np.ndarray, sentence: np.ndarray, sentences: int) -> Model:
+def fit_bags(y: np.ndarray, features: list[np.ndarray], sizes: list[np.ndarray]) -> Model:
+    """features: of all sentences of a document; sizes: how many belong to each of its sentences."""
     weights = np.zeros(1 << BITS)
     rate = float(y.mean()) if len(y) else 0.0
-    if not 0 < rate < 1 or not len(feature):
+    sentences = sum(map(len, sizes))
+    if not 0 < rate < 1 or not sentences:
         return Model(weights, float(np.log((rate + 1e-3) / (1 - rate + 1e-3)) if len(y) else -6.0))
-    pairs = np.unique(document[sentence] << BITS | feature)
-    bad = np.bincount(pairs & ((1 << BITS) - 1), weights=y[pairs >> BITS], minlength=1 << BITS)
-    good = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) - bad
+    counts = np.zeros((2, 1 << BITS))
+    for label, f in zip(y, features, strict=True):
+        counts[int(label), np.unique(f)] += 1
+    good, bad = counts
     lift = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / (len(y) - y.sum() + 1))
     use = _evidence(bad, good, float(y.sum()), float(len(y) - y.sum())) >= EVIDENCE
-    keep = use[feature]
-    feature, sentence = feature[keep], sentence[keep]
-    kinds, feature = np.unique(feature, return_inverse=True)
+    document = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
+    kept, of, base = [], [], 0
+    for f, s in zip(features, sizes, strict=True):
+        at = use[f]
+        kept.append(f[at])
+        of.append((np.repeat(np.arange(len(s)), s) + base)[at])
+        base += len(s)
+    kinds, feature = np.unique(np.concatenate(kept), return_inverse=True)
+    sentence = np.concatenate(of)
     scale = lift[kinds]  # a weight is a share of its feature's log odds
     w, bias = np.full(len(kinds), 0.5), float(np.log(rate / max(1.0, sentences / len(y)) * 0.1))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -152,7 +163,7 @@ def fit_bags(y: np.ndarray, document: np.ndarray, feature: np.ndarray, sentence:
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.999**t
         w -= RATE * (m / a) / (np.sqrt(v / b) + 1e-8)
-        bias -= RATE * (mb / a) / (np.sqrt(vb / b) + 1e-8)
+        bias = max(bias - RATE * (mb / a) / (np.sqrt(vb / b) + 1e-8), LEAST_BIAS)
     weights[kinds] = w * scale
     return Model(weights, bias)
 
