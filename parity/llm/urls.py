@@ -65,17 +65,28 @@ def gram_codes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return code, first
 
 
-def _witten_bell(counts: np.ndarray) -> np.ndarray:
-    c = counts.reshape((SYMBOLS,) * (ORDER + 1)).astype(np.float64)
+def _witten_bell(counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Probabilities of the cells: order k falls back on order k - 1 with the weight of the different symbols that ``seen`` has after
+    the context, the last order on all symbols alike."""
+    shape = (SYMBOLS,) * (ORDER + 1)
+    c, known = counts.reshape(shape).astype(np.float64), seen.reshape(shape)
     prob = np.full(SYMBOLS, 1.0 / SYMBOLS)
     for k in range(ORDER + 1):
-        own = c.sum(axis=tuple(range(ORDER - k))) if k < ORDER else c
-        total = own.sum(-1, keepdims=True)
-        kinds = (own > 0).sum(-1, keepdims=True)
-        prob = np.where(total > 0, (own + kinds * prob) / np.maximum(total + kinds, 1), prob)
+        outer = tuple(range(ORDER - k))
+        own = c.sum(axis=outer)
+        kinds = (known.sum(axis=outer) > 0).sum(-1, keepdims=True)
+        prob = np.where(kinds > 0, (own + kinds * prob) / np.maximum(own.sum(-1, keepdims=True) + kinds, 1), prob)
     return prob.reshape(-1)
 
 
+def log_ratio(accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each cell.  Both sets weigh the same and share their fall-back weights: else the larger one would
+    give less to what neither has seen, and a url from elsewhere would count against it."""
+    both = (accepted.sum() + rejected.sum()) / 2
+    models = [_witten_bell(c * (both / c.sum()), accepted + rejected) for c in (accepted, rejected)]
+    return (np.log(models[0]) - np.log(models[1])).astype(np.float32)
+
+
 class RatioModel:
     """Log-likelihood ratios of the cells, and the calibrated threshold."""
 
@@ -125,7 +136,7 @@ def train(labelled: DataFrame) -> RatioModel:
     dense[counts["kind"], counts["cell"]] = counts["n"]
     if not dense.any(axis=1).all():
         return RatioModel(np.zeros(CELLS, dtype=np.float32), float("-inf"))
-    ratio = (np.log(_witten_bell(dense[1])) - np.log(_witten_bell(dense[0]))).astype(np.float32)
+    ratio = log_ratio(dense[1], dense[0])
     held = _scored(labelled.filter("fold = 0").select("text", "accepted"), ratio, "text")
     bins = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) / BIN).cast("long")
     hist = held.groupBy("accepted", bins.alias("bin")).count().toPandas()
