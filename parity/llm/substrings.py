@@ -53,7 +53,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", F.lit(1), "doc_id"))
 
 
+def _runs(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (owner, key), where each pair's run starts in it and how long it is."""
+    order = np.lexsort((key, owner))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    first = np.flatnonzero(fresh)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
 def _anchors(docs: DataFrame, k: int) -> DataFrame:
+    """(anchor, k1, k2, times): one row for each document and anchor in it, so that a repetitive document makes no key hot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = np.asarray(batch.column("k1")), np.asarray(batch.column("k2"))
@@ -68,19 +79,21 @@ def _anchors(docs: DataFrame, k: int) -> DataFrame:
                 at = np.flatnonzero((seen == grams) & (seen > 0))
                 # the text of a gram is that of any whole window around it
                 owner = _sliding(np.concatenate([np.full(width - 1, -1), text, np.full(width - 1, -1)]), width, np.maximum)[at] + a
-                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[at])), pa.array(k1[owner]), pa.array(k2[owner])], names=["anchor", "k1", "k2"])
+                order, first, times = _runs(owner, grams[at])
+                key, owner = grams[at][order][first], owner[order][first]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(k1[owner]), pa.array(k2[owner]), pa.array(times)], names=["anchor", "k1", "k2", "times"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "anchor long, k1 long, k2 long")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "anchor long, k1 long, k2 long, times long")
 
 
 def _candidates(docs: DataFrame, k: int) -> DataFrame:
-    """(window, k1, k2, start) of the windows whose anchor is in the row's list."""
+    """(window, k1, k2, times, starts) of the windows whose anchor is in the row's list, one row for each document and window in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = np.asarray(batch.column("k1")), np.asarray(batch.column("k2"))
-            lists = batch.column("anchors")
-            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+            known = batch.column("anchors")
+            ends, flat = np.asarray(known.offsets), np.asarray(known.values).view(np.uint64)
             for a, b, buf, offs in text_slices(batch.column("text")):
                 words, _, anchor, text, first = _windows(buf, offs, k)
                 if not len(anchor):
@@ -90,11 +103,14 @@ def _candidates(docs: DataFrame, k: int) -> DataFrame:
                     s = slice(first[i - a], max(first[i - a + 1] - k + 1, first[i - a]))
                     hit[s] = np.isin(anchor[s], flat[ends[i] : ends[i + 1]])
                 at = np.flatnonzero(hit & (text >= 0))
-                owner = text[at]
-                full = window_hashes(words, k)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(full)), pa.array(k1[owner + a]), pa.array(k2[owner + a]), pa.array((at - first[owner]).astype(np.int32))], names=["window", "k1", "k2", "start"])
+                full, owner = window_hashes(words, k)[at], text[at]
+                order, head, times = _runs(owner, full)
+                start = (at - first[owner]).astype(np.int32)[order]
+                full, owner = full[order][head], owner[order][head] + a
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(start))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(full)), pa.array(k1[owner]), pa.array(k2[owner]), pa.array(times), lists], names=["window", "k1", "k2", "times", "starts"])
 
-    return docs.mapInArrow(run, "window long, k1 long, k2 long, start int")
+    return docs.mapInArrow(run, "window long, k1 long, k2 long, times long, starts array<int>")
 
 
 def _cut(docs: DataFrame, k: int) -> DataFrame:
@@ -147,7 +163,7 @@ def _cut(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key))).filter("__n > 1").drop("__n")
+    return rows.withColumn("__n", F.sum("times").over(Window.partitionBy(key))).filter("__n > 1").drop("__n")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -163,6 +179,6 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     listed = anchors.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))
     # both joins read the same columns of docs, so that the texts are shuffled once
     again = _repeated(_candidates(docs.join(listed, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "rest", "anchors"), window), "window")
-    starts = again.groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
+    starts = again.groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     joined = docs.join(starts, ["k1", "k2"], "left").select("doc_id", "text", "rest", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
     return _cut(joined, window)
