@@ -6,8 +6,9 @@ above, and so do the minima with the upper corner of a node's box.
 
 Plain count vectors do not part large sets (their coordinates are all near n / GROUPS), so blocks come first: two sets
 that link share a shingle among the n - ceil(t n) + 1 smallest hashes of each, their prefix.  A prefix shingle that no
-other set's prefix holds adds nothing to any overlap, so the ``LOW`` first groups, which lie inside the prefix, become
-one coordinate that counts only shingles met in a block.  A small block gives its few pairs; in a
+other set's prefix holds adds nothing to any overlap, so the ``LOW`` first groups become one coordinate that counts only
+shingles met in a block; a set whose prefix ends inside them sends all of them to the blocks, so that what two
+sets share there is met by both.  A small block gives its few pairs; in a
 block of any size a one-pass insertion into leaf nodes joins what the bound allows.  Sets that the bound
 connects form families; a family is packed in leaves of bounded size, leaf pairs whose boxes cannot hold a link are
 dropped, and the rest are verified exactly, skipping pairs that are already connected.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, components, mix, signed, text_slices, window_hashes, word_hashes, word_spans, written
 
 GROUPS = 64
-LOW = 12  # groups below the prefix's end (about a quarter of all) that are counted by blocks
+LOW = 12  # groups, mostly below the prefix's end (about a quarter of all), that are counted by blocks
 SMALL_BLOCK = 8  # blocks up to this size give their pairs one by one (28 at most)
 NODE_ROWS = 32  # members of a node
 OPEN_NODES = 4096  # nodes held open in a block; beyond, they melt into one whose corner stands for its members, and nothing is lost
@@ -63,6 +64,11 @@ def prefix(s: np.ndarray, percent: int) -> np.ndarray:
     return s[: len(s) - -(-percent * len(s) // 100) + 1]
 
 
+def blocked(s: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles that a set sends to the blocks: its prefix and all of the LOW first groups."""
+    return s[: max(len(prefix(s, percent)), int(np.searchsorted(s, np.uint64(LOW << 58))))]
+
+
 def least_overlap(total: np.ndarray | int, percent: int) -> np.ndarray | int:
     """The smallest overlap of two sets of ``total`` elements together that reaches the similarity."""
     return -(-percent * total // (100 + percent))
@@ -85,26 +91,22 @@ def _texts(docs: DataFrame, run: Callable[[pa.RecordBatch, int, int, list[np.nda
     return docs.mapInArrow(all_batches, schema)
 
 
-def _described(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, below, covered, point) of every row: below counts the shingles of the LOW first groups, covered
-    tells whether the prefix holds all of them."""
+def _described(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, s1, s2, point) of every row: the point without the LOW first groups."""
 
     def run(batch: pa.RecordBatch, a: int, b: int, sets: list[np.ndarray]) -> pa.RecordBatch:
         sigs = [signature(s) for s in sets]
-        below = [int(np.searchsorted(s, np.uint64(LOW << 58))) for s in sets]
-        covered = [c <= len(prefix(s, percent)) and c < len(s) for s, c in zip(sets, below, strict=True)]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sigs], pa.int64()),
-             pa.array([y for _, y in sigs], pa.int64()), pa.array(below, pa.int64()), pa.array(covered, pa.bool_()),
-             pa.array([point(s)[LOW:].tobytes() for s in sets], pa.binary())],
-            names=["doc_id", "n", "s1", "s2", "below", "covered", "point"],
+             pa.array([y for _, y in sigs], pa.int64()), pa.array([point(s)[LOW:].tobytes() for s in sets], pa.binary())],
+            names=["doc_id", "n", "s1", "s2", "point"],
         )
 
-    return _texts(docs, run, "doc_id long, n long, s1 long, s2 long, below long, covered boolean, point binary", k)
+    return _texts(docs, run, "doc_id long, n long, s1 long, s2 long, point binary", k)
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(shingle, n, s1): each set's smallest hashes; a task sends a repeated set once."""
+    """(shingle, n, s1): each set's blocked hashes; a task sends a repeated set once."""
 
     def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -118,7 +120,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(sid)
-                    rows.append(prefix(s, percent))
+                    rows.append(blocked(s, percent))
                     sizes.append(len(s))
                     ids.append(sid)
                 if rows:
@@ -432,12 +434,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     of either reach both; an empty table gives no rows.  No link is lost at any size of block or family.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = written(_described(docs, k, percent), "described")
+    info = written(_described(docs, k), "described")
     blocks = written(_blocks(_prefixes(docs, k, percent), percent), "blocks")
     met = blocks.filter("met is not null").groupBy("a").agg(F.sum("met").alias("met")).withColumnRenamed("a", "s1")
-    sets = info.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("below", "covered", "point")))
-    low = F.when(F.col("covered"), F.coalesce("met", F.lit(0))).otherwise(F.col("below"))
-    sets = written(sets.join(met, "s1", "left").select("s1", "s2", "n", "rep", low.alias("low"), "point"), "sets")
+    sets = info.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"))
+    sets = written(sets.join(met, "s1", "left").select("s1", "s2", "n", "rep", F.coalesce("met", F.lit(0)).alias("low"), "point"), "sets")
     points = sets.select("s1", "n", "low", "point")
     pairs = _bounded_pairs(blocks.filter("b is not null").select("a", "b").distinct(), points, percent)
     inside = _block_edges(blocks.filter("shingle is not null").select("shingle", F.col("a").alias("s1")), points, percent)

@@ -110,6 +110,21 @@ def test_jaccard_against_all_pairs(spark):
     assert got == of
 
 
+def test_jaccard_of_short_texts_at_the_threshold(spark):
+    """Sets of 6 to 100 shingles and their parts just at and above 0.75: no link may be lost to the bound."""
+    draw, rows, linked = random.Random(11), [], {}
+    for i in range(3000):
+        n = draw.randint(6, 100)
+        words = [f"w{draw.getrandbits(40):x}" for _ in range(n + 4)]
+        part = min(n, -(-3 * n // 4) + draw.choice([-1, 0, 0, 0, 1, 2]))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: part + 4]))]
+        a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, words[: part + 4]))
+        linked[2 * i + 1] = 2 * i if 100 * len(a & b) >= 75 * len(a | b) else 2 * i + 1
+    got = by_id(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")), "component_id")
+    assert {i: got[i] for i in linked} == linked
+    assert all(got[2 * i] == 2 * i for i in range(3000))
+
+
 def test_open_nodes_melt(monkeypatch):
     monkeypatch.setattr(jaccard, "OPEN_NODES", 3)
     boxes, rng = jaccard.Boxes(75), np.random.default_rng(2)
