@@ -2,6 +2,8 @@
 
 A sentence's score is a logistic function of its distinct hashed features (whole words and word beginnings); a
 document's is the noisy-or of its sentences', so that training on document labels alone finds the offending ones.
+When documents are scored, the base rate (a sentence's score without any weighted feature) enters once for each document,
+and a sentence only by what it holds beyond that: length alone is no evidence.
 Only the text is an input.  The classifier is fitted on at most ``most`` labelled rows, drawn by a hash of
 their id; every document is scored whole.
 """
@@ -83,6 +85,14 @@ def _clean_log(p: np.ndarray, document: np.ndarray, many: int) -> np.ndarray:
     return np.bincount(document, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=many)
 
 
+def _document_scores(p: np.ndarray, document: np.ndarray, many: int, bias: float) -> np.ndarray:
+    """Noisy-or of the base rate, once for each document with a sentence, and of what its sentences hold beyond it."""
+    base = np.log1p(-min(1.0 / (1.0 + np.exp(-np.clip(bias, -30, 30))), 1 - 1e-9))
+    beyond = np.minimum(np.log1p(-np.minimum(p, 1 - 1e-9)) - base, 0.0)
+    some = np.bincount(document, minlength=many) > 0
+    return -np.expm1(np.bincount(document, weights=beyond, minlength=many) + np.where(some, base, 0.0)) + 0.0
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -90,7 +100,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """docs: (doc_id, text), labels: (doc_id, toxic 0/1).  Null labels are left out; without both labels every score is the base rate's.
+    """docs: (doc_id, text), labels: (doc_id, toxic 0/1).  Null labels are left out; without both labels every score is the base rate.
 
     The sample is drawn from the labels, so that it is small enough to broadcast (``most`` rows) and no text is shuffled.
     """
@@ -183,7 +193,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3, name: str = "score",
             for a, b, buf, offs in text_slices(batch.column("text")):
                 g = bags(buf, offs)
                 p = _sentence_scores(g.feature, g.sentence, len(g.document), weights, bias)
-                doc = -np.expm1(_clean_log(p, g.document, b - a)) + 0.0
+                doc = _document_scores(p, g.document, b - a, bias)
                 bad = np.flatnonzero(p >= cut)
                 spans = pa.StructArray.from_arrays([pa.array(g.start[bad].astype(np.int32)), pa.array(g.stop[bad].astype(np.int32)), pa.array(p[bad])], names=["from", "to", "score"])
                 at = np.searchsorted(g.document[bad], np.arange(b - a + 1)).astype(np.int32)

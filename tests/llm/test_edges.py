@@ -194,6 +194,20 @@ def test_toxicity(docs, none, spark):
     assert toxicity.score(texts, toxicity.fit(none, labels)).filter("score >= 0.3").count() == 0
 
 
+def test_toxicity_is_no_matter_of_length(spark):
+    rng = random.Random(8)
+    plain = lambda n: "\n".join(" ".join(rng.choices(VOCAB, k=8)) for _ in range(n))
+    texts = spark.createDataFrame([(i, plain(6) + (". you vileword there" if i % 4 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    long = plain(20_000)
+    kinds = spark.createDataFrame([(0, "one two three"), (1, long), (2, long + "\nyou vileword there"), (3, None), (4, "a line\n" * 20_000)], "doc_id long, text string")
+    got = by_id(toxicity.score(kinds, toxicity.fit(texts, labels)), "score")
+    assert max(got[0], got[1], got[4]) < 0.3 <= got[2] and got[3] == 0
+    for few, rate in ((labels.filter("toxic = 0"), 0.001), (labels.filter("false"), 0.0025)):
+        got = by_id(toxicity.score(kinds, toxicity.fit(texts, few)), "score")
+        assert got[0] == got[1] == got[2] == got[4] == pytest.approx(rate, rel=0.05) and got[3] == 0
+
+
 def test_bpe(docs, none):
     lib = Tokenizer.from_file(WORD)
     got = {r["doc_id"]: r for r in bpe.encode(docs.withColumn("ids", F.lit("clash")).drop("ids"), WORD, decoded="decoded").collect()}
