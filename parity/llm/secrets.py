@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame functions and Spark ML only.
 
-Candidates are the long runs of key characters in a text.  Their features: length, shares and transitions of character
+Candidates are the values of any length and characters that are assigned to a name with a keyword, and the long runs of key
+characters in a text.  Their features: length, shares and transitions of character
 classes, coverage by a dictionary of the corpus's own frequent words, signs of a path, and the neighbouring words.
 A forest fitted on labelled findings decides which candidates are secrets.
 """
@@ -13,17 +14,25 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATE = "[A-Za-z0-9+/_=\\-]{16,}"
 CONTEXT = 40  # code points kept on each side
 DICTIONARY_WORDS = 256  # the proven bound of the broadcast dictionary
 MOST_LABELLED = 20_000  # labelled findings that the forest is fitted on, drawn by hash
 TREES, DEPTH, SEED = 20, 6, 7
 
 # Words that announce a credential, and signs of a path or an address.
-KEYWORDS = "(?i)(secret|token|passw|passwd|pwd|api|apikey|key|auth|bearer|credential|private|access)"
+WORDS = "secret|token|passw|passwd|pwd|api|apikey|key|auth|bearer|credential|private|access"
+KEYWORDS = f"(?i)({WORDS})"
+ASSIGNS = "(?:=>|:=|[=:])"
 PATHS = "(://|www\\.|\\.[a-z]{2,4}/|[a-z0-9]/[a-z0-9])"
 
-FEATURES = ["length", "digits", "uppers", "lowers", "marks", "turns", "vowels", "kinds", "hexadecimal", "covered", "path", "keyword", "assigned", "quoted"]
+# A name with a keyword and its assigned value (quoted: up to the quote; else up to a space, a quote or the next parameter of a
+# url), or a run of key characters.
+NAMED = f"(?<![A-Za-z0-9_\\-])[A-Za-z0-9_\\-]{{0,30}}?(?i:{WORDS})[A-Za-z0-9_\\-]{{0,20}}[\"'`]?\\s{{0,4}}{ASSIGNS}\\s{{0,4}}"
+VALUE = "(?:\"[^\"\\n]+(?=\")|'[^'\\n]+(?=')|`[^`\\n]+(?=`)|(?!=)(?:(?!&\\w+=)[^\\s\"'`])+)"
+CANDIDATE = f"{NAMED}{VALUE}|[A-Za-z0-9+/_=\\-]{{16,}}"
+LONG = 16  # code points from which a value is told apart from chance, wherever it stands
+
+FEATURES = ["length", "digits", "uppers", "lowers", "marks", "turns", "vowels", "kinds", "hexadecimal", "covered", "path", "path_near", "keyword", "assigned", "quoted"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -35,11 +44,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), pieces.alias("p"), found.alias("m")).filter(F.size("m") > 0)
     ends = F.transform("p", lambda x, i: F.length(x) + F.coalesce(F.length(F.get("m", i)), F.lit(0)))
     after = F.aggregate(ends, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))  # where each piece starts
+    name = lambda v: F.regexp_extract(v, f"^({NAMED}[\"'`]?)(?=[^=])", 1)
     placed = F.transform(
         "m",
         lambda v, i: F.struct(
-            (F.get("after", i) + F.length(F.get("p", i))).alias("start"), v.alias("value"),
-            F.right(F.get("p", i), F.lit(CONTEXT)).alias("before"), F.substring(F.get("p", i + 1), 1, CONTEXT).alias("after"),
+            (F.get("after", i) + F.length(F.get("p", i)) + F.length(name(v))).alias("start"), F.substr(v, F.length(name(v)) + 1).alias("value"),
+            F.right(F.concat(F.get("p", i), name(v)), F.lit(CONTEXT)).alias("before"), F.substring(F.get("p", i + 1), 1, CONTEXT).alias("after"),
         ),
     )
     rows = rows.withColumn("after", after)
@@ -60,7 +70,7 @@ def _share(value: Column, keep: str) -> Column:
 def featured(found: DataFrame, words: list[str]) -> DataFrame:
     """found with the columns FEATURES."""
     v, n = F.col("value"), F.length("value")
-    classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a"), "+/_=-", "-----")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a"), "(?s)[^0Aa]", "-")
     turns = n - F.length(F.regexp_replace(classes, "(.)\\1+", "$1"))  # letters that repeat their neighbour's class
     longest_first = sorted(words, key=lambda w: (-len(w), w))
     covered = 1 - F.length(F.regexp_replace(F.lower(v), "|".join(longest_first), "")) / n if words else F.lit(0.0)
@@ -68,25 +78,38 @@ def featured(found: DataFrame, words: list[str]) -> DataFrame:
     as_number = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return found.select(
         "*", n.cast("double").alias("length"), _share(v, "0-9").alias("digits"), _share(v, "A-Z").alias("uppers"), _share(v, "a-z").alias("lowers"),
-        _share(v, "+/_=\\-").alias("marks"), (1 - turns / n).alias("turns"), _share(v, "aeiouAEIOU").alias("vowels"),
+        (1 - _share(v, "0-9A-Za-z")).alias("marks"), (1 - turns / n).alias("turns"), _share(v, "aeiouAEIOU").alias("vowels"),
         (F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64))).alias("kinds"), as_number(v.rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("hexadecimal"),
-        covered.cast("double").alias("covered"), as_number(F.concat(near, v, F.col("after")).rlike(PATHS)).alias("path"),
-        as_number(near.rlike(KEYWORDS)).alias("keyword"), as_number(near.rlike("[=:]\\s*[\"'`]?$")).alias("assigned"),
+        covered.cast("double").alias("covered"), as_number(v.rlike(PATHS)).alias("path"), as_number(near.rlike(PATHS) | F.col("after").rlike(PATHS)).alias("path_near"),
+        as_number(near.rlike(KEYWORDS)).alias("keyword"), as_number(near.rlike(f"{ASSIGNS}\\s*[\"'`]?$")).alias("assigned"),
         as_number(near.rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).alias("quoted"),
     )
 
 
-def labelled_by_rules(found: DataFrame) -> DataFrame:
-    """Labelled findings (features, label) where nobody has labelled any: sure cases only, the doubtful are left out.
+def _mixed() -> Column:
+    return (F.col("digits") > 0.1) & (F.col("digits") < 0.95) & (F.col("covered") < 0.3) & (F.col("kinds") > 0.15)
+
+
+def _announced() -> Column:
+    return (F.col("assigned") > 0) & (F.col("keyword") > 0)
 
-    Secret: an announced or quoted value that is assigned and mixes digits and letters without dictionary words.  Not a
-    secret: no digit and no announcement, or mostly dictionary words, or five different characters at most, or a path.
+
+def labelled_by_rules(found: DataFrame, doubtful: bool = False) -> DataFrame:
+    """Labelled findings (features, label) where nobody has labelled any: sure cases only, the doubtful are left out
+    or have no label.
+
+    Secret: an announced or quoted value of six characters or more that is assigned, mixes digits and letters without
+    dictionary words and looks like no path, or changes between upper case, lower case and digits as no path does.  Not a
+    secret: no digit and no announcement, or mostly dictionary words, or a long value of five different characters at
+    most, or a path that is not announced and assigned.
     """
-    mixed = (F.col("digits") > 0.1) & (F.col("digits") < 0.95) & (F.col("covered") < 0.3) & (F.col("kinds") > 0.15)
-    secret = mixed & (F.col("assigned") > 0) & ((F.col("keyword") > 0) | (F.col("quoted") > 0)) & (F.col("path") == 0)
-    other = ((F.col("digits") == 0) & (F.col("keyword") == 0)) | (F.col("covered") > 0.5) | (F.col("kinds") * F.least("length", F.lit(64.0)) <= 5) | (F.col("path") > 0)
+    as_key = (F.col("uppers") > 0.1) & (F.col("lowers") > 0.1) & (F.col("turns") > 0.45)
+    secret = _mixed() & (F.col("length") >= 6) & (F.col("assigned") > 0) & ((F.col("keyword") > 0) | (F.col("quoted") > 0)) & ((F.col("path") == 0) | as_key)
+    few = (F.col("length") >= LONG) & (F.col("kinds") * F.least("length", F.lit(64.0)) <= 5)
+    other = ((F.col("digits") == 0) & (F.col("keyword") == 0)) | (F.col("covered") > 0.5) | few | ((F.col("path") > 0) & ~_announced())
     label = F.when(secret, 1).when(other, 0)
-    return found.withColumn("label", label).filter("label is not null")
+    found = found.withColumn("label", label)
+    return found if doubtful else found.filter("label is not null")
 
 
 def fit(labelled: DataFrame, most: int = MOST_LABELLED):
@@ -109,14 +132,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, k1, start, value, before, after, score, secret) of every candidate of docs (doc_id, text).
 
     labelled: findings with FEATURES, value, before and label; without it the sure cases of docs label themselves.  secret:
-    score >= 0.5.  If only one label is there, candidates score by the rules (1 for sure secrets).  Repeated rows give their
+    score >= 0.5.  If only one label is there, candidates score by the rules: 1 and 0 for the sure, of the
+    doubtful 0.5 for announced values that mix digits and letters, else 0.25.  Repeated rows give their
     findings each; null or empty texts and empty tables give none.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = featured(candidates(docs), dictionary(docs))
     model = fit(labelled if labelled is not None else labelled_by_rules(found))
     if model is None:
-        sure = labelled_by_rules(found).select("*", F.col("label").cast("double").alias("score"))
+        sure = labelled_by_rules(found, doubtful=True).withColumn("score", F.coalesce(F.col("label").cast("double"), F.when(_announced() & _mixed(), 0.5).otherwise(0.25)))
         return sure.select("doc_id", "k1", "start", "value", "before", "after", "score", (F.col("score") >= 0.5).alias("secret"))
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
     score = F.element_at(vector_to_array("probability"), 2)
@@ -124,10 +148,19 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret of its texts replaced by ``mark``; other rows and columns are untouched."""
-    found = scan(docs).filter("secret").groupBy(F.col("k1").alias("__key")).agg(F.collect_set("value").alias("__values"))
+    """docs with every secret of its texts replaced by ``mark``, a long one wherever it stands; other rows and columns are untouched."""
+    span = F.struct("start", F.length("value").alias("n"), "value")
+    found = scan(docs).filter("secret").groupBy(F.col("k1").alias("__key")).agg(F.array_sort(F.collect_set(span)).alias("__spans"))
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.col("text").cast("string")))
-    longest_first = F.array_sort("__values", lambda a, b: F.length(b) - F.length(a))
-    clean = F.aggregate(longest_first, F.col("text"), lambda text, v: F.replace(text, v, F.lit(mark)))
+    text = F.col("text").cast("string")
+    none = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    placed = F.aggregate(
+        "__spans", none,
+        lambda acc, s: F.struct(F.concat(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("done"), (s["start"] + s["n"]).alias("at")),
+        lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1)),
+    )
+    long = F.array_distinct(F.transform(F.filter("__spans", lambda s: s["n"] >= LONG), lambda s: s["value"]))
+    longest_first = F.array_sort(long, lambda a, b: F.length(b) - F.length(a))
+    clean = F.aggregate(longest_first, placed, lambda t, v: F.replace(t, v, F.lit(mark)))
     joined = keyed.join(found, "__key", "left")
     return joined.select(*(F.coalesce(clean, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))

@@ -155,6 +155,27 @@ def test_secrets(docs, none, spark):
 TOOLS = {"add": {"x": ("integer", True), "note": ("string", False)}}
 
 
+def test_secrets_of_every_form(spark):
+    draw = random.Random(5)
+    text = "".join
+    b64, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
+    rows = [(i, f'some words api_key = "{text(draw.choices(b64, k=40))}" and words') for i in range(100)]
+    rows += [(100 + i, f"see https://example.com/a/b/page{i}/{text(draw.choices(hexa, k=20))}/index for more words") for i in range(100)]
+    slashed = text(draw.choices(b64, k=18)) + "q7/x2k" + text(draw.choices(b64, k=18))
+    param, short = text(draw.choices(b64[:62], k=32)), "p4.s!w@9$k"
+    rows += [(200, f'secret_key = "{slashed}"'), (201, f"https://host/and/or?my_api_key={param}&page=2"), (202, f"password={short} and p4 stays, and/or www.site.org/x"), (203, 'pwd: "x1 y2 z3"')]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["value"]): r for r in secrets.scan(df).collect()}
+    texts = dict(rows)
+    assert all(texts[i][r["start"] : r["start"] + len(v)] == v for (i, v), r in got.items())
+    assert got[200, slashed]["secret"] and got[201, param]["secret"] and got[202, short]["secret"] and (203, "x1 y2 z3") in got
+    assert not any(r["secret"] for (i, _), r in got.items() if 100 <= i < 200)
+    clean = by_id(secrets.redact(df), "text")
+    assert clean[201] == "https://host/and/or?my_api_key=[SECRET]&page=2" and clean[202] == "password=[SECRET] and p4 stays, and/or www.site.org/x"
+    alone = secrets.scan(df.filter("doc_id >= 200")).collect()
+    assert {(r["doc_id"], r["value"]) for r in alone} >= {(200, slashed), (201, param), (202, short), (203, "x1 y2 z3")}
+
+
 def test_chat(spark):
     call = lambda i, name, args, after="[]": f'{{"tool_call": {{"id": {i}, "name": "{name}", "arguments": {args}, "after": {after}}}}}'
     rows = [
