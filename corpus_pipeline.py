@@ -57,9 +57,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining texts in sequences of 2048 tokens."""
-    packed = packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Pieces of the remaining texts in sequences of 2048 tokens; ids: a piece's token ids, four bytes each, the lowest first."""
+    packed = packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 def _with_text(docs: DataFrame, text) -> list:

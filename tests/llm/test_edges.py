@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator and stage."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -314,3 +315,13 @@ def test_stages(stage, docs, spark, sf_dir):
         ids = [r["doc_id"] for r in out.collect()]
         assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 5, 7, 9, 11, 12, 14, 15]
     assert f(spark, full.filter("false"), sf_dir).count() == 0
+
+
+def test_packed_pieces_hold_their_ids(docs, spark, sf_dir):
+    few, t = docs.filter("doc_id in (3, 9, 14)"), Tokenizer.from_file(BYTE)
+    whole = {r["doc_id"]: t.encode(r["text"], add_special_tokens=False).ids + [1] for r in few.collect()}
+    rows = corpus_pipeline.pack(spark, few, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == set(whole)
+    for r in rows:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == whole[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
