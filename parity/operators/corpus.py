@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 POINTS = "array<struct<point:string,num:bigint>>"
 
 
@@ -150,19 +151,14 @@ def dedupe_ranked(hits: DataFrame, query: str, key: str, rank: Sequence[str]) ->
     return hits.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def relevance(wanted: Column, covered: Column, used: Column, linked: Column) -> list[Column]:
-    """Sort keys of a pair: new points, used tables, linked tables, all descending, then by id."""
-    names = names_of(F.col("points"))
-    fresh = F.size(F.array_except(F.array_intersect(names, wanted), covered))
-    return [F.desc(fresh), F.desc(F.size(F.array_intersect("tables", used))), F.desc(F.size(F.array_intersect("tables", linked))), F.asc("pair_id")]
-
-
-def rank_relevance(pairs: DataFrame, used: Sequence[str], linked: Sequence[str], covered: Sequence[str]) -> DataFrame:
-    """pairs with fresh, used and linked, the keys to sort by."""
+def rank_relevance(pairs: DataFrame, used: Sequence[str], linked: Sequence[str], covered: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """pairs with fresh, used and linked, the keys to sort by (all descending, then pair_id): points not covered, tables used already
+    and tables linked with those."""
     arr = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     names = F.array_distinct(names_of(F.col("points")))
     size = lambda a, b: F.size(F.array_intersect(a, b))
-    return pairs.select("pair_id", F.size(F.array_except(names, arr(covered))).alias("fresh"), size(F.col("tables"), arr(used)).alias("used"), size(F.col("tables"), arr(linked)).alias("linked"))
+    linked = sorted(set(linked) - set(used))
+    return pairs.select("pair_id", F.size(F.array_except(names, arr(covered))).alias("fresh"), size(F.col("tables"), arr(used)).alias("used"), size(F.col("tables"), arr(linked)).alias("linked"), *keep)
 
 
 def points_in_common(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -171,39 +167,45 @@ def points_in_common(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     return names.join(wanted.select("point").distinct(), "point", "left_semi").groupBy("pair_id").agg(F.array_sort(F.collect_set("point")).alias("points"))
 
 
-def greedy_cover(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+CANDIDATES = 1000  # pairs that a round of greedy_cover looks at on the driver
+
+
+def greedy_cover(pairs: DataFrame, wanted: DataFrame, links: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(step, pair_id, fresh): a small set of pairs that covers every coverable wanted point.
 
-    Each round takes the pair with the most new points (of equals the smallest id) and drops what it covers; a round is one
-    group-by, its remains are written to the shared folder, and there are at most as many rounds as wanted points.
+    Each step takes the pair with the most new points, of equals the most tables in use, then the most tables linked with
+    those (``links`` by table), then the smallest id.  pairs: (pair_id, points, tables).  The wanted points of the pairs are written
+    once; a round scans them for the best ``CANDIDATES`` and takes further steps among these while one has more new points than
+    any pair outside can have, since new points only get fewer.
     """
-    spark = pairs.sparkSession
-    base = f"{shared_folder(spark)}/cover-{uuid.uuid4().hex}"
-    left = pairs.select("pair_id", F.explode(F.array_distinct(names_of(F.col("points")))).alias("point")).join(wanted.select("point").distinct(), "point", "left_semi")
-    chosen, step = [], 0
+    links, spark = links or {}, pairs.sparkSession
+    names = pairs.select("pair_id", "tables", F.explode(F.array_distinct(names_of(F.col("points")))).alias("point"))
+    names = names.join(wanted.select("point").distinct(), "point", "left_semi").groupBy("pair_id").agg(F.sort_array(F.collect_set("point")).alias("names"), F.first("tables").alias("tables"))
+    left = written(names.withColumn("points", F.transform("names", lambda p: F.struct(p.alias("point")))), "cover")
+    covered, used, chosen = set(), set(), []
     while True:
-        left.write.parquet(f"{base}/{step}")
-        left = spark.read.parquet(f"{base}/{step}")
-        best = left.groupBy("pair_id").count().orderBy(F.desc("count"), "pair_id").first()
-        if best is None:
+        near = {t for u in used for t in links.get(u, ())} - used
+        ranked = rank_relevance(left, sorted(used), sorted(near), sorted(covered), keep=["names", "tables"]).filter("fresh > 0")
+        best = ranked.orderBy(F.desc("fresh"), F.desc("used"), F.desc("linked"), "pair_id").limit(CANDIDATES).collect()
+        if not best:
             break
-        chosen.append((step, best["pair_id"], best["count"]))
-        left = left.join(left.filter(F.col("pair_id") == best["pair_id"]).select("point"), "point", "left_anti")
-        step += 1
+        outside = best[-1]["fresh"] if len(best) == CANDIDATES else 0
+        pool, first = {r["pair_id"]: r for r in best}, True
+        while pool:
+            near = {t for u in used for t in links.get(u, ())} - used
+            key = lambda r: (len(set(r["names"]) - covered), len(set(r["tables"]) & used), len(set(r["tables"]) & near))  # noqa: B023, E731
+            top = min(pool.values(), key=lambda r: (*(-x for x in key(r)), r["pair_id"]))
+            fresh = key(top)[0]
+            if not fresh or not (first or fresh > outside):
+                break
+            chosen.append((len(chosen), top["pair_id"], fresh))
+            covered |= set(top["names"])
+            used |= set(top["tables"])
+            del pool[top["pair_id"]]
+            first = False
     return spark.createDataFrame(chosen, f"step int, pair_id {dict(pairs.dtypes)['pair_id']}, fresh long")
 
 
-def shared_folder(spark) -> str:
-    """The folder that the cluster names for checkpoints; one of this machine only where none is named, as in tests."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def _drawn(seed: int, *keys: Column | str) -> Column:
     """A hash in hexadecimal that another engine can repeat."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)))

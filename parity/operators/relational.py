@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import family
-from .corpus import shared_folder
+from .scratch import shared_folder
 
 def _filler(kind: T.DataType, typed_null: bool) -> Column:
     """What stands for a missing column: a typed null, or 0.0 for numbers, 2025-05-30 for times and null else."""

@@ -291,9 +291,31 @@ def o6_draw_point_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.draw_point_lists(drawn, 600, strata, [("a", 0.25), ("b", 0.75)], 11)
 
 
-@query("u3_greedy_cover")
+def chained(names: list[str]) -> dict[str, list[str]]:
+    """Each name linked with the next."""
+    return {a: [b] for a, b in zip(names, names[1:], strict=False)}
+
+
+U3_SQL = f"""
+WITH RECURSIVE t AS (SELECT p_type AS a, lead(p_type) OVER (ORDER BY p_type) AS b FROM (SELECT DISTINCT p_type FROM part)),
+ p AS (SELECT p.pair_id, p.names, q.tables FROM {PAIRS} p JOIN {TABLES} q USING (pair_id)),
+ r AS (SELECT -1 AS step, CAST(NULL AS BIGINT) AS pair_id, 0 AS fresh, CAST([] AS VARCHAR[]) AS covered, CAST([] AS VARCHAR[]) AS used
+       UNION ALL
+       SELECT step + 1, top.pair_id, top.fresh, list_distinct(list_concat(covered, top.names)), list_distinct(list_concat(used, top.tables)) FROM (
+         SELECT step, covered, used, arg_max({{'pair_id': x.pair_id, 'fresh': x.fresh, 'names': x.names, 'tables': x.tables}}, (x.fresh, x.in_use, x.linked, -x.pair_id)) AS top FROM (
+           SELECT r.step, r.covered, r.used, p.pair_id, p.names, p.tables, len(list_filter(p.names, lambda n: NOT list_contains(r.covered, n))) AS fresh, len(list_intersect(p.tables, r.used)) AS in_use,
+                  len(list_filter(p.tables, lambda n: NOT list_contains(r.used, n) AND list_contains(list_transform(list_filter(k.links, lambda l: list_contains(r.used, l.a)), lambda l: l.b), n))) AS linked
+           FROM r, p, (SELECT list({{'a': a, 'b': b}}) AS links FROM t) k) x
+         WHERE x.fresh > 0 GROUP BY ALL))
+SELECT CAST(step AS INTEGER) AS step, pair_id, CAST(fresh AS BIGINT) AS fresh FROM r WHERE step >= 0
+"""
+
+
+@query("u3_greedy_cover", U3_SQL)
 def u3_greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.greedy_cover(pairs(spark, sf_dir), rules(spark, sf_dir))
+    """The part types, a table of strata, stand for the linked tables."""
+    types = sorted(r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().collect())
+    return K.greedy_cover(pairs(spark, sf_dir), rules(spark, sf_dir), chained(types))
 
 
 @query("u4_points_in_common", f"SELECT pair_id, list(point ORDER BY point) AS points FROM {POINTS} WHERE point LIKE '%1' GROUP BY pair_id")
