@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parity.llm import jaccard, packing, secrets, substrings, toxicity
-from parity.llm.common import scratch_dir
+from parity.llm.common import shared_folder
 from parity.llm.queries import held_out, table
 
 TOXIC_CUT = 0.3
@@ -82,7 +82,7 @@ ORACLE_SQL = None  # tokens and trained models are not expressible; tests/llm ho
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
