@@ -1,9 +1,7 @@
-"""Helpers that several operators share: byte-level word spans and hashes in numpy, scratch tables, components."""
+"""Helpers that several operators share: byte-level word spans and hashes in numpy, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest
+
+from parity.operators.scratch import shared_folder, written  # noqa: F401
 
 SLICE_BYTES = 1 << 19  # text handled at once by a numpy pass; a longer document is one slice of its own
 
@@ -21,6 +22,8 @@ LOWER[65:91] += 32
 
 _BASE_BYTE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _BASE_WORD = np.uint64(0xD1342543DE82EF95)
+_BASE_CHECK = np.uint64(0xAF251AF3B0F025B5)
+SEED = 0x51ED270B
 
 
 def _inverse(base: np.uint64) -> np.uint64:
@@ -45,7 +48,7 @@ class Powers:
         return self.up, self.down
 
 
-BYTE_POWERS, WORD_POWERS = Powers(_BASE_BYTE), Powers(_BASE_WORD)
+BYTE_POWERS, WORD_POWERS, CHECK_POWERS = Powers(_BASE_BYTE), Powers(_BASE_WORD), Powers(_BASE_CHECK)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,17 +106,29 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(buf.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_POWERS)
-
-
-def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of every run of k entries of one flat array (those across two texts are the caller's to leave out)."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every word, the halves of its XXH3-128: each different word of the buffer is hashed once.
+    starts and ends are all words of the buffer."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    offs = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offs[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(buf[~SPACE[buf]]))])
+    coded = words.dictionary_encode()
+    kinds = coded.dictionary
+    flat, ends = kinds.buffers()[2].to_pybytes(), np.frombuffer(kinds.buffers()[1], dtype=np.int64)[: len(kinds) + 1].tolist()
+    digests = b"".join([xxh3_128_digest(flat[a:b], SEED) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    halves = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)[np.asarray(coded.indices)]
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+
+
+def window_hashes(words: np.ndarray, k: int, powers: Powers = WORD_POWERS) -> np.ndarray:
+    """Rabin-Karp hashes of every run of k entries of one flat array (those across two texts are the caller's to leave out)."""
     m = len(words) - k + 1
     if m <= 0:
         return np.zeros(0, dtype=np.uint64)
     at = np.arange(m)
-    return span_hash(words, at, at + k, WORD_POWERS)
+    return span_hash(words, at, at + k, powers)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -126,22 +141,6 @@ def with_fields(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     return T.StructType([*df.schema.fields, *more.fields])
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of this machine only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -91,7 +91,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -3,6 +3,10 @@
 A window can only repeat if its anchor does: the window's smallest hash over runs of ``GRAM`` words.  Anchors are few
 (about two for every ``window - GRAM`` words), so they are counted first; only windows whose anchor occurs twice
 are hashed, shuffled and counted.  Nothing is lost: equal windows have equal anchors.
+
+Windows are told apart by two independent hashes, 128 bits together: among 10^13 windows the odds of any
+two different ones sharing both are 1 to 10^12.  Counts are summed before they are shuffled, and the windows of an anchor that very many
+documents hold are counted in salted groups first, so that no key is one task's work.
 """
 
 from __future__ import annotations
@@ -14,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import signed, text_slices, window_hashes, with_fields, word_hashes, word_spans
+from .common import CHECK_POWERS, parts, signed, text_slices, window_hashes, with_fields, word_hashes, word_spans, written
 
 GRAM = 12
+HOT = 1000  # times from which an anchor's windows are counted in salted groups
+MOST_HOT = 100_000  # the proven bound of the broadcast hot anchors: in a larger corpus an anchor must be hotter
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -28,21 +34,21 @@ def _sliding(x: np.ndarray, k: int, pick: np.ufunc) -> np.ndarray:
     return pick(done[: len(x) - k + 1], done[k - width : len(x) - width + 1]) if width < k else done
 
 
-def _windows(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, gram hashes, anchor of each window, text of each window, first word of each text); a window that
-    no text holds whole has text -1."""
+def _windows(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, second word hashes, gram hashes, anchor of each window, text of each window, first word of each text); a
+    window that no text holds whole has text -1."""
     starts, ends, first = word_spans(buf, offs)
-    words = word_hashes(buf, starts, ends)
+    words, checks = word_hashes(buf, starts, ends)
     n = len(words) - k + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
-        return words, none, none, np.zeros(0, np.int64), first
+        return words, checks, none, none, np.zeros(0, np.int64), first
     gram = min(GRAM, k)
     grams = window_hashes(words, gram)
     anchor = _sliding(grams, k - gram + 1, np.minimum)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     text = np.where(text[:n] == text[k - 1 :], text[:n], -1)
-    return words, grams, anchor, text, first
+    return words, checks, grams, anchor, text, first
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -50,14 +56,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(None).cast("int")
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
-    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", F.lit(1), "doc_id"))
+    second = F.shiftright(F.xxhash64("text", F.lit(1), "doc_id"), 32).cast("int")
+    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", second)
 
 
-def _runs(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (owner, key), where each pair's run starts in it and how long it is."""
-    order = np.lexsort((key, owner))
-    fresh = np.ones(len(order), dtype=bool)
-    fresh[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the keys, where each run of equal ones starts in it and how long it is."""
+    order = np.lexsort(keys[::-1])
+    fresh = np.zeros(len(order), dtype=bool)
+    fresh[:1] = True
+    for key in keys:
+        fresh[1:] |= key[order][1:] != key[order][:-1]
     first = np.flatnonzero(fresh)
     return order, first, np.diff(np.append(first, len(order)))
 
@@ -69,7 +78,7 @@ def _anchors(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             k1, k2 = np.asarray(batch.column("k1")), np.asarray(batch.column("k2"))
             for a, _, buf, offs in text_slices(batch.column("text")):
-                _, grams, anchor, text, _ = _windows(buf, offs, k)
+                _, _, grams, anchor, text, _ = _windows(buf, offs, k)
                 if not len(anchor):
                     continue
                 width = k - min(GRAM, k) + 1
@@ -83,34 +92,66 @@ def _anchors(docs: DataFrame, k: int) -> DataFrame:
                 key, owner = grams[at][order][first], owner[order][first]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(k1[owner]), pa.array(k2[owner]), pa.array(times)], names=["anchor", "k1", "k2", "times"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "anchor long, k1 long, k2 long, times long")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "anchor long, k1 long, k2 int, times long")
+
+
+def _listed(docs: DataFrame, k: int) -> tuple[DataFrame, bool]:
+    """(k1, k2, anchors, hot): each document's anchors that occur twice or more, and which of them are hot; and if any is."""
+    counts = written(_anchors(docs, k).groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1"), "anchors")
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit, salts = max(HOT, (total or 0) // MOST_HOT), parts(docs.sparkSession)
+    is_hot = F.col("n") > limit
+    hot = counts.filter(is_hot).select("anchor", F.lit(True).alias("hot"))
+    rows = _anchors(docs, k).join(F.broadcast(hot), "anchor", "left").select("anchor", "k1", "k2", F.when(F.col("hot"), F.pmod("k1", F.lit(salts))).otherwise(-1).alias("salt"))
+    every = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(-1).cast("long")))
+    known = counts.select("anchor", is_hot.alias("hot"), F.explode(every).alias("salt"))
+    found = rows.join(known, ["anchor", "salt"]).groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    return found, (most or 0) > limit
 
 
 def _candidates(docs: DataFrame, k: int) -> DataFrame:
-    """(window, k1, k2, times, starts) of the windows whose anchor is in the row's list, one row for each document and window in it."""
+    """(window, check, hot, k1, k2, starts) of the windows whose anchor is in the row's list, one row for each document and window in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = np.asarray(batch.column("k1")), np.asarray(batch.column("k2"))
-            known = batch.column("anchors")
-            ends, flat = np.asarray(known.offsets), np.asarray(known.values).view(np.uint64)
+            lists = {c: (np.asarray(batch.column(c).offsets), np.asarray(batch.column(c).values).view(np.uint64)) for c in ("anchors", "hot")}
             for a, b, buf, offs in text_slices(batch.column("text")):
-                words, _, anchor, text, first = _windows(buf, offs, k)
+                words, checks, _, anchor, text, first = _windows(buf, offs, k)
                 if not len(anchor):
                     continue
-                hit = np.zeros(len(anchor), dtype=bool)
-                for i in range(a, b):
-                    s = slice(first[i - a], max(first[i - a + 1] - k + 1, first[i - a]))
-                    hit[s] = np.isin(anchor[s], flat[ends[i] : ends[i + 1]])
-                at = np.flatnonzero(hit & (text >= 0))
-                full, owner = window_hashes(words, k)[at], text[at]
-                order, head, times = _runs(owner, full)
+                hit = {c: np.zeros(len(anchor), dtype=bool) for c in lists}
+                for c, (ends, flat) in lists.items():
+                    for i in range(a, b):
+                        if ends[i + 1] > ends[i]:
+                            s = slice(first[i - a], max(first[i - a + 1] - k + 1, first[i - a]))
+                            hit[c][s] = np.isin(anchor[s], flat[ends[i] : ends[i + 1]])
+                at = np.flatnonzero(hit["anchors"] & (text >= 0))
+                full, check, owner = window_hashes(words, k)[at], window_hashes(checks, k, CHECK_POWERS)[at], text[at]
+                order, head, _ = _runs(owner, full, check)
                 start = (at - first[owner]).astype(np.int32)[order]
-                full, owner = full[order][head], owner[order][head] + a
-                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(start))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(full)), pa.array(k1[owner]), pa.array(k2[owner]), pa.array(times), lists], names=["window", "k1", "k2", "times", "starts"])
+                one = order[head]
+                starts = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(start))
+                cols = [pa.array(signed(full[one])), pa.array(signed(check[one])), pa.array(hit["hot"][at[one]]), pa.array(k1[owner[one] + a]), pa.array(k2[owner[one] + a]), starts]
+                yield pa.RecordBatch.from_arrays(cols, names=["window", "check", "hot", "k1", "k2", "starts"])
 
-    return docs.mapInArrow(run, "window long, k1 long, k2 long, times long, starts array<int>")
+    return docs.mapInArrow(run, "window long, check long, hot boolean, k1 long, k2 int, starts array<int>")
+
+
+def _repeated(rows: DataFrame, some_hot: bool) -> DataFrame:
+    """(k1, k2, starts) of the rows whose window starts more than once.
+
+    A window that is not hot has as many rows as its anchor at most.  A hot one is counted within salts; rows that are
+    alone in their salt, one for each salt at most, stay if another salt has the window too.
+    """
+    times = lambda *by: F.sum(F.size("starts")).over(Window.partitionBy("window", "check", *by))
+    out = rows.filter("not hot").withColumn("n", times()).filter("n > 1").select("k1", "k2", "starts")
+    if not some_hot:
+        return out
+    salted = rows.filter("hot").withColumn("salt", F.pmod("k1", F.lit(parts(rows.sparkSession)))).withColumn("n", times("salt"))
+    spread = salted.groupBy("window", "check").agg(F.min("salt").alias("x"), F.max("salt").alias("y")).filter("x <> y")
+    alone = salted.filter("n = 1").join(spread, ["window", "check"], "left_semi")
+    return out.unionByName(salted.filter("n > 1").select("k1", "k2", "starts")).unionByName(alone.select("k1", "k2", "starts"))
 
 
 def _cut(docs: DataFrame, k: int) -> DataFrame:
@@ -162,10 +203,6 @@ def _cut(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("__n", F.sum("times").over(Window.partitionBy(key))).filter("__n > 1").drop("__n")
-
-
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept, rest) for every row of docs (doc_id, text); rest holds docs' other columns.
 
@@ -175,10 +212,9 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     window keep all; repeated rows are copies of each other, so they lose every word a window covers; an empty table gives no rows.
     """
     docs = _keyed(docs)
-    anchors = _repeated(_anchors(docs, window), "anchor")
-    listed = anchors.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))
+    listed, some_hot = _listed(docs, window)
     # both joins read the same columns of docs, so that the texts are shuffled once
-    again = _repeated(_candidates(docs.join(listed, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "rest", "anchors"), window), "window")
-    starts = again.groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    rows = _candidates(docs.join(listed, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "rest", "anchors", "hot"), window)
+    starts = _repeated(rows, some_hot).groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     joined = docs.join(starts, ["k1", "k2"], "left").select("doc_id", "text", "rest", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
     return _cut(joined, window)
