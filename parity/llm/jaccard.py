@@ -8,10 +8,13 @@ Plain count vectors do not part large sets (their coordinates are all near n / G
 that link share a shingle among the n - ceil(t n) + 1 smallest hashes of each, their prefix.  A prefix shingle that no
 other set's prefix holds adds nothing to any overlap, so the ``LOW`` first groups become one coordinate that counts only
 shingles met in a block; a set whose prefix ends inside them sends all of them to the blocks, so that what two
-sets share there is met by both.  A small block gives its few pairs; in a
-block of any size a one-pass insertion into leaf nodes joins what the bound allows.  Sets that the bound
-connects form families; a family is packed in leaves of bounded size, leaf pairs whose boxes cannot hold a link are
-dropped, and the rest are verified exactly, skipping pairs that are already connected.
+sets share there is met by both.  A small block gives its few pairs; a larger one is dealt by bands of set sizes (sets of
+one band link with their own and the next alone), and in each band a one-pass insertion into leaf nodes joins what the bound
+allows.  Sets that the bound connects form families.  A family is packed in leaves of bounded size, which are verified exactly on their own;
+then one set of each component found is, leaf by leaf, and at last the pairs of leaves that still hold different components and
+whose boxes can hold a link.
+
+Shingles are 64-bit hashes of hashed words: two different ones of a pair of documents are taken for one with odds of n^2 to 2^64.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text with fewer than k words has its whole sequence as one."""
     buf = LOWER[buf]
     starts, ends, first = word_spans(buf, offs)
-    words = word_hashes(buf, starts, ends)
+    words, _ = word_hashes(buf, starts, ends)
     grams = window_hashes(words, k)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
@@ -109,12 +112,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(shingle, n, s1): each set's blocked hashes; a task sends a repeated set once."""
 
     def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, _, buf, offs in text_slices(batch.column("text")):
                 rows, sizes, ids = [], [], []
                 for s in shingle_sets(buf, offs, k):
-                    sid = signature(s)[0]
+                    sid = signature(s)
                     if not len(s) or sid in seen:
                         continue
                     if len(seen) >= SEEN_SETS:
@@ -122,7 +125,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     seen.add(sid)
                     rows.append(blocked(s, percent))
                     sizes.append(len(s))
-                    ids.append(sid)
+                    ids.append(sid[0])
                 if rows:
                     many = [len(r) for r in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(rows))), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.repeat(np.array(ids, np.int64), many))], names=["shingle", "n", "s1"])
@@ -223,7 +226,8 @@ def _bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFra
 
 class Boxes:
     """The leaf nodes of one block's tree, filled in order of n: up to ``NODE_ROWS`` members of one cluster each, with their upper
-    corner.  A node whose largest member is too small for what is to come closes."""
+    corner.  A node whose largest member is too small for what is to come closes.  A cluster is named by its first member, and its
+    edges all lead there, so that the blocks of a family give the same edges again and not others."""
 
     def __init__(self, percent: int) -> None:
         self.percent = percent
@@ -246,13 +250,12 @@ class Boxes:
         self.corner[0], self.low_n[0], self.high_n[0], self.points[0] = corner, low, high, None
         return edges
 
-    def _partner(self, node: int, n: int, p: np.ndarray) -> int | None:
+    def _holds_partner(self, node: int, n: int, p: np.ndarray) -> bool:
         if self.points[node] is None:
-            return self.members[node][0]
+            return True
         many = len(self.members[node])
         bound = np.minimum(self.points[node][:many], p).sum(axis=1)
-        at = np.flatnonzero(bound >= least_overlap(np.array(self.sizes[node]) + n, self.percent))
-        return self.members[node][at[-1]] if len(at) else None
+        return bool((bound >= least_overlap(np.array(self.sizes[node]) + n, self.percent)).any())
 
     def insert(self, sid: int, n: int, p: np.ndarray) -> list[tuple[int, int]]:
         """Edges that connect the set with every cluster that holds a member which the bound allows."""
@@ -260,16 +263,13 @@ class Boxes:
         if not near.all():
             self._keep(np.flatnonzero(near))
         least = least_overlap(n + np.maximum(self.low_n, -(-self.percent * n // 100)), self.percent)
-        edges, joined = [], []
+        joined: list[int] = []
         for node in np.flatnonzero(np.minimum(self.corner, p).sum(axis=1) >= least)[::-1].tolist():
-            if self.cluster[node] in joined:
-                continue
-            partner = self._partner(node, n, p)
-            if partner is not None:
-                edges.append((partner, sid))
-                joined.append(self.cluster[node])
-        own = joined[0] if joined else sid
-        for c in joined[1:]:
+            if self.cluster[node] not in joined and self._holds_partner(node, n, p):
+                joined.append(int(self.cluster[node]))
+        edges = [(c, sid) for c in joined]
+        own = joined[-1] if joined else sid  # the oldest
+        for c in joined[:-1]:
             self.cluster[self.cluster == c] = own
         last = np.flatnonzero(self.cluster == own)[-1:]
         if len(last) and (self.points[last[0]] is None or len(self.members[last[0]]) < NODE_ROWS):
@@ -296,17 +296,26 @@ def _block_edges(members: DataFrame, points: DataFrame, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, boxes = None, Boxes(percent)
+        given: set[tuple[int, int]] = set()
         for batch in batches:
-            edges: list[tuple[int, int]] = []
+            edges: set[tuple[int, int]] = set()
             pts = _points_of(batch, "low", "point")
-            for i, (k, sid, n) in enumerate(zip(*(np.asarray(batch.column(c)).tolist() for c in ("shingle", "s1", "n")), strict=True)):
-                if k != key:
-                    key, boxes = k, Boxes(percent)
-                edges += boxes.insert(sid, n, pts[i])
-            pairs = np.unique(np.array(edges, np.int64).reshape(-1, 2), axis=0)
+            for i, (k, band, sid, n) in enumerate(zip(*(np.asarray(batch.column(c)).tolist() for c in ("shingle", "band", "s1", "n")), strict=True)):
+                if (k, band) != key:
+                    key, boxes = (k, band), Boxes(percent)
+                edges.update(boxes.insert(sid, n, pts[i]))
+            edges -= given
+            if len(given) > SEEN_SETS:
+                given.clear()
+            given |= edges
+            pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    laid = members.join(points, "s1").select("shingle", "n", "s1", "low", "point").repartition("shingle").sortWithinPartitions("shingle", "n", "s1")
+    # a band is a little wider than the ratio of sizes at which sets can link, so that rounding separates no pair
+    width = max(float(np.log(100 / percent)), 1e-3) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    dealt = members.join(points, "s1").select("shingle", "n", "s1", "low", "point", F.explode(F.array(band, band + 1)).alias("band"))
+    laid = dealt.repartition("shingle", "band").sortWithinPartitions("shingle", "band", "n", "s1")
     return laid.mapInArrow(run, "a long, b long")
 
 
@@ -329,18 +338,22 @@ def _leaves(members: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "family long, leaf long, rep long, n long, low long, point binary")
 
 
-def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
-    """(one, two) of leaves of one family, each with itself and with every other that the boxes' bound allows."""
-    many = leaves.groupBy("family").agg(F.min("leaf").alias("x"), F.max("leaf").alias("y")).filter("x <> y").select("family")
+def _each_alone(leaves: DataFrame) -> DataFrame:
+    return leaves.select(F.col("leaf").alias("one"), F.col("leaf").alias("two")).distinct()
+
+
+def _crossing(leaves: DataFrame, percent: int) -> DataFrame:
+    """(one, two) of different leaves of one family that do not lie in one component and whose boxes' bound allows a link."""
 
     def box(pdf):
         pts = np.frombuffer(b"".join(pdf["point"]), dtype=np.int32).reshape(len(pdf), -1)
-        return pdf.head(1)[["family", "leaf"]].assign(least=pdf["n"].min(), most=pdf["n"].max(), low=pdf["low"].max(), corner=[pts.max(axis=0).tobytes()])
+        return pdf.head(1)[["family", "leaf"]].assign(least=pdf["n"].min(), most=pdf["n"].max(), low=pdf["low"].max(), x=pdf["comp"].min(), y=pdf["comp"].max(), corner=[pts.max(axis=0).tobytes()])
 
-    boxes = leaves.join(many, "family", "left_semi").groupBy("family", "leaf").applyInPandas(box, "family long, leaf long, least long, most long, low long, corner binary")
-    boxes = written(boxes, "boxes")
-    other = boxes.select("family", *(F.col(c).alias(c + "2") for c in ("leaf", "least", "most", "low", "corner")))
-    near = (F.col("leaf") < F.col("leaf2")) & (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
+    fields = ["leaf", "least", "most", "low", "x", "y", "corner"]
+    boxes = written(leaves.groupBy("family", "leaf").applyInPandas(box, "family long, " + ", ".join(f"{c} long" for c in fields[:-1]) + ", corner binary"), "boxes")
+    other = boxes.select("family", *(F.col(c).alias(c + "2") for c in fields))
+    apart = ~((F.col("x") == F.col("y")) & (F.col("x2") == F.col("y2")) & (F.col("x") == F.col("x2")))
+    near = apart & (F.col("leaf") < F.col("leaf2")) & (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,28 +361,28 @@ def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
             bound = np.minimum(_points_of(batch, "low", "corner"), _points_of(batch, "low2", "corner2")).sum(axis=1)
             yield batch.filter(pa.array(bound >= least_overlap(total, percent))).select(["leaf", "leaf2"]).rename_columns(["one", "two"])
 
-    crossing = boxes.join(other, "family").filter(near).mapInArrow(run, "one long, two long")
-    return leaves.select(F.col("leaf").alias("one"), F.col("leaf").alias("two")).distinct().unionByName(crossing)
+    return boxes.join(other, "family").filter(near).mapInArrow(run, "one long, two long")
 
 
 class Forest:
-    """Union-find over the rows of one task."""
+    """Union-find over the rows of one task; rows of one component are together from the start."""
 
-    def __init__(self, n: int) -> None:
-        self.of = np.arange(n)
+    def __init__(self, comp: np.ndarray) -> None:
+        _, first, of = np.unique(comp, return_index=True, return_inverse=True)
+        self.of = first[of]
 
     def join(self, i: int, j: int) -> None:
         a, b = self.of[i], self.of[j]
         self.of[self.of == max(a, b)] = min(a, b)
 
 
-def link_rows(rep: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, crossing: bool) -> list[tuple[int, int]]:
+def link_rows(rep: list[int], comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int, crossing: bool) -> list[tuple[int, int]]:
     """Links that connect all linked rows of a leaf, or of two leaves (side 0 and 1), verified on the sets."""
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
-    rep, side, sets, n = [rep[i] for i in order], side[order], [sets[i] for i in order], n[order]
+    rep, comp, side, sets, n = [rep[i] for i in order], comp[order], side[order], [sets[i] for i in order], n[order]
     pts = np.stack([point(s) for s in sets])
-    forest, out = Forest(len(rep)), []
+    forest, out = Forest(comp), []
     for i in range(len(rep) - 1):
         to = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
         at = np.arange(i + 1, to)
@@ -387,23 +400,23 @@ def link_rows(rep: list[int], side: np.ndarray, sets: list[np.ndarray], percent:
 
 
 def _verified(docs: DataFrame, leaves: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between representatives."""
+    """Links (a, b) between representatives that connect what is linked and not yet of one component."""
     flat = pairs.select(F.col("one").alias("leaf"), F.lit(0).alias("side"), "one", "two").unionByName(pairs.filter("one <> two").select(F.col("two").alias("leaf"), F.lit(1).alias("side"), "one", "two"))
-    tasks = leaves.select("rep", "leaf").join(flat, "leaf").groupBy("rep").agg(F.collect_list(F.struct("one", "two", "side")).alias("tasks"))
+    tasks = leaves.select("rep", "comp", "leaf").join(flat, "leaf").groupBy("rep").agg(F.collect_list(F.struct("one", "two", "side", "comp")).alias("tasks"))
     texts = docs.join(tasks, docs["doc_id"] == tasks["rep"]).select("rep", "text", "tasks")
 
     def sets(batch: pa.RecordBatch, a: int, b: int, found: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), batch.column("tasks").slice(a, b - a), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "tasks", "elements"])
 
-    rows = _texts(texts, sets, "rep long, tasks array<struct<one:long,two:long,side:int>>, elements binary", k)
-    rows = rows.select("rep", "elements", F.explode("tasks").alias("t")).select("t.one", "t.two", "t.side", "rep", "elements")
+    rows = _texts(texts, sets, "rep long, tasks array<struct<one:long,two:long,side:int,comp:long>>, elements binary", k)
+    rows = rows.select("rep", "elements", F.explode("tasks").alias("t")).select("t.one", "t.two", "t.side", "t.comp", "rep", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(group: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(group)
             one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
             found = [np.frombuffer(e, dtype=np.uint64) for e in t.column("elements").to_pylist()]
-            got = link_rows(t.column("rep").to_pylist(), t.column("side").to_numpy(), found, percent, one != two)
+            got = link_rows(t.column("rep").to_pylist(), t.column("comp").to_numpy(), t.column("side").to_numpy(), found, percent, one != two)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
 
         group: list[pa.RecordBatch] = []
@@ -424,6 +437,29 @@ def _verified(docs: DataFrame, leaves: DataFrame, pairs: DataFrame, k: int, perc
     return rows.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(run, "a long, b long")
 
 
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links that connect whatever is linked in the families.
+
+    Leaves are verified on their own first.  Of a family with more leaves, one set of each component then stands for it in leaves of
+    its own, which connects the leaves of a group of near copies; only leaves that still hold different components are
+    compared as a whole.
+    """
+    leaves = written(_leaves(members), "leaves")
+    found = written(_verified(docs, leaves.withColumn("comp", F.col("rep")), _each_alone(leaves), k, percent), "links")
+    many = leaves.groupBy("family").agg(F.min("leaf").alias("x"), F.max("leaf").alias("y")).filter("x <> y").select("family")
+    if many.isEmpty():
+        return found
+    named = components(found, "linked").select(F.col("id").alias("rep"), F.col("component").alias("comp"))
+    large = leaves.join(many, "family", "left_semi").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    large = written(large, "large")
+    heads = written(_leaves(large.filter("rep = comp")), "heads")
+    more = written(_verified(docs, heads.withColumn("comp", F.col("rep")), _each_alone(heads), k, percent), "links")
+    joined = components(more, "linked").select(F.col("id").alias("comp"), F.col("component").alias("whole"))
+    large = written(large.join(joined, "comp", "left").withColumn("comp", F.coalesce("whole", "comp")).drop("whole"), "large")
+    rest = written(_verified(docs, large, _crossing(large, percent), k, percent), "links")
+    return found.unionByName(more).unionByName(rest)
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
@@ -443,9 +479,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     pairs = _bounded_pairs(blocks.filter("b is not null").select("a", "b").distinct(), points, percent)
     inside = _block_edges(blocks.filter("shingle is not null").select("shingle", F.col("a").alias("s1")), points, percent)
     families = components(pairs.unionByName(inside), "families").select(F.col("id").alias("s1"), F.col("component").alias("family"))
-    leaves = written(_leaves(sets.join(families, "s1")), "leaves")
-    found = written(_verified(docs, leaves, _leaf_pairs(leaves, percent), k, percent), "links")
-    reached = components(found, "linked").select(F.col("id").alias("rep"), "component")
+    reached = components(_links(docs, sets.join(families, "s1"), k, percent), "linked").select(F.col("id").alias("rep"), "component")
     classes = sets.select("s1", "s2", "n", "rep").join(reached, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = info.join(classes, ["s1", "s2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

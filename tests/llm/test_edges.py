@@ -126,6 +126,28 @@ def test_jaccard_of_short_texts_at_the_threshold(spark):
     assert all(got[2 * i] == 2 * i for i in range(3000))
 
 
+def test_jaccard_over_many_leaves(monkeypatch, spark):
+    """Families of more leaves than one: chains of edits, near copies and unrelated texts with a passage in common."""
+    monkeypatch.setattr(jaccard, "LEAF_ROWS", 7)
+    rng = random.Random(21)
+    rows, w = [], rng.choices(VOCAB, k=90)
+    for i in range(60):  # a chain: neighbours link, its ends do not
+        w = [x if rng.random() > 0.012 else rng.choice(VOCAB) for x in w]
+        rows.append((i, " ".join(w)))
+    base = rng.choices(VOCAB, k=150)
+    rows += [(100 + i, " ".join([*base[: 75 + i], *rng.choices(VOCAB, k=rng.randint(0, 25))])) for i in range(60)]
+    rows += [(300 + i, PASSAGE + " " + " ".join(rng.choices(VOCAB, k=rng.randint(10, 40)))) for i in range(60)]
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in rows}
+    of, changed = {i: i for i in sets}, True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if of[a] > of[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    of[a], changed = of[b], True
+    assert by_id(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")), "component_id") == of
+
+
 def test_open_nodes_melt(monkeypatch):
     monkeypatch.setattr(jaccard, "OPEN_NODES", 3)
     boxes, rng = jaccard.Boxes(75), np.random.default_rng(2)
@@ -261,6 +283,46 @@ def test_substrings(docs, none):
     assert [r["n_removed"] for r in twice] == [60_000, 60_000]
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    """Thue-Morse words share every polynomial hash modulo a power of two: they are no repeats and no links."""
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rest = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in substrings.remove_repeats(df).collect()} == {0}
+    assert by_id(jaccard.jaccard_join(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")), "component_id") == {1: 1, 2: 2}
+    x, y = (thue_morse(64, "x ", "y ") for _ in range(2))
+    assert by_id(substrings.remove_repeats(spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")), "n_removed") == {1: 64, 2: 64}
+    y = thue_morse(64, "y ", "x ")
+    apart = by_id(substrings.remove_repeats(spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string"), window=64), "n_removed")
+    assert apart == {1: 0, 2: 0}
+
+
+def test_substrings_of_hot_anchors(monkeypatch, spark):
+    """Windows counted in salted groups give what plain counting gives."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(VOCAB, k=rng.randint(0, 30))) + " " + PASSAGE + " " + " ".join(rng.choices("pq", k=3))) for i in range(40)]
+    rows += [(100 + i, " ".join(rng.choices("st", k=120))) for i in range(5)] + [(200, "la " * 90), (201, LONG[:9000]), (202, LONG[:9000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = by_id(substrings.remove_repeats(df), "removed")
+    monkeypatch.setattr(substrings, "HOT", 1)
+    assert by_id(substrings.remove_repeats(df), "removed") == plain
+    seen = {}
+    words = {i: t.split() for i, t in rows}
+    for i, w in words.items():
+        for j in range(len(w) - 34):
+            seen.setdefault(tuple(w[j : j + 35]), []).append((i, j))
+    gone = {i: set() for i in words}
+    for places in seen.values():
+        if len(places) > 1:
+            for i, j in places:
+                gone[i] |= set(range(j, j + 35))
+    assert {i: {x for s in spans for x in range(s["from"], s["to"])} for i, spans in plain.items()} == gone
+
+
 def test_urls(spark):
     rules = [("allow", "org", "/"), ("block", "a.org", "/x")]
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.ORG/x/y?q#f"), (5, "http://b.a.org"), (6, "ftp://c.org/ü"), (7, "http://" + "h" * 9000 + "/p"), (1, None), (None, "http://a.org/x")]
