@@ -49,19 +49,19 @@ TOOLS: chat.Schema = {
 
 
 def tool_messages(conversations: DataFrame) -> DataFrame:
-    """The conversations played as tool use: an assistant's turn is a call that follows the call of half its turn number, and the turn after
-    it is the call's result."""
-    call_id = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    """The conversations, whole texts and all turns, played as tool use: an assistant's turn is a call that follows the call of half its turn
+    number, a user's turn is the result of the call before it, a system turn stays as it is.  Calls are numbered within their conversation."""
+    call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     n = F.length("text")
     name = F.when(F.col("turn") % 4 == 1, "search").when(n % 11 == 0, "guess").otherwise("measure")
-    search = F.to_json(F.struct(F.substring("text", 1, 40).alias("query"), (n % 10 + 0.5).alias("limit")))
-    measure = F.to_json(F.struct(F.substring("text", 1, 20).alias("opening"), F.when(n % 7 > 0, n).alias("chars")))
+    search = F.to_json(F.struct(F.col("text").alias("query"), (n % 10 + 0.5).alias("limit")))
+    measure = F.to_json(F.struct(F.col("text").alias("opening"), F.when(n % 7 > 0, n).alias("chars")))
     after = F.when(F.col("turn") >= 2, F.array(call_id(F.floor(F.col("turn") / 2)))).otherwise(F.array().cast("array<string>"))
     body = F.struct(call_id(F.col("turn")).alias("id"), name.alias("name"), F.parse_json(F.when(F.col("turn") % 4 == 1, search).otherwise(measure)).alias("arguments"), after.alias("after"))
     calls = conversations.filter("role = 'assistant'").select("conv_id", "turn", "role", F.to_json(F.struct(body.alias("tool_call"))).alias("text"))
-    answer = F.struct(call_id(F.col("turn") - 1).alias("id"), F.substring("text", 1, 60).alias("content"))
+    answer = F.struct(call_id(F.col("turn") - 1).alias("id"), F.col("text").alias("content"))
     results = conversations.filter("role = 'user'").select("conv_id", "turn", F.lit("tool").alias("role"), F.to_json(F.struct(answer.alias("tool_result"))).alias("text"))
-    return calls.unionByName(results)
+    return calls.unionByName(results).unionByName(conversations.filter("role = 'system'").select("conv_id", "turn", "role", "text"))
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,22 +118,22 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 """
 
 OP5_SQL = """
-WITH RECURSIVE c AS (SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, text, length(text) AS n,
+WITH RECURSIVE c AS (SELECT conv_id, turn, conv_id || ':' || turn AS k, text, length(text) AS n,
          CASE WHEN turn % 4 = 1 THEN 'search' WHEN length(text) % 11 = 0 THEN 'guess' ELSE 'measure' END AS name,
-         CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn // 2) END AS dep
+         CASE WHEN turn >= 2 THEN conv_id || ':' || (turn // 2) END AS dep
        FROM conversations WHERE role = 'assistant'),
- r AS (SELECT 'c' || conv_id || '-' || (turn - 1) AS call_id, to_json(substr(text, 1, 60)) AS content FROM conversations WHERE role = 'user'),
- l AS (SELECT call_id, 0 AS level FROM c WHERE dep IS NULL OR dep NOT IN (SELECT call_id FROM c)
-       UNION ALL SELECT c.call_id, l.level + 1 FROM l JOIN c ON c.dep = l.call_id),
- a AS (SELECT c.*, l.level, r.content, dep IS NOT NULL AND dep NOT IN (SELECT call_id FROM c) AS lost,
-         CASE WHEN turn % 4 = 1 THEN '{"limit":' || (n % 10) || '.5,"query":' || to_json(substr(text, 1, 40)) || '}'
-              ELSE '{' || CASE WHEN n % 7 > 0 THEN '"chars":' || n || ',' ELSE '' END || '"opening":' || to_json(substr(text, 1, 20)) || '}' END AS args,
+ r AS (SELECT conv_id || ':' || (turn - 1) AS k, to_json(text) AS content FROM conversations WHERE role = 'user'),
+ l AS (SELECT k, 0 AS level FROM c WHERE dep IS NULL OR dep NOT IN (SELECT k FROM c)
+       UNION ALL SELECT c.k, l.level + 1 FROM l JOIN c ON c.dep = l.k),
+ a AS (SELECT c.*, l.level, r.content, dep IS NOT NULL AND dep NOT IN (SELECT k FROM c) AS lost,
+         CASE WHEN turn % 4 = 1 THEN '{"limit":' || (n % 10) || '.5,"query":' || to_json(text) || '}'
+              ELSE '{' || CASE WHEN n % 7 > 0 THEN '"chars":' || n || ',' ELSE '' END || '"opening":' || to_json(text) || '}' END AS args,
          CASE WHEN name = 'measure' AND n % 7 = 0 THEN 'missing chars' ELSE '' END AS errors
-       FROM c JOIN l USING (call_id) LEFT JOIN r USING (call_id))
-SELECT conv_id, turn, call_id, name, level,
+       FROM c JOIN l USING (k) LEFT JOIN r USING (k))
+SELECT conv_id, turn, 'call_' || turn AS call_id, name, level,
        CASE WHEN name = 'guess' THEN 'unknown tool' WHEN errors <> '' THEN 'invalid arguments' WHEN lost THEN 'missing predecessor'
             WHEN content IS NULL THEN 'no result' ELSE 'ok' END AS status,
-       errors, '{"arguments":' || args || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(content, 'null') || '}' AS record
+       errors, '{"arguments":' || args || ',"id":"call_' || turn || '","name":"' || name || '","result":' || coalesce(content, 'null') || '}' AS record
 FROM a
 """
 
