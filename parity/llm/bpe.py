@@ -2,12 +2,14 @@
 
 The symbols of all words of a batch lie in one flat array.  A round looks up the rank of every adjacent pair by
 binary search over the sorted pair keys, takes each word's lowest rank by one segmented minimum and merges all its
-places at once; words without a known pair leave the array.
+places at once; words without a known pair leave the array.  A word longer than ``LONG_WORD`` bytes would take a round over all of itself
+for every rank it holds, so its pairs wait in a heap instead; both orders give the same ids.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import unicodedata
@@ -22,7 +24,8 @@ from tokenizers import Tokenizer
 
 from .common import text_slices, with_fields
 
-CACHE_WORDS = 600_000  # words kept with their ids per worker; the cache starts anew beyond
+CACHE_WORDS, CACHE_BYTES = 600_000, 1 << 26  # words, and bytes of words and ids, that a worker keeps; its cache starts anew beyond
+LONG_WORD = 1024
 NO_RANK = np.int64(1 << 40)
 
 
@@ -91,8 +94,37 @@ class MergeTable:
             unit = unicodedata.normalize("NFC", unit)
         return [w.encode() for w in self.pattern.findall(lowered(unit))]
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word, its pairs taken from a heap by rank, then place."""
+        flat, pairs = np.frombuffer(word, dtype=np.uint8), self.pairs
+        sym = self.inner[flat].tolist()
+        sym[-1] = int(self.last[flat[-1]])
+        after, before = [*range(1, len(sym)), -1], list(range(-1, len(sym) - 1))
+        heap = [(pairs[k][0], i) for i, k in enumerate((self.inner[flat[:-1]] << 24 | np.array(sym[1:])).tolist()) if k in pairs]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            found = pairs.get(sym[i] << 24 | sym[j]) if sym[i] >= 0 and j >= 0 else None
+            if found is None or found[0] != rank:
+                continue  # one of the two has been merged since
+            sym[i], sym[j], after[i] = found[1], -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] >= 0 and (new := pairs.get(sym[a] << 24 | sym[after[a]])):
+                    heapq.heappush(heap, (new[0], a))
+        return np.array([x for x in sym if x >= 0], dtype=np.int64)
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each non-empty word."""
+        if any(len(w) > LONG_WORD for w in words):
+            short = iter(self.merge([w for w in words if len(w) <= LONG_WORD]))
+            return [self.merge_long(w) if len(w) > LONG_WORD else next(short) for w in words]
         lens = np.array([len(w) for w in words], dtype=np.int64)
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         sym = self.inner[flat]
@@ -146,6 +178,7 @@ class Encoder:
         self.table = table
         self.units: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of words and ids
 
     def _learn(self, units: list[str]) -> None:
         split = [self.table.split_word(u) for u in units]
@@ -153,18 +186,21 @@ class Encoder:
         if fresh:
             for w, ids in zip(fresh, self.table.merge(fresh), strict=True):
                 self.words[w] = ids.astype("<i4").tobytes()
+                self.held += len(w) + 4 * len(ids)
         known = self.words
         for u, ws in zip(units, split, strict=True):
             self.units[u] = b"".join([known[w] for w in ws])
+            self.held += len(u) + len(self.units[u])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         cut = self.table.cut
         pieces = [cut.split(t) if cut is not None and "<|" in t else [t] for t in texts]
         split = [[p if i % 2 else [u for u in SPACES.split(p) if u] if CONTROLS.search(p) else p.split() for i, p in enumerate(ps)] for ps in pieces]
-        for cache in (self.units, self.words):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
+        if max(len(self.units), len(self.words)) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.units.clear()
+            self.words.clear()
+            self.held = 0
         missing = list({u for ps in split for p in ps if isinstance(p, list) for u in p if u not in self.units})
         if missing:
             self._learn(missing)
@@ -188,9 +224,11 @@ def decode_ids(ids: pa.ListArray, table: MergeTable) -> pa.Array:
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """df without ``text``, with the ids of its texts and, if named, the text decoded from them again.
 
-    Null and empty texts have no ids and decode to the empty text.  Special tokens in a text are found as such.
+    Null and empty texts have no ids and decode to the empty text.  Special tokens in a text are found as such.  Columns of df with
+    the new names are replaced; an empty table gives no rows.
     """
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, ids, decoded)]
+    df = df.select(*rest, text)
     schema = with_fields(df.select(*rest), (ids, "array<int>"), *([(decoded, "string")] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +247,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with the text of its ids; a null list decodes to the empty text."""
+    """df with the text of its ids; a null list decodes to the empty text.  A column of df with the new name is replaced."""
+    df = df.drop(decoded) if decoded != ids else df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(path)

@@ -27,7 +27,7 @@ from .common import parts, text_slices, with_fields, written
 # Fixed value: the published word pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS, CACHE_BYTES = 600_000, 1 << 26  # words, and bytes of words and ids, that a worker keeps
 SWEEPS = 20  # of coordinate descent
 TRIPLES = 8  # combinations of three enumerated for a length
 
@@ -41,11 +41,13 @@ class Words(dict):
 
     def __init__(self, ids: Callable[[str], bytes]) -> None:
         self.ids = ids
+        self.held = 0
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise Crowded
         self[word] = out = self.ids(" " + word)
+        self.held += len(word) + len(out)
         return out
 
 
@@ -75,8 +77,9 @@ class ByteEncoder:
         first, *words = text.split(" ")
         if not words or not first or first[-1].isspace():
             return self.ids(text)
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.known.held > CACHE_BYTES:
             self.known.clear()
+            self.known.held = 0
         try:
             return b"".join([self.ids(first), *map(self.known.__getitem__, words)])
         except Crowded:
