@@ -7,22 +7,36 @@ non-negative and bounded.  Dimensions are split into essential and non-essential
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROBE = 8  # non-essential postings probed between two prunings
 SEED_ROWS = 256  # rows scored in full for a shard's first threshold
 
 
+def _floor(scale: float):
+    """floor of a scaled component as a double: the built-in floor gives a long, which large numbers (whole anyway) do not fit."""
+
+    def of(c: Column) -> Column:
+        y = c.cast("double") * F.lit(scale)
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    return of
+
+
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0) -> DataFrame:
-    """(vec_id, weights): floor(scale * component); rows null, or with null or non-finite components, take no part."""
+    """(vec_id, weights): floor(scale * component), a whole number of any size held in a double; rows null, or with null or non-finite
+    components, or whose scaled components are beyond a double, take no part."""
     x = F.col(vector_col)
-    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * F.lit(scale)) < F.lit(float("inf"))))
     return vectors.filter(fine & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"),
-        F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(scale)).cast("long")).alias("weights"),
+        F.transform(x, _floor(scale)).alias("weights"),
     )
 
 
@@ -72,23 +86,57 @@ def shard_topk(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: n
     return out
 
 
-def _matrix(col: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(col), width), dtype=np.int64)
-    for i, v in enumerate(col):
+def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), dtype=np.int64)
+    for i, v in enumerate(rows):
         out[i, : len(v)] = v
     return out
 
 
+def _ordered(score: int) -> bytes:
+    """Bytes that sort as the whole numbers do, however large: length, then magnitude, both turned round for negative ones."""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = (0x8000 + size).to_bytes(2, "big") + abs(score).to_bytes(size, "big")
+    return raw if score >= 0 else bytes(255 - x for x in raw)
+
+
+def cell_topk(ids: np.ndarray, rows: list[np.ndarray], query_ids: np.ndarray, queries: list[np.ndarray], k: int) -> list[tuple[int, int, int]]:
+    """(query, id, score) of the k best rows for every query.  Rows whose products could leave 64 bits, on either side, are scored
+    in Python's whole numbers; the others by MaxScore."""
+    width = max([0, *map(len, rows), *map(len, queries)])
+    most = float(math.isqrt((1 << 61) // max(4 * width, 1)))
+    fits = lambda vs: np.array([not len(v) or float(np.abs(v).max()) <= most for v in vs], dtype=bool)
+    small, asked = fits(rows), fits(queries)
+    pick = lambda vs, at: [vs[i] for i in np.flatnonzero(at)]
+    out = shard_topk(ids[small], _matrix(pick(rows, small), width), query_ids[asked], _matrix(pick(queries, asked), width), k)
+    if small.all() and asked.all():
+        return out
+    exact = lambda v: [int(x) for x in v]
+    large = [(int(ids[i]), exact(rows[i])) for i in np.flatnonzero(~small)]
+    best: dict[int, list[tuple[int, int]]] = {}
+    for q, i, s in out:
+        best.setdefault(q, []).append((-s, i))
+    every = None
+    for q, w, fast in zip(query_ids.tolist(), queries, asked.tolist(), strict=True):
+        if not fast and every is None:
+            every = [(int(i), exact(v)) for i, v in zip(ids, rows, strict=True)]
+        w = exact(w)
+        more = [(-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, v in (large if fast else every) if i != q]
+        best[q] = heapq.nsmallest(k, best.get(q, []) + more)
+    return [(q, i, -s) for q, found in best.items() for s, i in found]
+
+
 def maxscore_topk(vectors: DataFrame, queries: DataFrame, k: int, chunk: int = 16384, block: int = 2048) -> DataFrame:
     """Each query's k best vectors by integer inner product: (query_id, rank, vec_id, score).
 
-    vectors, queries: (vec_id long, weights array<long>).  Candidates are every row but those of the query's own id;
+    vectors, queries: (vec_id long, weights array<double> of whole numbers).  Candidates are every row but those of the query's own id;
     shorter vectors count as padded with zeros.  A repeated candidate row counts each time, a repeated query id once
-    (its smallest vector).  Fewer candidates than k: all of them.  Empty tables give an empty result.
+    (its smallest vector).  Fewer candidates than k: all of them.  Empty tables give an empty result.  Scores are exact and ranked as
+    such at any size; one that a long cannot hold is shown as the nearest long.
     Work is cut in a grid of candidate chunks and query blocks of bounded size; only k rows per query and chunk
     leave a cell, and they are merged by rank.
     """
-    queries = queries.groupBy("vec_id").agg(F.min("weights").alias("weights"))
+    queries = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("weights").alias("asked"))
     n, q = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // chunk)), max(1, -(-q // block))
     shards = max(shards, min(8, -(-n // 2048)))
@@ -98,17 +146,16 @@ def maxscore_topk(vectors: DataFrame, queries: DataFrame, k: int, chunk: int = 1
     )
     right = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "weights",
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "asked",
     )
 
     def cell(cands: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        width = max([0, *map(len, cands["weights"]), *map(len, asked["weights"])])
-        rows = shard_topk(
-            cands["vec_id"].to_numpy(), _matrix(cands["weights"], width),
-            asked["vec_id"].to_numpy(), _matrix(asked["weights"], width), k,
-        )
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        if not len(cands) or not len(asked):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "order": []})
+        found = cell_topk(cands["vec_id"].to_numpy(), list(cands["weights"]), asked["query_id"].to_numpy(), list(asked["asked"]), k)
+        rows = [(a, b, max(-(1 << 63), min(s, (1 << 63) - 1)), _ordered(s)) for a, b, s in found]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "order"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+
+    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(cell, "query_id long, vec_id long, score long, order binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("order"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator and stage."""
 
+import json
 import random
 import zlib
 
@@ -220,6 +221,36 @@ def test_chat(spark):
     assert chat.link_tool_calls(df.filter("false"), TOOLS).count() == 0
 
 
+def test_chat_ids_count_within_a_conversation(spark):
+    call = lambda i, after="[]": f'{{"tool_call": {{"id": "{i}", "name": "add", "arguments": {{"x": 1}}, "after": {after}}}}}'
+    result = lambda i, content: f'{{"tool_result": {{"id": "{i}", "content": {content}}}}}'
+    rows = [(1, 1, "assistant", call("call_1")), (1, 2, "tool", result("call_1", 10)), (2, 3, "assistant", call("call_1")), (2, 4, "tool", result("call_1", 20)), (2, 5, "assistant", call("b", '["call_1"]')), (3, 1, "assistant", call("b", '["call_1"]')), (None, 1, "assistant", call("call_1"))]
+    got = {(r["conv_id"], r["call_id"]): (r["status"], r["level"], r["record"]) for r in chat.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect()}
+    assert got[1, "call_1"][:2] == got[2, "call_1"][:2] == ("ok", 0) and '"result":10' in got[1, "call_1"][2] and '"result":20' in got[2, "call_1"][2]
+    assert got[2, "b"][:2] == ("no result", 1) and got[3, "b"][0] == "missing predecessor" and got[None, "call_1"][:2] == ("no result", 0)
+
+
+def test_chat_levels_against_a_plain_walk(spark):
+    rng = random.Random(17)
+    deps = {i: [i - 1] if i % 50 else [] for i in range(200)}  # chains of fifty
+    deps |= {i: rng.sample(range(200, i), k=min(i - 200, rng.randint(0, 3))) + rng.sample(range(200), k=rng.randint(0, 1)) for i in range(200, 260)}
+    deps |= {260: [261], 261: [262], 262: [260], 263: [262], 264: [263, 5], 265: [264], 266: [266], 267: [10, 11], 268: [267], 269: [268, 12]}
+    calls = spark.createDataFrame([(str(i), [str(d) for d in ds]) for i, ds in deps.items()], "key string, deps array<string>")
+    level = {}
+    for _ in range(len(deps)):
+        for i, ds in deps.items():
+            if i not in level and all(d in level for d in ds):
+                level[i] = max([level[d] + 1 for d in ds], default=0)
+    assert {int(r["key"]): r["level"] for r in chat.levels(calls).collect()} == {i: level.get(i) for i in deps}
+
+
+def test_chat_of_long_texts(spark):
+    text = ("word \\n" + "é" * 10) * 20_000
+    rows = [(1, 1, "assistant", json.dumps({"tool_call": {"id": "a", "name": "add", "arguments": {"x": 1, "note": text}}})), (1, 2, "tool", json.dumps({"tool_result": {"id": "a", "content": text}}))]
+    got = chat.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect()
+    assert len(got) == 1 and json.loads(got[0]["record"]) == {"arguments": {"x": 1, "note": text}, "id": "a", "name": "add", "result": text}
+
+
 def test_toxicity(docs, none, spark):
     rng = random.Random(4)
     rows = [(i, ". ".join(" ".join(rng.choices(VOCAB, k=8)) for _ in range(6)) + (". you vileword there" if i % 4 == 0 else "")) for i in range(300)]
@@ -254,15 +285,26 @@ def test_toxicity_is_no_matter_of_length(spark):
 
 def test_bpe(docs, none):
     lib = Tokenizer.from_file(WORD)
-    got = {r["doc_id"]: r for r in bpe.encode(docs.withColumn("ids", F.lit("clash")).drop("ids"), WORD, decoded="decoded").collect()}
+    got = {r["doc_id"]: r for r in bpe.encode(docs.withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1)), WORD, decoded="decoded").collect()}
     for i, text in ROWS:
         ids = lib.encode(text or "", add_special_tokens=False).ids
         assert got[i]["ids"] == ids and got[i]["decoded"] == lib.decode(ids, skip_special_tokens=False)
     assert bpe.encode(none, WORD).count() == 0
-    back = bpe.decode(bpe.encode(docs, WORD), WORD)
+    back = bpe.decode(bpe.encode(docs, WORD).withColumn("decoded", F.lit("clash")), WORD)
     assert by_id(back, "decoded") == {i: r["decoded"] for i, r in got.items()}
 
 
+def test_bpe_of_long_words():
+    """The heap of a long word and the rounds of a short one give the library's ids."""
+    table, lib, rng = bpe.table_of(WORD), Tokenizer.from_file(WORD), random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=n)) for n in (2, 3, 50, 900, 1500, 40_000)] + ["a" * 1025, "ab" * 600, "la" * 5000]
+    for w in words:
+        want = lib.encode(w).ids
+        assert bpe.Encoder(table).encode([w])[0] == np.array(want, "<i4").tobytes()
+        assert table.merge_long(w.encode()).tolist() == want
+    assert [x.tolist() for x in table.merge([w.encode() for w in words])] == [lib.encode(w).ids for w in words]
+
+
 def test_bpe_cache_may_start_anew(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     table, lib = bpe.table_of(WORD), Tokenizer.from_file(WORD)
@@ -357,6 +399,14 @@ def test_topk(spark):
         s = w @ w[q]
         best = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5]
         assert got[q] == {k + 1: (i, int(s[i])) for k, i in enumerate(best)}
+    huge = [(0, [1e30, 1.0]), (50, [-1e30, 2.0]), (51, [1e30, 3.0]), (52, [0.5, 0.25]), (53, [3e38, 3e38]), (54, [2.0**60, 5.0])]
+    h = topk.integer_vectors(spark.createDataFrame(huge, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    whole = {i: [int(np.floor(256 * float(np.float32(c)))) for c in x] for i, x in huge}
+    found = topk.maxscore_topk(h, h.filter("vec_id % 50 = 0"), 5).collect()
+    for q in (0, 50):
+        dot = {i: sum(a * b for a, b in zip(x, whole[q], strict=True)) for i, x in whole.items() if i != q}
+        best = sorted(dot, key=lambda i: (-dot[i], i))
+        assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, max(-(2**63), min(dot[i], 2**63 - 1))) for i in best]
     few = topk.maxscore_topk(v.filter("vec_id < 3"), v.filter("vec_id = 0"), 5)
     assert few.count() == 2
     assert topk.maxscore_topk(v.filter("false"), v.filter("false"), 5).count() == 0
