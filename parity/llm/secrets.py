@@ -4,6 +4,10 @@ Candidates are the values of any length and characters that are assigned to a na
 characters in a text.  Their features: length, shares and transitions of character
 classes, coverage by a dictionary of the corpus's own frequent words, signs of a path, and the neighbouring words.
 A forest fitted on labelled findings decides which candidates are secrets.
+
+Where nobody has labelled findings they are planted: values of a known kind, drawn by hash, in surroundings taken from the corpus.
+Their label is how they were made (random key material, or words, paths, rulers, numbers and identifiers), no function of a
+feature.
 """
 
 from __future__ import annotations
@@ -14,9 +18,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 CONTEXT = 40  # code points kept on each side
 DICTIONARY_WORDS = 256  # the proven bound of the broadcast dictionary
 MOST_LABELLED = 20_000  # labelled findings that the forest is fitted on, drawn by hash
+ROUNDS = 4  # planted values of each kind for one place of the corpus
 TREES, DEPTH, SEED = 20, 6, 7
 
 # Words that announce a credential, and signs of a path or an address.
@@ -30,7 +37,6 @@ PATHS = "(://|www\\.|\\.[a-z]{2,4}/|[a-z0-9]/[a-z0-9])"
 NAMED = f"(?<![A-Za-z0-9_\\-])[A-Za-z0-9_\\-]{{0,30}}?(?i:{WORDS})[A-Za-z0-9_\\-]{{0,20}}[\"'`]?\\s{{0,4}}{ASSIGNS}\\s{{0,4}}"
 VALUE = "(?:\"[^\"\\n]+(?=\")|'[^'\\n]+(?=')|`[^`\\n]+(?=`)|(?!=)(?:(?!&\\w+=)[^\\s\"'`])+)"
 CANDIDATE = f"{NAMED}{VALUE}|[A-Za-z0-9+/_=\\-]{{16,}}"
-LONG = 16  # code points from which a value is told apart from chance, wherever it stands
 
 FEATURES = ["length", "digits", "uppers", "lowers", "marks", "turns", "vowels", "kinds", "hexadecimal", "covered", "path", "path_near", "keyword", "assigned", "quoted"]
 
@@ -86,35 +92,50 @@ def featured(found: DataFrame, words: list[str]) -> DataFrame:
     )
 
 
-def _mixed() -> Column:
-    return (F.col("digits") > 0.1) & (F.col("digits") < 0.95) & (F.col("covered") < 0.3) & (F.col("kinds") > 0.15)
-
-
-def _announced() -> Column:
-    return (F.col("assigned") > 0) & (F.col("keyword") > 0)
-
-
-def labelled_by_rules(found: DataFrame, doubtful: bool = False) -> DataFrame:
-    """Labelled findings (features, label) where nobody has labelled any: sure cases only, the doubtful are left out
-    or have no label.
-
-    Secret: an announced or quoted value of six characters or more that is assigned, mixes digits and letters without
-    dictionary words and looks like no path, or changes between upper case, lower case and digits as no path does.  Not a
-    secret: no digit and no announcement, or mostly dictionary words, or a long value of five different characters at
-    most, or a path that is not announced and assigned.
-    """
-    as_key = (F.col("uppers") > 0.1) & (F.col("lowers") > 0.1) & (F.col("turns") > 0.45)
-    secret = _mixed() & (F.col("length") >= 6) & (F.col("assigned") > 0) & ((F.col("keyword") > 0) | (F.col("quoted") > 0)) & ((F.col("path") == 0) | as_key)
-    few = (F.col("length") >= LONG) & (F.col("kinds") * F.least("length", F.lit(64.0)) <= 5)
-    other = ((F.col("digits") == 0) & (F.col("keyword") == 0)) | (F.col("covered") > 0.5) | few | ((F.col("path") > 0) & ~_announced())
-    label = F.when(secret, 1).when(other, 0)
-    found = found.withColumn("label", label)
-    return found if doubtful else found.filter("label is not null")
+#: Names that planted findings are assigned to, and what stands between name and value.
+NAMES = ["api_key", "token", "password", "client_secret", "auth", "access_key", "db.password", "PRIVATE_TOKEN"]
+SIGNS = [' = "', '="', ": '", "=", ": ", " := "]
+KINDS = 12
+
+
+def planted(found: DataFrame, words: list[str], most: int = MOST_LABELLED) -> DataFrame:
+    """(value, before, after, label) of values made for the purpose, in the surroundings of at most ``most / (KINDS * ROUNDS)`` candidates of
+    the corpus, drawn by hash.  Half of all places announce the value by a name, whatever its label."""
+    places = found.select("before", "after", F.sha2(F.concat_ws("|", "value", "before", "after"), 256).alias("h")).orderBy("h", "before", "after").limit(max(1, most // (KINDS * ROUNDS)))
+    rows = places.select("before", "after", F.explode(F.sequence(F.lit(0), F.lit(KINDS * ROUNDS - 1))).alias("i"), "h")
+    rows = rows.withColumn("h", F.sha2(F.concat_ws("-", "h", "i"), 256)).withColumn("kind", F.col("i") % KINDS)
+    draw = lambda tag, n: F.pmod(F.xxhash64("h", F.lit(tag)), F.lit(n)).cast("int")
+    one_of = lambda tag, xs: F.element_at(F.array(*map(F.lit, xs)), draw(tag, len(xs)) + 1)
+    some = words or ["word", "name", "file"]
+    word = lambda tag: one_of(tag, some)
+    digest = F.concat("h", F.sha2("h", 256))  # 128 hexadecimal digits
+    code = F.regexp_replace(F.concat(F.base64(F.unhex("h")), F.base64(F.unhex(F.sha2("h", 256)))), "=", "")
+    plain, digits = F.regexp_replace(code, "[+/]", ""), F.regexp_replace(digest, "[a-f]", "")
+    cut = lambda text, tag, low, high: F.substr(text, F.lit(1), F.lit(low) + draw(tag, high - low + 1))
+    join = lambda by: F.concat_ws(by, word("a"), word("b"), F.when(draw("c", 3) > 0, word("c")), F.when(draw("d", 3) > 0, word("d")))
+    number = draw("n", 2000).cast("string")
+    around = F.regexp_replace(F.concat("before", "after"), "[^A-Za-z]", "")  # the place's own letters, run together
+    prose = F.when(F.length(around) >= 16, cut(around, "len", 16, 40)).otherwise(join(""))
+    made = [
+        # secrets
+        cut(digest, "len", 16, 64), F.upper(cut(digest, "len", 16, 64)), cut(code, "len", 20, 64), cut(plain, "len", 16, 48), F.upper(F.concat(F.lit("AK"), cut(plain, "len", 14, 20))),
+        F.concat(cut(plain, "len", 3, 6), one_of("mark", ["!", "@", "$", ".", "#", "%"]), F.substr(plain, F.lit(20), F.lit(2) + draw("tail", 6)), F.substr(digits, F.lit(1), F.lit(1) + draw("digits", 3))),
+        # no secrets
+        join("_"), F.concat(join("-"), F.lit("-"), number), F.concat(join("/"), F.lit("/"), F.when(draw("hex", 2) > 0, cut(digest, "len", 8, 32)).otherwise(number), F.lit("/"), word("e")),
+        F.repeat(one_of("ruler", ["=", "-", "_", "x", "0", "-="]), F.lit(8) + draw("len", 40)), F.when(draw("date", 2) > 0, cut(digits, "len", 8, 40)).otherwise(F.concat(F.lit("20"), F.substr(digits, F.lit(1), F.lit(2)), F.lit("-0"), draw("m", 9).cast("string"), F.lit("-"), F.substr(digits, F.lit(5), F.lit(2)))),
+        F.when(draw("camel", 2) > 0, F.concat(F.initcap(word("a")), F.initcap(word("b")), F.initcap(word("c")), F.when(draw("num", 2) > 0, number).otherwise("")))
+        .otherwise(F.when(draw("upper", 2) > 0, F.upper(prose)).otherwise(prose)),
+    ]
+    value = F.element_at(F.array(*made), F.col("kind") + 1)
+    rows = rows.withColumn("sign", F.when((draw("told", 2) == 0) | (F.col("kind") == 5), one_of("sign", SIGNS)))  # a short password is found by its name alone
+    close = F.coalesce(F.regexp_extract("sign", "[\"']$", 0), F.lit(""))
+    before = F.when(F.col("sign").isNotNull(), F.concat(F.right("before", F.lit(20)), F.lit(" "), one_of("name", NAMES), "sign")).otherwise(F.regexp_replace("before", KEYWORDS, "word"))
+    return rows.select(value.alias("value"), before.alias("before"), F.concat(close, F.col("after")).alias("after"), (F.col("kind") < KINDS // 2).cast("int").alias("label"))
 
 
 def fit(labelled: DataFrame, most: int = MOST_LABELLED):
     """A forest fitted on at most ``most`` labelled findings (FEATURES, label 0/1), half of each label at most, drawn by hash of
-    the value; None if one label is missing (nothing is then told apart)."""
+    the value; None if one label is missing."""
     rows = labelled.filter("label is not null").select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64("value", "before").alias("h"))
     half = most // 2
     sample = rows.filter("label = 1").orderBy("h", *FEATURES).limit(half).unionByName(rows.filter("label = 0").orderBy("h", *FEATURES).limit(half))
@@ -128,39 +149,45 @@ def fit(labelled: DataFrame, most: int = MOST_LABELLED):
         sample.unpersist()
 
 
+def _scored(found: DataFrame, model) -> DataFrame:
+    done = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
+    return done.withColumn("score", F.element_at(vector_to_array("probability"), 2))
+
+
+def held_out_figures(docs: DataFrame, most: int = MOST_LABELLED) -> tuple[float, float]:
+    """(precision, recall) on the fifth of the planted findings, by hash of the value, that a forest fitted on the rest has not seen."""
+    found, words = written(candidates(docs), "candidates"), dictionary(docs)
+    rows = featured(planted(found, words, most), words).withColumn("fold", F.pmod(F.xxhash64("value"), F.lit(5)))
+    rows = written(rows, "planted")
+    got = _scored(rows.filter("fold = 0"), fit(rows.filter("fold > 0"), most)).withColumn("said", F.col("score") >= 0.5)
+    hit, said, all_ = got.agg(F.count_if(F.col("said") & (F.col("label") == 1)), F.count_if("said"), F.sum("label")).first()
+    return hit / max(said, 1), hit / max(all_, 1)
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, k1, start, value, before, after, score, secret) of every candidate of docs (doc_id, text).
 
-    labelled: findings with FEATURES, value, before and label; without it the sure cases of docs label themselves.  secret:
-    score >= 0.5.  If only one label is there, candidates score by the rules: 1 and 0 for the sure, of the
-    doubtful 0.5 for announced values that mix digits and letters, else 0.25.  Repeated rows give their
-    findings each; null or empty texts and empty tables give none.
+    labelled: findings (value, before, after, label 0/1); without it, or if it lacks one label, planted ones are learned from.
+    secret: score >= 0.5.  Columns of docs but those two are not read.  Repeated rows give their findings each; null or
+    empty texts and empty tables give none.  The candidates are written once to the shared folder.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = featured(candidates(docs), dictionary(docs))
-    model = fit(labelled if labelled is not None else labelled_by_rules(found))
-    if model is None:
-        sure = labelled_by_rules(found, doubtful=True).withColumn("score", F.coalesce(F.col("label").cast("double"), F.when(_announced() & _mixed(), 0.5).otherwise(0.25)))
-        return sure.select("doc_id", "k1", "start", "value", "before", "after", "score", (F.col("score") >= 0.5).alias("secret"))
-    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
-    score = F.element_at(vector_to_array("probability"), 2)
-    return scored.select("doc_id", "k1", "start", "value", "before", "after", score.alias("score"), (score >= 0.5).alias("secret"))
+    found, words = written(candidates(docs), "candidates"), dictionary(docs)
+    model = fit(featured(labelled.select("value", "before", "after", "label"), words)) if labelled is not None else None
+    model = model or fit(featured(planted(found, words), words))
+    done = found.withColumn("score", F.lit(0.0)) if model is None else _scored(featured(found, words), model)  # None: there is no candidate
+    return done.select("doc_id", "k1", "start", "value", "before", "after", "score", (F.col("score") >= 0.5).alias("secret"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret of its texts replaced by ``mark``, a long one wherever it stands; other rows and columns are untouched."""
-    span = F.struct("start", F.length("value").alias("n"), "value")
-    found = scan(docs).filter("secret").groupBy(F.col("k1").alias("__key")).agg(F.array_sort(F.collect_set(span)).alias("__spans"))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.col("text").cast("string")))
+    """docs with the span of every secret replaced by ``mark``; all else in its texts, other rows and columns are untouched."""
+    found = scan(docs).filter("secret").groupBy(F.col("k1").alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", F.length("value").alias("n")))).alias("__spans"))
     text = F.col("text").cast("string")
-    none = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    placed = F.aggregate(
-        "__spans", none,
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", text))
+    clean = F.aggregate(
+        "__spans", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(F.concat(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("done"), (s["start"] + s["n"]).alias("at")),
         lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1)),
     )
-    long = F.array_distinct(F.transform(F.filter("__spans", lambda s: s["n"] >= LONG), lambda s: s["value"]))
-    longest_first = F.array_sort(long, lambda a, b: F.length(b) - F.length(a))
-    clean = F.aggregate(longest_first, placed, lambda t, v: F.replace(t, v, F.lit(mark)))
     joined = keyed.join(found, "__key", "left")
     return joined.select(*(F.coalesce(clean, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))

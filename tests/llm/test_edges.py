@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import string
 import zlib
 
 import numpy as np
@@ -179,6 +181,45 @@ def test_secrets(docs, none, spark):
 TOOLS = {"add": {"x": ("integer", True), "note": ("string", False)}}
 
 
+def test_planted_findings_hold_out(spark, sf_dir):
+    precision, recall = secrets.held_out_figures(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert precision > 0.9 and recall > 0.9
+
+
+def test_secrets_take_labelled_findings(spark):
+    rows = [(i, f"the code is {'A' * 10}{i:010d} here") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(f"{'A' * 10}{i:010d}", "the code is ", " here", 1) for i in range(60)] + [(f"lowerletters{'q' * (i % 9)}", "x ", " y", 0) for i in range(60)], "value string, before string, after string, label int")
+    assert secrets.scan(docs, labelled).filter("secret").count() == 40
+    assert secrets.scan(docs, labelled.filter("label = 1")).count() == 40
+
+
+def test_candidates_and_features_against_plain_python(spark, sf_dir):
+    """Candidates by Python's re, the character features by counting."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, 'é api_key = "a1-b2 c3" x'), (-2, "tokens=ab&key=QQ w"), (-3, "a" * 16 + " " + "b" * 15), (-4, None), (-5, "pass: `x`")], "doc_id long, text string"))
+    words = ["the", "and", "tion"]
+    got = {(r["doc_id"], r["start"]): r for r in secrets.featured(secrets.candidates(docs), words).collect()}
+    want = {}
+    pattern, named = re.compile(secrets.CANDIDATE, re.A), re.compile(f"^({secrets.NAMED}[\"'`]?)(?=[^=])", re.A)
+    for r in docs.collect():
+        for m in pattern.finditer(r["text"] or ""):
+            name = named.match(m.group())
+            n = len(name.group(1)) if name else 0
+            want[r["doc_id"], m.start() + n] = m.group()[n:]
+    assert {k: r["value"] for k, r in got.items()} == want and len(want) > 20
+    for r in got.values():
+        v = r["value"]
+        share = lambda keep: sum(c in keep for c in v) / len(v)  # noqa: B023, E731
+        kind = ["0" if c in "0123456789" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "-" for c in v]
+        expected = {
+            "length": len(v), "digits": share("0123456789"), "uppers": share(string.ascii_uppercase), "lowers": share(string.ascii_lowercase), "vowels": share("aeiouAEIOU"),
+            "turns": 1 - sum(a == b for a, b in zip(kind, kind[1:], strict=False)) / len(v), "kinds": len(set(v)) / min(len(v), 64), "covered": 1 - len(re.sub("tion|and|the", "", v.lower())) / len(v),
+        }
+        for name, x in expected.items():
+            assert r[name] == pytest.approx(x), (name, v)
+
+
 def test_secrets_of_every_form(spark):
     draw = random.Random(5)
     text = "".join
