@@ -110,7 +110,8 @@ def _listed(docs: DataFrame, k: int) -> tuple[DataFrame, bool]:
 
 
 def _candidates(docs: DataFrame, k: int) -> DataFrame:
-    """(window, check, hot, k1, k2, starts) of the windows whose anchor is in the row's list, one row for each document and window in it."""
+    """(window, check, hot, k1, k2, start, more) of the windows whose anchor is in the row's list, one row for each document and window in
+    it: where it starts first, and further starts if there are any (mostly null, which keeps the shuffled rows short)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,28 +131,30 @@ def _candidates(docs: DataFrame, k: int) -> DataFrame:
                 full, check, owner = window_hashes(words, k)[at], window_hashes(checks, k, CHECK_POWERS)[at], text[at]
                 order, head, _ = _runs(owner, full, check)
                 start = (at - first[owner]).astype(np.int32)[order]
-                one = order[head]
-                starts = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(start))
-                cols = [pa.array(signed(full[one])), pa.array(signed(check[one])), pa.array(hit["hot"][at[one]]), pa.array(k1[owner[one] + a]), pa.array(k2[owner[one] + a]), starts]
-                yield pa.RecordBatch.from_arrays(cols, names=["window", "check", "hot", "k1", "k2", "starts"])
+                one, many = order[head], np.diff(np.append(head, len(order)))
+                later = np.ones(len(order), dtype=bool)
+                later[head] = False
+                more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many - 1)).astype(np.int32)), pa.array(start[later]), mask=pa.array(many == 1))
+                cols = [pa.array(signed(full[one])), pa.array(signed(check[one])), pa.array(hit["hot"][at[one]]), pa.array(k1[owner[one] + a]), pa.array(k2[owner[one] + a]), pa.array(start[head]), more]
+                yield pa.RecordBatch.from_arrays(cols, names=["window", "check", "hot", "k1", "k2", "start", "more"])
 
-    return docs.mapInArrow(run, "window long, check long, hot boolean, k1 long, k2 int, starts array<int>")
+    return docs.mapInArrow(run, "window long, check long, hot boolean, k1 long, k2 int, start int, more array<int>")
 
 
 def _repeated(rows: DataFrame, some_hot: bool) -> DataFrame:
-    """(k1, k2, starts) of the rows whose window starts more than once.
+    """(k1, k2, start, more) of the rows whose window starts more than once.
 
     A window that is not hot has as many rows as its anchor at most.  A hot one is counted within salts; rows that are
     alone in their salt, one for each salt at most, stay if another salt has the window too.
     """
-    times = lambda *by: F.sum(F.size("starts")).over(Window.partitionBy("window", "check", *by))
-    out = rows.filter("not hot").withColumn("n", times()).filter("n > 1").select("k1", "k2", "starts")
+    times = lambda *by: F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0))).over(Window.partitionBy("window", "check", *by))
+    out = rows.filter("not hot").withColumn("n", times()).filter("n > 1").select("k1", "k2", "start", "more")
     if not some_hot:
         return out
     salted = rows.filter("hot").withColumn("salt", F.pmod("k1", F.lit(parts(rows.sparkSession)))).withColumn("n", times("salt"))
     spread = salted.groupBy("window", "check").agg(F.min("salt").alias("x"), F.max("salt").alias("y")).filter("x <> y")
     alone = salted.filter("n = 1").join(spread, ["window", "check"], "left_semi")
-    return out.unionByName(salted.filter("n > 1").select("k1", "k2", "starts")).unionByName(alone.select("k1", "k2", "starts"))
+    return out.unionByName(salted.filter("n > 1").select("k1", "k2", "start", "more")).unionByName(alone.select("k1", "k2", "start", "more"))
 
 
 def _cut(docs: DataFrame, k: int) -> DataFrame:
@@ -215,6 +218,6 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     listed, some_hot = _listed(docs, window)
     # both joins read the same columns of docs, so that the texts are shuffled once
     rows = _candidates(docs.join(listed, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "rest", "anchors", "hot"), window)
-    starts = _repeated(rows, some_hot).groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = _repeated(rows, some_hot).groupBy("k1", "k2").agg(F.concat(F.collect_list("start"), F.flatten(F.collect_list("more"))).alias("starts"))
     joined = docs.join(starts, ["k1", "k2"], "left").select("doc_id", "text", "rest", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
     return _cut(joined, window)
