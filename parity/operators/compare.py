@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from parity.functions.nested import canon_rows
 from parity.functions.numbers import ABS, REL, decimals_to_double, is_close
 
-from .numbering import numbered
+from .numbering import laid_out, with_sums
 
 EXACT_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 
@@ -53,33 +53,52 @@ def _cell_equal(x: Column, y: Column, loose: bool, rel: float, abs_tol: float) -
     return F.when(x.isNull() | y.isNull(), x.isNull() & y.isNull()).otherwise(is_close(x, y, rel, abs_tol) if loose else x == y)
 
 
-def _left_over(a: DataFrame, b: DataFrame) -> DataFrame:
-    """What stays of both bags when equal rows are taken out of each, with __side 1 or -1."""
-    rest = multiset_diff(a, b).withColumn("__side", F.signum("diff").cast("int"))
-    copies = F.explode(F.sequence(F.lit(1), F.abs("diff").cast("int")))
-    return rest.withColumn("__copy", copies).drop("diff", "__copy")
+BLOCK = 1 << 16  # positions of a group's sorted lists that are paired in one window
+
+
+def _paired(bags: DataFrame, loose: int, rel: float, abs_tol: float) -> DataFrame:
+    """(g, ok) of bags (g, l0, l1, ..., na, nb): distinct rows of group g with their copies on both sides.
+
+    A group whose bags are wholly equal needs no pairing and one whose sides differ in size has one row that is not ok.  In the others
+    both sides' whole lists, sorted by their numbers, are paired by position.  A row with many copies is a run of positions and is never
+    multiplied; runs are cut at blocks of positions, and wherever a run begins its values meet the other side's there.
+    """
+    names = [f"l{i}" for i in range(loose)]
+    sizes = bags.groupBy("g").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.max(F.col("na") != F.col("nb")).alias("off")).filter("off")
+    uneven = sizes.filter("ta <> tb").select("g", F.lit(False).alias("ok"))
+    todo = bags.join(sizes.filter("ta = tb").select("g"), "g", "left_semi")
+    placed = with_sums(laid_out(todo, "g", *names), pa=F.col("na"), pb=F.col("nb"))
+    first = placed.groupBy("g").agg(F.min("pa").alias("ba"), F.min("pb").alias("bb"))
+    placed = placed.join(first, "g")
+    cells, none = F.struct(F.lit(0).alias("row"), *names), F.lit(None)
+
+    def runs(at: Column, n: str, mine: str) -> DataFrame:
+        rows = placed.filter(F.col(n) > 0).select("g", at.alias("at"), F.col(n).alias("n"), cells.alias("cells"))
+        rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("n") - 1) / BLOCK))))
+        kind = rows.schema["cells"].dataType
+        return rows.select("g", "block", F.greatest("at", F.col("block") * BLOCK).alias("at"), *((F.col("cells") if c == mine else none.cast(kind)).alias(c) for c in ("x", "y")))
+
+    both = runs(F.col("pa") - F.col("ba"), "na", "x").unionByName(runs(F.col("pb") - F.col("bb"), "nb", "y"))
+    w = Window.partitionBy("g", "block").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.select("g", F.last("x", ignorenulls=True).over(w).alias("x"), F.last("y", ignorenulls=True).over(w).alias("y"))
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & _cell_equal(F.col("x")[c], F.col("y")[c], True, rel, abs_tol)
+    return met.select("g", F.coalesce(ok, F.lit(False)).alias("ok")).unionByName(uneven)
+
+
+def _grouped(rows: DataFrame, exact: list[str], loose: list[str], in_a: Column) -> DataFrame:
+    cells = [F.struct(F.lit(0).alias("all"), *(F.col(f"`{c}`").alias(f"e{i}") for i, c in enumerate(exact))).alias("g"), *(F.col(f"`{c}`").alias(f"l{i}") for i, c in enumerate(loose))]
+    rows = rows.select(*cells, in_a.alias("in_a"))
+    return rows.groupBy("g", *(f"l{i}" for i in range(len(loose)))).agg(F.count_if("in_a").alias("na"), F.count_if(~F.col("in_a")).alias("nb"))
 
 
 def tolerant_pairs(a: DataFrame, b: DataFrame, rel: float = REL, abs_tol: float = ABS) -> DataFrame:
-    """(ok) for each pair of rows that exact bag equality leaves over: rows are grouped by their exact cells, sorted by their numbers
-    inside a group and paired by position; a row without a partner is not ok."""
+    """(ok) for each run of paired rows where bags are not equal as they are: rows are grouped by their exact cells, sorted by their
+    numbers inside a group and paired by position; groups of different sizes are not ok."""
     a, b, exact, loose = _aligned(a, b)
-    rest = _left_over(a, b)
-    if exact:
-        rest = rest.withColumn("__rn", F.row_number().over(Window.partitionBy("__side", *(F.col(f"`{c}`") for c in exact)).orderBy(*(F.col(f"`{c}`") for c in loose), F.lit(0))))
-        one, two = rest.filter("__side = 1"), rest.filter("__side = -1")
-    else:  # all numbers: one group, numbered by sorted ranges
-        order = [F.col(f"`{c}`") for c in loose]
-        one, two = (numbered(rest.filter(F.col("__side") == s), *order, name="__rn") for s in (1, -1))
-    y = two.select(F.col("__rn").alias("__rn2"), F.lit(True).alias("__two"), *(F.col(f"`{c}`").alias(f"__y_{c}") for c in a.columns))
-    x = one.withColumn("__one", F.lit(True))
-    on = F.col("__rn") == F.col("__rn2")
-    for c in exact:
-        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"`__y_{c}`"))
-    ok = F.col("__one").isNotNull() & F.col("__two").isNotNull()
-    for c in loose:
-        ok = ok & _cell_equal(F.col(f"`{c}`"), F.col(f"`__y_{c}`"), True, rel, abs_tol)
-    return x.join(y, on, "full").select(F.coalesce(ok, F.lit(False)).alias("ok"))
+    bags = _grouped(a.withColumn("__a", F.lit(True)).unionAll(b.withColumn("__a", F.lit(False))), exact, loose, F.col("__a"))
+    return _paired(bags, len(loose), rel, abs_tol).select("ok")
 
 
 def tolerant_equal(a: DataFrame, b: DataFrame, rel: float = REL, abs_tol: float = ABS) -> DataFrame:
@@ -107,29 +126,44 @@ def ordered_equal(a: DataFrame, b: DataFrame, **how) -> DataFrame:
 
 def tolerant_match(a: DataFrame, b: DataFrame, rel: float = REL, abs_tol: float = ABS) -> DataFrame:
     """Unmatched rows per group of exact cells where sorted order could misalign near-equal numbers: each left-over row of a takes
-    the first free row of b within tolerance, in sorted order.  (exact cells, unmatched_a, unmatched_b)."""
+    the first free row of b within tolerance, in sorted order.  (exact cells, unmatched_a, unmatched_b).
+
+    Left-over rows are sorted in ranges by their cells and cut wherever the first number makes a step beyond the tolerance: no match crosses
+    such a gap, so each stretch is matched on its own, whatever group it lies in; copies are counts.
+    """
     a, b, exact, loose = _aligned(a, b)
-    rest = _left_over(a, b)
+    rest = multiset_diff(a, b)
+    cells = [F.struct(F.lit(0).alias("all"), *(F.col(f"`{c}`").alias(f"e{i}") for i, c in enumerate(exact))).alias("g"), *(F.col(f"`{c}`").alias(f"l{i}") for i, c in enumerate(loose))]
+    names = [f"l{i}" for i in range(len(loose))]
+    laid = laid_out(rest.select(*cells, "diff"), "g", *names)
+    here = F.struct("g", (F.col("l0") if loose else F.lit(0.0)).alias("v"))
+    ends = laid.groupBy("__part").agg(F.max_by(here, "__at").alias("end"))
+    ends = ends.select("__part", F.lag("end").over(Window.orderBy("__part")).alias("__end"))
+    prev = F.coalesce(F.lag(here).over(Window.partitionBy("__part").orderBy("__at")), F.col("__end"))
+    near = (F.col("__prev")["g"] == F.col("g")) & _cell_equal(F.col("__prev")["v"], here["v"], True, rel, abs_tol)
+    cut = laid.join(F.broadcast(ends), "__part", "left").withColumn("__prev", prev).withColumn("__new", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
+    stretch = with_sums(cut.drop("__prev", "__end"), stretch=F.col("__new")).withColumn("stretch", F.col("stretch") + F.col("__new"))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.loc[pdf["__side"] == 1, loose].sort_values(loose).to_numpy(float) if loose else np.zeros(((pdf["__side"] == 1).sum(), 0))
-        y = pdf.loc[pdf["__side"] == -1, loose].sort_values(loose).to_numpy(float) if loose else np.zeros(((pdf["__side"] == -1).sum(), 0))
-        free, alone = np.ones(len(y), dtype=bool), 0
-        for row in x:
-            near = (np.abs(y - row) <= np.maximum(rel * np.maximum(np.abs(y), np.abs(row)), abs_tol)) | (y == row) | (np.isnan(y) & np.isnan(row))
-            at = np.flatnonzero(free & near.all(axis=1))
-            if len(at):
-                free[at[0]] = False
-            else:
-                alone += 1
-        out = pdf[exact].head(1).copy()
-        return out.assign(unmatched_a=alone, unmatched_b=int(free.sum()))
-
-    if not exact:
-        rest, exact = rest.withColumn("__all", F.lit(0)), ["__all"]
-    fields = [rest.schema[c] for c in exact]
-    schema = T.StructType([*fields, T.StructField("unmatched_a", T.LongType()), T.StructField("unmatched_b", T.LongType())])
-    return rest.groupBy(*(F.col(f"`{c}`") for c in exact)).applyInPandas(match, schema).drop("__all")
+        pdf = pdf.sort_values("__at") if not names else pdf.sort_values(names)
+        x, y = pdf[pdf["diff"] > 0], pdf[pdf["diff"] < 0]
+        there, free, alone = y[names].to_numpy(float), (-y["diff"]).to_numpy().copy(), 0
+        for row, n in zip(x[names].to_numpy(float), x["diff"].tolist(), strict=True):
+            near = (np.abs(there - row) <= np.maximum(rel * np.maximum(np.abs(there), np.abs(row)), abs_tol)) | (there == row) | (np.isnan(there) & np.isnan(row))
+            for i in np.flatnonzero((free > 0) & near.all(axis=1)):
+                took = min(n, int(free[i]))
+                free[i] -= took
+                n -= took
+                if not n:
+                    break
+            alone += n
+        return pd.DataFrame([(pdf["part"].iloc[0], alone, int(free.sum()))], columns=["part", "unmatched_a", "unmatched_b"])
+
+    # a group's cells are told apart by the number of their first row, so that no nested value enters a task
+    known = stretch.groupBy("stretch").agg(F.first("g").alias("g"))
+    matched = stretch.select(F.col("stretch").alias("part"), "stretch", "__at", *names, "diff").groupBy("stretch").applyInPandas(match, "part long, unmatched_a long, unmatched_b long")
+    done = known.join(matched, F.col("stretch") == F.col("part")).groupBy("g").agg(F.sum("unmatched_a").alias("unmatched_a"), F.sum("unmatched_b").alias("unmatched_b"))
+    return done.select(*(F.col("g")[f"e{i}"].alias(c) for i, c in enumerate(exact)), "unmatched_a", "unmatched_b")
 
 
 def verdict(a: DataFrame, b: DataFrame, ordered: bool = False, **how) -> DataFrame:
@@ -144,25 +178,13 @@ def verdict(a: DataFrame, b: DataFrame, ordered: bool = False, **how) -> DataFra
 def batch_verify(results: DataFrame, exact: list[str], loose: list[str], rel: float = REL, abs_tol: float = ABS) -> DataFrame:
     """Verdict per pair over rows (pair_id, side 'a' or 'b', cells): rows_a, rows_b, exact_equal, tolerant_equal, reason.
 
-    Equal rows cancel first under the key (pair_id, cells), so one huge pair spreads over all tasks; only what is left is paired.
+    Rows are counted under the key (pair_id, cells), so one huge pair spreads over all tasks; only groups of exact cells that differ
+    are paired.
     """
-    sign = F.when(F.col("side") == "a", 1).otherwise(-1)
-    bags = results.groupBy("pair_id", *exact, *loose).agg(F.sum(sign).alias("diff"), F.count(F.when(F.col("side") == "a", 1)).alias("na"), F.count(F.when(F.col("side") == "b", 1)).alias("nb"))
-    sizes = bags.groupBy("pair_id").agg(F.sum("na").alias("rows_a"), F.sum("nb").alias("rows_b"), F.count(F.when(F.col("diff") != 0, 1)).alias("off"))
-    rest = bags.filter("diff <> 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.abs("diff").cast("int"))))
-    rest = rest.withColumn("rn", F.row_number().over(Window.partitionBy("pair_id", F.signum("diff"), *exact).orderBy(*loose)))
-    x = rest.filter("diff > 0").select("pair_id", *exact, "rn", *(F.col(c).alias(f"x_{c}") for c in loose))
-    y = rest.filter("diff < 0").select("pair_id", *exact, "rn", *(F.col(c).alias(f"y_{c}") for c in loose), F.lit(True).alias("two"))
-    ok = F.lit(True)
-    for c in loose:
-        ok = ok & _cell_equal(F.col(f"x_{c}"), F.col(f"y_{c}"), True, rel, abs_tol)
-    keys = ["pair_id", *exact, "rn"]
-    y = y.select(*(F.col(k).alias(f"y_{k}") for k in keys), *[f"y_{c}" for c in loose], "two")
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"y_{k}"))
-    met = x.withColumn("one", F.lit(True)).join(y, on, "full").select(F.coalesce("pair_id", "y_pair_id").alias("pair_id"), (F.col("one").isNotNull() & F.col("two").isNotNull() & F.coalesce(ok, F.lit(False))).alias("ok"))
-    bad = met.groupBy("pair_id").agg(F.count(F.when(~F.col("ok"), 1)).alias("bad"))
+    bags = _grouped(results, ["pair_id", *exact], loose, F.col("side") == "a")
+    pair = F.col("g")["e0"].alias("pair_id")
+    sizes = bags.groupBy(pair).agg(F.sum("na").alias("rows_a"), F.sum("nb").alias("rows_b"), F.count_if(F.col("na") != F.col("nb")).alias("off"))
+    bad = _paired(bags, len(loose), rel, abs_tol).groupBy(pair).agg(F.count_if(~F.col("ok")).alias("bad"))
     out = sizes.join(bad, "pair_id", "left").withColumn("tolerant_equal", F.coalesce("bad", F.lit(0)) == 0)
     reason = F.when(F.col("rows_a") + F.col("rows_b") == 0, "No result").when(F.col("tolerant_equal"), "ok").otherwise("inconsistent_result")
     return out.select("pair_id", "rows_a", "rows_b", (F.col("off") == 0).alias("exact_equal"), "tolerant_equal", reason.alias("reason"))

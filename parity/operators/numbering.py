@@ -1,19 +1,37 @@
-"""Global row numbers without a one-task window."""
+"""Global row numbers and running sums without a one-task window."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 _ROWS = 33  # bits of a partition's own counter in monotonically_increasing_id
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "row_no") -> DataFrame:
-    """df with 0, 1, 2 ... in the given order: range partitions are sorted on their own and offset by the rows before them
-    (a table with a row for each partition)."""
+def laid_out(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df in sorted ranges with ``__part`` (the range) and ``__at`` (the place in it), written once, so that all that reads it
+    sees the same ranges."""
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    laid = laid.withColumn("__part", F.shiftright("__id", _ROWS))
+    laid = laid.withColumn("__part", F.shiftright("__id", _ROWS)).withColumn("__at", F.col("__id").bitwiseAND((1 << _ROWS) - 1))
+    return written(laid.drop("__id"), "laid")
+
+
+def with_sums(laid: DataFrame, **sums: Column) -> DataFrame:
+    """laid (of laid_out) with the sum of each column over all rows before a row; a table of one row a range carries them over."""
+    own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    carried = laid.groupBy("__part").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    carried = carried.select("__part", *(F.coalesce(F.sum(n).over(before), none).alias(f"__before_{n}") for n in sums))
+    out = laid.withColumns({n: F.coalesce(F.sum(c).over(own), none) for n, c in sums.items()}).join(F.broadcast(carried), "__part")
+    return out.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in sums}).drop(*(f"__before_{n}" for n in sums))
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "row_no") -> DataFrame:
+    """df with 0, 1, 2 ... in the given order: sorted ranges are offset by the rows before them (a table with a row for each range)."""
+    laid = laid_out(df, *order)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = laid.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = F.col("__id").bitwiseAND((1 << _ROWS) - 1)
-    return laid.join(F.broadcast(offsets), "__part").withColumn(name, own + F.col("__before")).drop("__id", "__part", "__before")
+    return laid.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__at", "__part", "__before")

@@ -67,11 +67,19 @@ def v2_tolerant_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionAll(two)
 
 
-@query("v2_all_numbers", "SELECT true AS equal")
+ALL_NUMBERS = """
+WITH m AS (SELECT s.step, l_extendedprice AS x, l_extendedprice * (1 + s.step) AS y, l_tax AS t FROM lineitem, (VALUES (1e-9), (3e-6)) s(step)),
+ a AS (SELECT step, x, t, row_number() OVER (PARTITION BY step ORDER BY x, t) AS rn FROM m), b AS (SELECT step, y, t AS u, row_number() OVER (PARTITION BY step ORDER BY y, t) AS rn FROM m)
+SELECT step, bool_and(abs(x - y) <= greatest(1e-6 * greatest(abs(x), abs(y)), 1e-9) AND abs(t - u) <= greatest(1e-6 * greatest(abs(t), abs(u)), 1e-9)) AS equal FROM a JOIN b USING (step, rn) GROUP BY step
+"""
+
+
+@query("v2_all_numbers", ALL_NUMBERS)
 def v2_all_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No exact column at all: the pairs are numbered over sorted ranges."""
     a = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_tax")
-    return V.tolerant_equal(a, a.select(F.col("l_extendedprice") * (1 + 1e-9), "l_tax"))
+    one, two = (V.tolerant_equal(a, a.select(F.col("l_extendedprice") * (1 + s), "l_tax")).select(F.lit(s).alias("step"), "equal") for s in (1e-9, 3e-6))
+    return one.unionAll(two)
 
 
 @query(
@@ -88,12 +96,27 @@ def v3_ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.ordered_pairs(a, b)
 
 
-@query("v4_tolerant_match")
+@query(
+    "v4_tolerant_match",
+    f"""
+WITH x AS (SELECT o_orderstatus, o_orderpriority, o_totalprice AS x, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS rn FROM orders WHERE o_orderpriority = '1-URGENT'),
+ y AS (SELECT o_orderstatus, o_totalprice * (1 + 1e-7) AS y, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS rn FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o_orderstatus, o_orderpriority, CAST(count(*) FILTER (NOT {LOOSE_PAIR}) AS BIGINT) AS unmatched_a, CAST(count(*) FILTER (NOT {LOOSE_PAIR}) AS BIGINT) AS unmatched_b FROM x JOIN y USING (o_orderstatus, rn) GROUP BY ALL
+""",
+)
 def v4_tolerant_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tolerant_match(*moved_orders(spark, sf_dir, 1e-7))
 
 
-@query("v5_verdict", "SELECT true AS equal, CASE WHEN count(*) = 0 THEN 'No result' ELSE 'ok' END AS reason FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+V5_SQL = f"""
+WITH p AS (SELECT o_orderpriority AS k, sum(l_extendedprice * (1 - l_discount)) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+ q AS (SELECT o_orderpriority AS k, sum(r) * (1 + 1e-9) AS y FROM (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS r FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+ m AS (SELECT coalesce(bool_and(coalesce({LOOSE_PAIR}, false)), true) AS equal, count(*) AS n FROM p FULL JOIN q USING (k))
+SELECT equal, CASE WHEN n = 0 THEN 'No result' WHEN equal THEN 'ok' ELSE 'inconsistent_result' END AS reason FROM m
+"""
+
+
+@query("v5_verdict", V5_SQL)
 def v5_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.verdict(*revenue_two_ways(spark, sf_dir))
 
@@ -106,10 +129,14 @@ def pair_rows(lines: DataFrame) -> DataFrame:
 
 
 def _v6_sql(lines: str) -> str:
+    """Both bags, sorted by value within pair and flag, paired by row number."""
     return f"""
-SELECT l_orderkey % 50 AS pair_id, count(*) AS rows_a, count(*) AS rows_b, (l_orderkey % 50) % 7 <> 0 AND (l_orderkey % 50) % 5 <> 0 AS exact_equal,
-       (l_orderkey % 50) % 7 <> 0 AS tolerant_equal, CASE WHEN (l_orderkey % 50) % 7 = 0 THEN 'inconsistent_result' ELSE 'ok' END AS reason
-FROM {lines} GROUP BY ALL"""
+SELECT pair_id, count(*) AS rows_a, count(*) AS rows_b, bool_and(x = y) AS exact_equal, bool_and({LOOSE_PAIR}) AS tolerant_equal,
+       CASE WHEN bool_and({LOOSE_PAIR}) THEN 'ok' ELSE 'inconsistent_result' END AS reason
+FROM (SELECT pair_id, l_returnflag, x, row_number() OVER (PARTITION BY pair_id, l_returnflag ORDER BY x) AS rn FROM (SELECT l_orderkey % 50 AS pair_id, l_returnflag, l_extendedprice AS x FROM {lines}))
+JOIN (SELECT pair_id, l_returnflag, y, row_number() OVER (PARTITION BY pair_id, l_returnflag ORDER BY y) AS rn FROM (SELECT l_orderkey % 50 AS pair_id, l_returnflag,
+        CASE WHEN (l_orderkey % 50) % 7 = 0 THEN l_extendedprice + 1 WHEN (l_orderkey % 50) % 5 = 0 THEN l_extendedprice * (1 + 1e-10) ELSE l_extendedprice END AS y FROM {lines})) USING (pair_id, l_returnflag, rn)
+GROUP BY pair_id"""
 
 
 V6_SQL = _v6_sql("lineitem")

@@ -81,6 +81,48 @@ def test_match_crosses_sorted_order(spark):
     assert [tuple(r) for r in V.tolerant_match(a, b).collect()] == [("g", 1, 1)]
 
 
+def close(x, y):
+    return x == y or (x is not None and y is not None and abs(x - y) <= max(1e-6 * max(abs(x), abs(y)), 1e-9))
+
+
+def sorted_pairing(a, b):
+    """The plain form: groups of exact cells, both lists sorted by their numbers and paired by position."""
+    if len(a) != len(b):
+        return False
+    key = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0.0)
+    return all(x[0] == y[0] and close(x[1], y[1]) for x, y in zip(sorted(a, key=key), sorted(b, key=key), strict=True))
+
+
+def test_close_rows_pair_in_sorted_order(spark, monkeypatch):
+    """A row that equals one of the other side may have to pair with its neighbour."""
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "v double")
+    a, b = one([1.0, 1.0000008]), one([1.0000008, 1.0000016])
+    assert V.tolerant_equal(a, b).first()["equal"] and V.verdict(a, b).first()["equal"]
+    rows = a.withColumn("side", F.lit("a")).unionAll(b.withColumn("side", F.lit("b"))).withColumn("pair_id", F.lit(1))
+    assert V.batch_verify(rows, [], ["v"]).first()["tolerant_equal"]
+    monkeypatch.setattr(V, "BLOCK", 3)
+    many = [1.0] * 50 + [1.0000008] * 20 + [2.0] * 7
+    assert V.tolerant_equal(one(many), one([1.0] * 45 + [1.0000008] * 25 + [2.0] * 7)).first()["equal"]
+    assert not V.tolerant_equal(one(many), one([1.0] * 50 + [1.0000008] * 19 + [2.0] * 8)).first()["equal"]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", None]), st.integers(0, 6), st.integers(-2, 2)), min_size=1, max_size=14))
+def test_pairing_equals_the_plain_form(spark, rows):
+    values = lambda shift: [(k, 1 + 7e-7 * (n + (d if shift else 0))) for k, n, d in rows]
+    a, b = values(False), values(True)
+    frame = lambda r: spark.createDataFrame(r, "k string, v double")
+    assert V.tolerant_equal(frame(a), frame(b)).first()["equal"] == sorted_pairing(a, b)
+
+
+def test_match_over_stretches(spark):
+    a = [("g", 1.0), ("g", 1.0), ("g", 1.0000009), ("h", 5.0), (None, 3.0), ("g", 7.0)]
+    b = [("g", 1.0000008), ("g", 1.0000016), ("g", 1.0000004), ("h", 6.0), (None, 3.0000001)]
+    frame = lambda r: spark.createDataFrame(r, "k string, v double")
+    got = {r["k"]: (r["unmatched_a"], r["unmatched_b"]) for r in V.tolerant_match(frame(a), frame(b)).collect()}
+    assert got == {"g": (1, 0), "h": (1, 1), None: (0, 0)}
+
+
 def test_constraints_find_each_violation(spark):
     catalog = {
         "p": {"cols": [{"col_name": "id", "type": {"type_name": "INT"}, "attribute": ["NOT NULL"]}], "primary_key": ["id"]},
