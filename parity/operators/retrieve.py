@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_BROADCAST = 100_000  # rows of the smaller catalog that may be sent to every task
+from parity.functions.text import before_paren
+
 BLOCK, CHUNK = 1024, 16384  # queries and items of one matrix product
 
 
@@ -18,33 +19,66 @@ def unmatched_names(src: DataFrame, tgt: DataFrame, name: str = "keyword") -> Da
     return src.withColumn("__key", key).join(known, "__key", "left_anti").drop("__key")
 
 
+GRAM = 3  # characters of the pieces by which names and descriptions meet
+
+
+def _grams(col: Column) -> Column:
+    """Distinct pieces of GRAM characters; a shorter text is its own piece."""
+    many = F.length(col) - GRAM + 1
+    return F.when(many >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.substr(col, i, F.lit(GRAM))))).otherwise(F.array(col))
+
+
+def _first_gram(col: Column) -> Column:
+    return F.substring(col, 1, GRAM)
+
+
 def keyword_topk(src: DataFrame, tgt: DataFrame, k: int) -> DataFrame:
     """(src_id, tgt_id, score, rank): the k best targets of a source entry by name.
 
-    src, tgt: (id, keyword, description).  Equal names score 100, a name inside the other 50, the source's name in the target's description
-    20 more; only positive scores count, ties by id.  Containment has no join key: the targets are broadcast while they are few;
-    beyond that Spark joins blocks of both.
+    src, tgt: (id, keyword, description).  A name counts up to its parenthesis: equal ones score 100, the source's name inside the target's
+    whole keyword, or that inside it, 50, the source's name in the target's description 20 more; only positive scores
+    count, ties by id; null names match nothing.
+
+    Equal names and descriptions repeat, so different ones are matched and the hits joined with their entries.  A text inside another shares its
+    first piece of GRAM characters with it, so candidates come from an equi-join on pieces and are then verified; a name
+    shorter than that is compared with all different texts (there are few such names).
     """
-    a = src.select(F.col("id").alias("src_id"), F.lower("keyword").alias("a"))
-    b = tgt.select(F.col("id").alias("tgt_id"), F.lower("keyword").alias("b"), F.lower("description").alias("d"))
-    small = b.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    inside = F.contains(F.col("b"), F.col("a")) | F.contains(F.col("a"), F.col("b"))
-    told = F.contains(F.col("d"), F.col("a"))
-    score = F.when(F.col("a") == F.col("b"), 100).when(inside, 50).otherwise(0) + F.when(told, 20).otherwise(0)
-    hits = a.join(F.broadcast(b) if small else b, inside | told).select("src_id", "tgt_id", score.alias("score"))
-    w = Window.partitionBy("src_id").orderBy(F.desc("score"), "tgt_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    a = src.select(F.col("id").alias("src_id"), F.lower(before_paren(F.col("keyword"))).alias("a")).filter("a is not null")
+    b = tgt.select(F.col("id").alias("tgt_id"), F.lower("keyword").alias("b"), F.coalesce(F.lower("description"), F.lit("")).alias("d")).filter("b is not null")
+    names, texts = a.select("a").distinct(), b.select(F.col("b").alias("t")).unionAll(b.select("d")).distinct()
+    short, long = names.filter(F.length("a") < GRAM), names.filter(F.length("a") >= GRAM)
+    held = texts.select("t", F.explode(_grams(F.col("t"))).alias("gram"))
+    inside = long.select("a", _first_gram(F.col("a")).alias("gram")).join(held, "gram").filter(F.contains("t", "a")).select("a", "t")
+    inside = inside.unionByName(short.join(texts, F.contains("t", "a"))).distinct()
+    # and the other way round: a target's keyword inside the source's name
+    words = b.select(F.col("b").alias("t")).distinct()
+    parts = names.select("a", F.explode(_grams(F.col("a"))).alias("gram"))
+    around = words.filter(F.length("t") >= GRAM).select("t", _first_gram(F.col("t")).alias("gram")).join(parts, "gram").filter(F.contains("a", "t")).select("a", "t")
+    around = around.unionByName(words.filter(F.length("t") < GRAM).join(names, F.contains("a", "t")).select("a", "t")).distinct()
+    by_name = inside.unionByName(around).distinct()
+    pairs = by_name.join(b.select("b", "d").distinct(), F.col("t") == F.col("b")).select("a", "b", "d")
+    pairs = pairs.unionByName(inside.join(b.select("b", "d").distinct(), F.col("t") == F.col("d")).select("a", "b", "d")).distinct()
+    met = F.contains("b", "a") | F.contains("a", "b")
+    score = F.when(F.col("a") == F.lower(before_paren(F.col("b"))), 100).when(met, 50).otherwise(0) + F.when(F.contains("d", "a"), 20).otherwise(0)
+    best = Window.partitionBy("a").orderBy(F.desc("score"), "tgt_id")
+    hits = pairs.withColumn("score", score).join(b, ["b", "d"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return hits.join(a, "a").select("src_id", "tgt_id", "score", "rank")
 
 
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, partition_col: str | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): the k nearest items by cosine, within the query's partition if one is named.
 
     queries, items: (id, vector[, partition_col]).  score = round((1 - d / 2) * 100, 2) clipped to 0..100 for the distance d = 1 - cosine.
-    Queries and items meet in a grid of bounded blocks; each block keeps its k best, so little is shuffled for the merge.
+    A query's own id is no item.  Rows whose vector is null, empty or holds null or non-finite numbers take no part, nor do items of another length
+    than the query.  Queries and items meet in a grid of bounded blocks; each block keeps its k best, so little is
+    shuffled for the merge.
     """
+    fine = F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    queries, items = queries.filter(fine), items.filter(fine)
     n, q = items.count(), queries.count()
     chunks, blocks = max(1, -(-n // CHUNK), min(8, -(-n // 512))), max(1, -(-q // BLOCK))
-    part = F.col(partition_col).cast("string") if partition_col else F.lit("")
+    kind = [F.size("vector").cast("string"), *([F.coalesce(F.col(partition_col).cast("string"), F.lit("null"))] if partition_col else [])]
+    part = F.concat_ws("|", *kind)
     left = items.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("long").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), part.alias("p"), "id", "vector")
     right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), part.alias("p"), "id", "vector")
 
@@ -55,7 +89,8 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, partition_col: str
             sims = unit(np.stack(y["vector"]).astype(float)) @ unit(np.stack(x["vector"]).astype(float)).T
             ids = x["id"].to_numpy()
             for i, query in enumerate(y["id"]):
-                best = np.lexsort((ids, -sims[i]))[:k]
+                best = np.lexsort((ids, -sims[i]))[: k + 1]
+                best = best[ids[best] != query][:k]
                 out += [(query, ids[j], sims[i, j]) for j in best]
         return pd.DataFrame(out, columns=["query_id", "item_id", "cosine"]).astype({"query_id": "int64", "item_id": "int64", "cosine": "float64"})
 

@@ -115,23 +115,24 @@ def j4_unmatched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j5_keyword_topk",
-    """WITH a AS (SELECT min(p_partkey) AS id, lower(p_type) AS a FROM part WHERE p_partkey % 2 = 0 GROUP BY p_type), b AS (SELECT p_partkey AS id, lower(p_name) AS b, lower(p_type || ' ' || p_brand) AS d FROM part WHERE p_partkey % 2 = 1),
- h AS (SELECT a.id AS src_id, b.id AS tgt_id, CASE WHEN a = b THEN 100 WHEN contains(b, a) OR contains(a, b) THEN 50 ELSE 0 END + CASE WHEN contains(d, a) THEN 20 ELSE 0 END AS score FROM a, b WHERE contains(b, a) OR contains(a, b) OR contains(d, a))
-SELECT src_id, tgt_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src_id ORDER BY score DESC, tgt_id) AS INTEGER) AS rank FROM h) WHERE rank <= 5""",
+    """WITH a AS (SELECT p_partkey AS id, lower(trim(split_part(p_name, '(', 1))) AS a FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS id, lower(p_name) AS b, lower(p_type || ' ' || p_brand) AS d FROM part WHERE p_partkey % 2 = 1),
+ n AS (SELECT DISTINCT a FROM a), m AS (SELECT DISTINCT b, d FROM b),
+ s AS (SELECT a, b, d, CASE WHEN a = trim(split_part(b, '(', 1)) THEN 100 WHEN contains(b, a) OR contains(a, b) THEN 50 ELSE 0 END + CASE WHEN contains(d, a) THEN 20 ELSE 0 END AS score FROM n, m WHERE contains(b, a) OR contains(a, b) OR contains(d, a)),
+ h AS (SELECT a, id AS tgt_id, score, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS INTEGER) AS rank FROM s JOIN b USING (b, d))
+SELECT a.id AS src_id, tgt_id, score, rank FROM h JOIN a USING (a) WHERE rank <= 5""",
 )
 def j5_keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").groupBy(F.col("p_type").alias("keyword")).agg(F.min("p_partkey").alias("id"))
-    return R.keyword_topk(src, catalogs(spark, sf_dir)[1], 5)
+    return R.keyword_topk(*catalogs(spark, sf_dir), 5)
 
 
 @query(
     "j6_cosine_topk",
-    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), h AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(q.e, i.e) AS c FROM v q JOIN v i ON q.label = i.label WHERE q.vec_id % 100 = 0 AND i.vec_id % 100 <> 0)
+    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), h AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(q.e, i.e) AS c FROM v q JOIN v i ON q.label = i.label WHERE q.vec_id % 100 = 0 AND i.vec_id <> q.vec_id)
 SELECT query_id, item_id, greatest(0.0, least(100.0, round((1 - (1 - c) / 2) * 100, 2))) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, item_id) AS INTEGER) AS rank FROM h) WHERE rank <= 5""",
 )
 def j6_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return R.cosine_topk(v.filter("id % 100 = 0"), v.filter("id % 100 <> 0"), 5, "label")
+    return R.cosine_topk(v.filter("id % 100 = 0"), v, 5, "label")
 
 
 @query("j7_fk_neighbours", "SELECT 'customer' AS tbl, count(*) AS n FROM customer UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
@@ -145,10 +146,19 @@ def j7_fk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("j8_reserved_name_hits")
+@query(
+    "j8_reserved_name_hits",
+    """WITH c AS (SELECT source AS tbl, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: len(x) > 2))) AS col FROM documents),
+ n AS (SELECT DISTINCT tbl, col FROM c), w AS (SELECT DISTINCT upper(lang) AS w FROM documents UNION SELECT DISTINCT upper(split_part(p_name, ' ', 1)) FROM part UNION SELECT 'THE' UNION SELECT 'LES')
+SELECT tbl, col, [] AS links FROM n WHERE upper(col) IN (SELECT w FROM w)""",
+)
 def j8_reserved_name_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") % 2 == 0, "orders").otherwise("Customer").alias("word"))
-    return C.reserved_name_hits(C.columns_frame(spark, CATALOG), words, C.keys_frame(spark, CATALOG))
+    """The words of a source's documents are its columns; languages, the parts' first words and two frequent ones are reserved."""
+    docs, part = table(spark, sf_dir, "documents"), table(spark, sf_dir, "part")
+    found = F.array_distinct(F.filter(F.split("text", "[^A-Za-z]+"), lambda x: F.length(x) > 2))
+    columns = docs.select(F.col("source").alias("tbl"), F.explode(found).alias("col")).distinct()
+    words = docs.select(F.col("lang").alias("word")).unionAll(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).unionAll(docs.select(F.explode(F.array(F.lit("the"), F.lit("les"))))).distinct()
+    return C.reserved_name_hits(columns, words, C.keys_frame(spark, {})).filter("col is not null")
 
 
 @query("j11_compatible_rules", "SELECT p_partkey AS rule_id FROM part WHERE NOT (p_size % 3 = 1)")
@@ -171,15 +181,21 @@ def g2_distinct_point_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.distinct_point_combos(pairs(spark, sf_dir)).withColumn("direction", F.col("direction").cast("string"))
 
 
+CELL = "CASE WHEN {0} IS NULL THEN NULL WHEN regexp_full_match({0}, '-?[0-9]+') THEN 'INT' WHEN regexp_full_match({0}, '-?[0-9]+[.][0-9]+') THEN 'DOUBLE' WHEN regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}.*') THEN 'DATE' ELSE 'VARCHAR' END"
+LINE_CELLS = ["CAST(l_orderkey AS VARCHAR)", "CAST(l_quantity AS VARCHAR)", "CAST(l_shipdate AS VARCHAR)", "l_returnflag"]
+
+
 @query(
     "g3_type_histogram",
-    """SELECT kind, count(*) AS n FROM (SELECT unnest([CASE WHEN r_name IS NOT NULL THEN 'VARCHAR' END, CASE WHEN r_regionkey IS NOT NULL THEN 'INT' END]) AS kind FROM region) GROUP BY kind""",
+    f"""WITH c AS (SELECT unnest([{', '.join(CELL.format(c) for c in LINE_CELLS)}]) AS kind, unnest([1, 2, 3, 4]) AS col FROM lineitem), k AS (SELECT unnest({C.LISTED!r}) AS type_name)
+SELECT type_name, count(kind) AS n FROM k LEFT JOIN c ON kind = type_name GROUP BY 1 UNION ALL SELECT 'columns', count(*) FROM c UNION ALL SELECT 'tables', count(DISTINCT col) FROM c""",
 )
 def g3_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of region per catalog type."""
-    kinds = {r["type_name"]: r["n"] for r in C.type_histogram(C.columns_frame(spark, {"region": CATALOG["region"]})).collect()}
-    typed = F.explode(F.array(*(F.lit(k) for k, n in kinds.items() if k in C.LISTED for _ in range(n))))
-    return table(spark, sf_dir, "region").select(typed.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """Cells of lineitem by the type that their text has."""
+    cell = lambda c: F.when(c.rlike("^-?[0-9]+$"), "INT").when(c.rlike("^-?[0-9]+[.][0-9]+$"), "DOUBLE").when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), "DATE").otherwise("VARCHAR")
+    cells = [F.struct(cell(F.col(c).cast("string")).alias("type_name"), F.lit(str(i)).alias("tbl")) for i, c in enumerate(["l_orderkey", "l_quantity", "l_shipdate", "l_returnflag"])]
+    columns = table(spark, sf_dir, "lineitem").select(F.explode(F.array(*cells)).alias("c")).select("c.*").withColumn("col", F.col("type_name"))
+    return C.type_histogram(columns)
 
 
 @query("g4_accuracy_cube", f"SELECT translator, CAST(direction AS VARCHAR) AS direction, {SHARES} FROM {RESULTS} GROUP BY CUBE (translator, direction)")
@@ -283,12 +299,27 @@ def o5_seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.seeded_split(table(spark, sf_dir, "orders"), 0.8, 7, "o_orderkey").groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("o6_draw_point_lists")
+O6_SQL = """
+WITH RECURSIVE p AS (SELECT direction, point, row_number() OVER (PARTITION BY direction ORDER BY point) - 1 AS rank, count(*) OVER (PARTITION BY direction) AS size
+                     FROM (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'a' ELSE 'b' END AS direction, p_brand AS point FROM part)),
+ t AS (SELECT o_orderpriority AS stratum, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS low, count(*) AS weight FROM orders GROUP BY 1, 2),
+ q AS (SELECT stratum, low, CAST(round(sum(weight) OVER (ORDER BY stratum ROWS UNBOUNDED PRECEDING) / sum(weight) OVER () * 600) AS BIGINT) AS upper FROM t),
+ b AS (SELECT *, coalesce(lag(upper) OVER (ORDER BY stratum), 0) AS lower FROM q),
+ s AS (SELECT range AS sample_id, stratum, low, CASE WHEN CAST('0x' || substr(md5('11|dir|' || range), 1, 8) AS BIGINT) / 4294967296.0 < 0.25 THEN 'a' ELSE 'b' END AS direction,
+              low + CAST(floor(CAST('0x' || substr(md5('11|many|' || range), 1, 8) AS BIGINT) / 4294967296.0 * 2) AS INTEGER) AS many FROM range(600) JOIN b ON range >= lower AND range < upper),
+ d AS (SELECT sample_id, stratum, direction, unnest(generate_series(1, many)) AS draw FROM s),
+ g AS (SELECT d.*, p.point FROM d JOIN p ON p.direction = d.direction AND p.rank = CAST(floor(CAST('0x' || substr(md5('11|rule|' || sample_id || '|' || draw), 1, 8) AS BIGINT) / 4294967296.0 * p.size) AS INTEGER))
+SELECT sample_id, direction, stratum, string_agg(point || '=' || num, ',' ORDER BY point) AS points FROM (SELECT sample_id, direction, stratum, point, count(*) AS num FROM g GROUP BY ALL) GROUP BY ALL
+"""
+
+
+@query("o6_draw_point_lists", O6_SQL)
 def o6_draw_point_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     drawn = part.select(F.when(F.col("p_size") % 2 == 0, "a").otherwise("b").alias("direction"), F.col("p_brand").alias("point")).distinct()
     strata = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("weight")).select(F.col("o_orderpriority").alias("stratum"), F.substring("o_orderpriority", 1, 1).cast("int").alias("low"), (F.substring("o_orderpriority", 1, 1).cast("int") + 1).alias("high"), "weight")
-    return K.draw_point_lists(drawn, 600, strata, [("a", 0.25), ("b", 0.75)], 11)
+    lists = K.draw_point_lists(drawn, 600, strata, [("a", 0.25), ("b", 0.75)], 11)
+    return lists.withColumn("points", F.array_join(F.transform("points", lambda p: F.concat(p["point"], F.lit("="), p["num"].cast("string"))), ","))
 
 
 def chained(names: list[str]) -> dict[str, list[str]]:
