@@ -46,9 +46,10 @@ def squash_space(col: Column) -> Column:
 
 
 def quote_aware_split(col: Column, sep: str = ",") -> Column:
-    """Pieces between ``sep`` outside quotes; a backslash escapes; empty pieces are left out."""
+    """Pieces between ``sep`` outside quotes; a backslash escapes, a quote without its end runs to the end of the text, empty
+    pieces are left out."""
     s = re.escape(sep)
-    piece = rf"""((?:[^{s}'"\\]|\\.|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")+)"""
+    piece = rf"""(?s)((?:[^{s}'"\\]|\\(?:.|$)|'(?:[^'\\]|\\(?:.|$))*(?:'|$)|"(?:[^"\\]|\\(?:.|$))*(?:"|$))+)"""
     return F.regexp_extract_all(col, F.lit(piece), F.lit(1))
 
 
@@ -72,7 +73,7 @@ def _arguments(text: str | None) -> list[str] | None:
             piece = []
         else:
             depth += (ch == "(") - (ch == ")")
-            quote = ch if ch in "'\"" else ""
+            quote = ch if ch in "'\"`" else ""
             escaped = ch == "\\"
             piece.append(ch)
     last = "".join(piece).strip()
@@ -181,11 +182,9 @@ def concat_dialect(a: Column, b: Column, mode: str) -> Column:
     return F.concat(a, b) if mode == "pipes" else F.concat(F.coalesce(a, F.lit("")), F.lit(" "), b)
 
 
-LONGEST_TEXT = 4000  # bytes of a string literal; longer ones are rendered as NULL
-
-
-def render_literal(col: Column, kind: str, dialect: str) -> Column:
-    """A typed value as literal text of a dialect; null as NULL."""
+def render_literal(col: Column, kind: str, dialect: str, longest: int | None = None) -> Column:
+    """A typed value as literal text of a dialect; null as NULL.  longest: bytes from which a string literal is given up and rendered
+    as NULL too, for a dialect that takes no longer ones (4000 in some); by default every text is whole."""
     text = col.cast("string")
     if kind in ("INT", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "YEAR"):
         out = text
@@ -206,7 +205,7 @@ def render_literal(col: Column, kind: str, dialect: str) -> Column:
         json = F.to_json(col) if kind == "ARRAY" else text
         out = F.concat(F.lit("'"), F.replace(json, F.lit("'"), F.lit("''")), F.lit(end))
     else:
-        long = F.octet_length(text) > LONGEST_TEXT
+        long = F.octet_length(text) > longest if longest is not None else F.lit(False)
         clean = F.replace(text, F.lit("\\"), F.lit("\\\\")) if dialect == "mysql" else text
         out = F.when(~long, F.concat(F.lit("'"), F.replace(clean, F.lit("'"), F.lit("''")), F.lit("'")))
     return F.coalesce(F.when(col.isNotNull(), out), F.lit("NULL"))

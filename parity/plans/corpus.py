@@ -104,11 +104,11 @@ def j3_append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalogs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two function catalogs from part names: keys even and odd."""
     part = table(spark, sf_dir, "part")
-    entry = [F.col("p_partkey").alias("id"), F.concat(F.element_at(F.split("p_name", " "), -1), F.lit("(x)")).alias("call"), F.col("p_name").alias("keyword"), F.concat_ws(" ", "p_type", "p_brand").alias("description")]
+    entry = [F.col("p_partkey").alias("id"), F.concat(F.element_at(F.split("p_name", " "), -1), (F.col("p_partkey") % 301).cast("string"), F.lit("(x)")).alias("call"), F.col("p_name").alias("keyword"), F.concat_ws(" ", "p_type", "p_brand").alias("description")]
     return part.filter("p_partkey % 2 = 0").select(*entry), part.filter("p_partkey % 2 = 1").select(*entry)
 
 
-@query("j4_unmatched_names", "SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0 AND lower(split_part(p_name, ' ', -1)) NOT IN (SELECT lower(split_part(p_name, ' ', -1)) FROM part WHERE p_partkey % 2 = 1)")
+@query("j4_unmatched_names", "SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0 AND lower(split_part(p_name, ' ', -1)) || p_partkey % 301 NOT IN (SELECT lower(split_part(p_name, ' ', -1)) || p_partkey % 301 FROM part WHERE p_partkey % 2 = 1)")
 def j4_unmatched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.unmatched_names(*catalogs(spark, sf_dir), name="call").select("id")
 

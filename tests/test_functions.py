@@ -71,6 +71,11 @@ def test_locale_numbers(spark, text, style, want):
 
 def test_quoting(spark):
     assert value(spark, "a,'b,c',,\"d,e\"", X.quote_aware_split) == ["a", "'b,c'", '"d,e"']
+    assert value(spark, "it's, b", X.quote_aware_split) == ["it's, b"]
+    assert value(spark, "a,\\'b,c", X.quote_aware_split) == ["a", "\\'b", "c"]
+    assert value(spark, "f(`a,b`, c)", X.call_arguments) == ["`a,b`", "c"]
+    assert value(spark, "x" * 5000, lambda c: X.render_literal(c, "VARCHAR", "pg")) == "'" + "x" * 5000 + "'"
+    assert value(spark, "x" * 5000, lambda c: X.render_literal(c, "VARCHAR", "pg", longest=4000)) == "NULL"
     assert value(spark, "f(a, g(b, c), 'x)y')", X.call_arguments) == ["a", "g(b, c)", "'x)y'"]
     assert value(spark, "f()", X.call_arguments) == []
     assert value(spark, "no call", X.call_arguments) is None
@@ -87,7 +92,7 @@ def test_quoting(spark):
 def test_literals(spark):
     assert value(spark, "it's", lambda c: X.render_literal(c, "VARCHAR", "pg")) == "'it''s'"
     assert value(spark, None, lambda c: X.render_literal(c, "VARCHAR", "pg")) == "NULL"
-    assert value(spark, "x" * 4001, lambda c: X.render_literal(c, "VARCHAR", "pg")) == "NULL"
+    assert value(spark, "x" * 4001, lambda c: X.render_literal(c, "VARCHAR", "pg", 4000)) == "NULL"
 
 
 def test_frozen_clock(spark):
