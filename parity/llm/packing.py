@@ -27,7 +27,7 @@ from .common import parts, text_slices, with_fields, written
 # Fixed value: the published word pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 1
-CACHE_WORDS, CACHE_BYTES = 600_000, 1 << 26  # words, and bytes of words and ids, that a worker keeps
+CACHE_WORDS, CACHE_BYTES = 300_000, 1 << 25  # words, and bytes of words and ids, that a worker keeps
 SWEEPS = 20  # of coordinate descent
 TRIPLES = 8  # combinations of three enumerated for a length
 
@@ -229,9 +229,13 @@ def place(cut: DataFrame, window: int = 2048) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, keep_ids: bool = True) -> DataFrame:
-    """Documents (doc_id, text) packed: one row per piece with doc_id, start, length, doc_tokens, ids or their CRC-32,
-    sequence_id and offset.  An empty table gives no rows; a null doc_id is packed like any other."""
-    cut = pieces(docs, path, window)
+    """Documents (doc_id, text) packed: one row per piece with doc_id, start, length, doc_tokens, the CRC-32 of its ids (ids_crc32) and, with
+    keep_ids, the ids, sequence_id and offset.  An empty table gives no rows; a null doc_id is packed like any other.
+
+    Pieces are placed by their lengths alone: the ids stay in the written table and are joined to their places at last.
+    """
+    cut = pieces(docs, path, window).withColumn("ids_crc32", F.crc32("ids"))
     if not keep_ids:
-        cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return place(written(cut, "pieces"), window)
+        return place(written(cut.drop("ids"), "pieces"), window)
+    cut = written(cut.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+    return place(cut.drop("ids"), window).join(cut.select("__piece", "ids"), "__piece").drop("__piece")
