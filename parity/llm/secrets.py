@@ -35,30 +35,60 @@ PATHS = "(://|www\\.|\\.[a-z]{2,4}/|[a-z0-9]/[a-z0-9])"
 # A name with a keyword and its assigned value (quoted: up to the quote; else up to a space, a quote or the next parameter of a
 # url), or a run of key characters.
 NAMED = f"(?<![A-Za-z0-9_\\-])[A-Za-z0-9_\\-]{{0,30}}?(?i:{WORDS})[A-Za-z0-9_\\-]{{0,20}}[\"'`]?\\s{{0,4}}{ASSIGNS}\\s{{0,4}}"
-VALUE = "(?:\"[^\"\\n]+(?=\")|'[^'\\n]+(?=')|`[^`\\n]+(?=`)|(?!=)(?:(?!&\\w+=)[^\\s\"'`])+)"
+VALUE = "(?:\"[^\"\\n]+(?=\")|'[^'\\n]+(?=')|`[^`\\n]+(?=`)|(?!=)(?:(?!&\\w+=)[^\\s\"'`])++)"
 CANDIDATE = f"{NAMED}{VALUE}|[A-Za-z0-9+/_=\\-]{{16,}}"
 
 FEATURES = ["length", "digits", "uppers", "lowers", "marks", "turns", "vowels", "kinds", "hexadecimal", "covered", "path", "path_near", "keyword", "assigned", "quoted"]
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once for a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(sizes: Column) -> Column:
+    """[0, s0, s0 + s1, ...] without the total, by blocks of about the root of their number: adding to an array copies it, and a text may
+    hold very many candidates."""
+    scan = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def of(xs: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(xs), step), lambda at: scan(F.slice(xs, at, step)))
+        return _let(blocks, lambda bs: _let(scan(F.transform(bs, lambda b: F.element_at(b, -1))), lambda base: moved(bs, base)))
+
+    def moved(bs: Column, base: Column) -> Column:
+        return F.flatten(F.transform(bs, lambda b, i: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: x + F.get(base, i))))
+
+    return _let(sizes, of)
+
+
+def _name(found: Column) -> Column:
+    """What stands before the value in a find: the name it is assigned to, and an opening quote."""
+    return F.regexp_extract(found, f"^({NAMED}[\"'`]?)(?=[^=])", 1)
+
+
+def _pieces(text: Column) -> tuple[Column, Column]:
+    """The pieces of a text between its finds, and the finds."""
+    return F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, start, value, before, after) of every candidate of docs (doc_id, text); start counts code points.
+    """(doc_id, k1, nth, start, value, before, after) of every candidate of docs (doc_id, text); nth counts a text's candidates from 0, start
+    its code points.
 
     k1 is a hash of id and text, so that rows that share an id stay apart.  Null and empty texts have none.
     """
-    pieces, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), pieces.alias("p"), found.alias("m")).filter(F.size("m") > 0)
-    ends = F.transform("p", lambda x, i: F.length(x) + F.coalesce(F.length(F.get("m", i)), F.lit(0)))
-    after = F.aggregate(ends, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))  # where each piece starts
-    name = lambda v: F.regexp_extract(v, f"^({NAMED}[\"'`]?)(?=[^=])", 1)
+    pieces, found = _pieces(F.col("text"))
+    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), pieces.alias("p"), found.alias("m"))
+    starts = _running(F.transform("p", lambda x, i: F.length(x) + F.coalesce(F.length(F.get("m", i)), F.lit(0))))  # of the pieces
     placed = F.transform(
         "m",
         lambda v, i: F.struct(
-            (F.get("after", i) + F.length(F.get("p", i)) + F.length(name(v))).alias("start"), F.substr(v, F.length(name(v)) + 1).alias("value"),
-            F.right(F.concat(F.get("p", i), name(v)), F.lit(CONTEXT)).alias("before"), F.substring(F.get("p", i + 1), 1, CONTEXT).alias("after"),
+            i.alias("nth"), (F.get("starts", i) + F.length(F.get("p", i)) + F.length(_name(v))).alias("start"), F.substr(v, F.length(_name(v)) + 1).alias("value"),
+            F.right(F.concat(F.get("p", i), _name(v)), F.lit(CONTEXT)).alias("before"), F.substring(F.get("p", i + 1), 1, CONTEXT).alias("after"),
         ),
     )
-    rows = rows.withColumn("after", after)
+    rows = rows.withColumn("starts", starts)
     return rows.select("doc_id", "k1", F.explode(placed).alias("c")).select("doc_id", "k1", "c.*")
 
 
@@ -165,7 +195,7 @@ def held_out_figures(docs: DataFrame, most: int = MOST_LABELLED) -> tuple[float,
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """(doc_id, k1, start, value, before, after, score, secret) of every candidate of docs (doc_id, text).
+    """(doc_id, k1, nth, start, value, before, after, score, secret) of every candidate of docs (doc_id, text).
 
     labelled: findings (value, before, after, label 0/1); without it, or if it lacks one label, planted ones are learned from.
     secret: score >= 0.5.  Columns of docs but those two are not read.  Repeated rows give their findings each; null or
@@ -176,18 +206,22 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     model = fit(featured(labelled.select("value", "before", "after", "label"), words)) if labelled is not None else None
     model = model or fit(featured(planted(found, words), words))
     done = found.withColumn("score", F.lit(0.0)) if model is None else _scored(featured(found, words), model)  # None: there is no candidate
-    return done.select("doc_id", "k1", "start", "value", "before", "after", "score", (F.col("score") >= 0.5).alias("secret"))
+    return done.select("doc_id", "k1", "nth", "start", "value", "before", "after", "score", (F.col("score") >= 0.5).alias("secret"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with the span of every secret replaced by ``mark``; all else in its texts, other rows and columns are untouched."""
-    found = scan(docs).filter("secret").groupBy(F.col("k1").alias("__key")).agg(F.array_sort(F.collect_set(F.struct("start", F.length("value").alias("n")))).alias("__spans"))
+    found = scan(docs).filter("secret").groupBy(F.col("k1").alias("__key")).agg(F.array_sort(F.collect_set("nth")).alias("__nth"))
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", text))
-    clean = F.aggregate(
-        "__spans", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(F.concat(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("done"), (s["start"] + s["n"]).alias("at")),
-        lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1)),
-    )
-    joined = keyed.join(found, "__key", "left")
-    return joined.select(*(F.coalesce(clean, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+
+    def marked(p: Column, m: Column, gone: Column) -> Column:
+        between = lambda a, n: F.array_join(F.zip_with(F.slice(p, a + 1, n), F.slice(m, a + 1, n), lambda x, y: F.concat(x, y)), "")
+        since = lambda i: F.coalesce(F.get(gone, i - 1), F.lit(-1)) + 1
+        heads = F.transform(gone, lambda at, i: F.concat(between(since(i), at - since(i)), F.get(p, at), _name(F.get(m, at)), F.lit(mark)))
+        last = F.element_at(gone, -1) + 1
+        return F.concat(F.array_join(heads, ""), between(last, F.size(m) - last), F.element_at(p, -1))
+
+    pieces, finds = _pieces(text)
+    clean = _let(pieces, lambda p: _let(finds, lambda m: marked(p, m, F.col("__nth"))))
+    joined = docs.withColumn("__key", F.xxhash64("doc_id", text)).join(found, "__key", "left")
+    return joined.select(*(F.when(F.col("__nth").isNotNull(), clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
