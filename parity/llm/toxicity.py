@@ -136,6 +136,13 @@ def _evidence(bad: np.ndarray, good: np.ndarray, all_bad: float, all_good: float
     return 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(due, 1e-9)), 0.0) for seen, due in cells)
 
 
+def _slopes(p: np.ndarray, document: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope of the documents' mean cross-entropy by each sentence's log odds: p for a clean document's sentence, and -p for a toxic
+    one's, scaled by (1 - doc) / doc."""
+    doc = np.clip(-np.expm1(_clean_log(p, document, len(y))), 1e-9, 1 - 1e-9)
+    return np.where(y[document] > 0, -p * ((1 - doc) / doc)[document], p) / len(y)
+
+
 def fit_bags(y: np.ndarray, features: list[np.ndarray], sizes: list[np.ndarray]) -> Model:
     """features: of all sentences of a document; sizes: how many belong to each of its sentences."""
     weights = np.zeros(1 << BITS)
@@ -163,10 +170,7 @@ def fit_bags(y: np.ndarray, features: list[np.ndarray], sizes: list[np.ndarray])
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
         p = _sentence_scores(feature, sentence, sentences, w * scale, bias)
-        clean = _clean_log(p, document, len(y))
-        doc = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
-        # d loss / d z of a sentence: -p for a toxic document's, scaled by (1 - doc) / doc, and +p for a clean one's
-        slope = np.where(y[document] > 0, -p * ((1 - doc) / doc)[document], p) / len(y)
+        slope = _slopes(p, document, y)
         gw = scale * np.bincount(feature, weights=slope[sentence], minlength=len(kinds)) + DECAY * w
         gb = float(slope.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
