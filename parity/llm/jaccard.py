@@ -314,6 +314,35 @@ def _block_edges(members: DataFrame, points: DataFrame, percent: int) -> DataFra
     return laid.mapInArrow(run, "a long, b long")
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) with the same components: the blocks of a family name different heads a for one member b.  Each member keeps
+    its smallest head, and that head an edge to the member's other heads, given once by a task.  A member has no more rows than blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, least = None, 0
+        given: set[tuple[int, int]] = set()
+        for batch in batches:
+            a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
+            if not len(b):
+                continue
+            edge = np.ones(len(b), dtype=bool)
+            edge[1:] = b[1:] != b[:-1]
+            start = np.flatnonzero(edge)
+            heads = a[start].copy()
+            if b[0] == key:
+                heads[0], edge[0] = least, False
+            of = np.repeat(heads, np.diff(np.append(start, len(b))))
+            key, least = int(b[-1]), int(heads[-1])
+            others = {(x, y) for x, y in np.unique(np.stack([of, a], axis=1)[of != a], axis=0).tolist()} - given
+            if len(given) > SEEN_SETS:
+                given.clear()
+            given |= others
+            more = np.array(sorted(others), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[edge], more[:, 0]])), pa.array(np.concatenate([b[edge], more[:, 1]]))], names=["a", "b"])
+
+    return edges.repartition("b").sortWithinPartitions("b", "a").mapInArrow(run, "a long, b long")
+
+
 def _leaves(members: DataFrame) -> DataFrame:
     """(family, leaf, rep, n, low, point): families packed, in order of size and point, in leaves of bounded size."""
 
@@ -445,7 +474,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     sets = written(sets.join(met, "s1", "left").select("s1", "s2", "n", "rep", F.coalesce("met", F.lit(0)).alias("low"), "point"), "sets")
     points = sets.select("s1", "n", "low", "point")
     pairs = _bounded_pairs(blocks.filter("b is not null").select("a", "b").distinct(), points, percent)
-    inside = _block_edges(blocks.filter("shingle is not null").select("shingle", F.col("a").alias("s1")), points, percent)
+    inside = _contracted(_block_edges(blocks.filter("shingle is not null").select("shingle", F.col("a").alias("s1")), points, percent))
     families = components(pairs.unionByName(inside), "families").select(F.col("id").alias("s1"), F.col("component").alias("family"))
     leaves = written(_leaves(sets.join(families, "s1")), "leaves")
     found = written(_verified(docs, leaves, _leaf_pairs(leaves, percent), k, percent), "links")
