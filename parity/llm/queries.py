@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, packing, secrets, substrings, topk, toxicity, urls
+from . import bpe, chat, fingerprints, jaccard, packing, secrets, substrings, topk, toxicity, trie, urls
+from .sequences import ordered, row_key
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -105,6 +106,28 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def shared_openings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv_id, at, digest, chars) and members (conv_id, length) after every conversation c got the first h turns of c - c % 100 in place of
+    its own first h, h = crc32 of c in decimal % 6.  Turns go by turn, null first, then role and text; rows without conv_id are no conversation's."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    turns = conversations.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", empty("role"), empty("text"))
+    turns = turns.withColumns({"digest": row_key(F.col("role"), F.col("text")), "chars": F.length("text").cast("long")})
+    turns = ordered(turns, "conv_id", [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")], ["digest", "chars"])
+    own = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    head = turns.filter("conv_id % 100 = 0 and at < 5").groupBy(F.col("conv_id").alias("head")).agg(F.sort_array(F.collect_list(F.struct("at", "digest", "chars"))).alias("opening"))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    members = own.withColumns({"h": h, "head": F.expr("conv_id - conv_id % 100")}).join(head, "head", "left")
+    members = members.withColumn("opening", F.slice(F.coalesce("opening", F.array()), 1, F.col("h").cast("int"))).withColumn("k", F.size("opening").cast("long"))
+    members = members.withColumn("length", F.col("k") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
+    new = members.select("conv_id", F.explode("opening").alias("t")).select("conv_id", "t.*")
+    rest = turns.join(members.select("conv_id", "h", "k"), "conv_id").filter("at >= h").select("conv_id", F.expr("at - h + k").alias("at"), "digest", "chars")
+    return new.unionByName(rest), members.select("conv_id", "length")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*shared_openings(table(spark, sf_dir, "conversations")))
+
+
 OP3_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
  g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -158,6 +181,25 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
+#: CRC-32 of an ASCII text {0}, bit by bit.
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY i) AS own, {CRC_SQL.format('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM t GROUP BY conv_id),
+ r AS (SELECT c.conv_id, list_concat(coalesce(p.own, [])[1:c.h], c.own[c.h + 1:]) AS s FROM c LEFT JOIN c p ON p.conv_id = c.conv_id - c.conv_id % 100),
+ o AS (SELECT conv_id, unnest(range(len(s) + 1)) AS depth, s FROM r),
+ k AS (SELECT conv_id, depth, s[1:depth] AS k, len(s) = depth AS ends, CASE WHEN depth = 0 THEN 0 ELSE length(s[depth].text) END AS chars FROM o),
+ n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM k GROUP BY k, depth),
+ f AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.k[1:n.depth] = n.k) AS n_children
+       FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.k = n.k[1:n.depth - 1])
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, CAST(sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+       CAST(sum((x.n_convs - 1) * x.chars) AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN f x ON x.depth >= f.depth AND x.k[1:f.depth] = f.k GROUP BY ALL
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -169,10 +211,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_maxscore": op10_maxscore,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op3_jaccard_join": OP3_SQL,
     "op5_tool_calls": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op10_maxscore": OP10_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
