@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, packing, secrets, substrings, topk, toxicity, trie, urls
+from . import bpe, chat, fingerprints, jaccard, packing, repair, secrets, substrings, topk, toxicity, trie, urls
 from .sequences import ordered, row_key
 
 URL_RULES = [
@@ -106,6 +107,25 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with a tenth of their rows dropped, emptied, left open, repeated or given to the user, by a hash of id and turn (nulls: one space)."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    how = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    role = F.when(how == 4, "user").otherwise(space("role"))
+    text = F.when(how == 1, "").when(how == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    rows = conversations.filter(how != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(how == 3, 2).otherwise(1).alias("n"))
+    return rows.withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("n")
+
+
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    done = repair.report(damaged(conversations)).withColumnRenamed("conv_id", "__c")
+    ids = conversations.select("conv_id").distinct()
+    out = ids.join(done, F.col("conv_id").eqNullSafe(F.col("__c")), "left").drop("__c")
+    none = dict.fromkeys(("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), 0) | {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}
+    return out.select("conv_id", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()))
+
+
 def shared_openings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns (conv_id, at, digest, chars) and members (conv_id, length) after every conversation c got the first h turns of c - c % 100 in place of
     its own first h, h = crc32 of c in decimal % 6.  Turns go by turn, null first, then role and text; rows without conv_id are no conversation's."""
@@ -184,6 +204,43 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 #: CRC-32 of an ASCII text {0}, bit by bit.
 CRC_SQL = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
 
+def _edit(path: str, cost: str, mark: str) -> str:
+    """A path is ten digits of cost and then the audit, so that the least text is the cheapest path."""
+    return f"(lpad(CAST(CAST({path}[1:10] AS BIGINT) + {cost} AS VARCHAR), 10, '0') || {path}[11:] || '{mark}')"
+
+
+#: u and a after insertions, then a row's edits; z, s, u, a: nothing yet, after system, user, assistant.
+_U = f"least(u, {_edit('z', '5', 'I')}, {_edit('s', '5', 'I')}, {_edit('a', '5', 'I')})"
+_A = f"least(a, {_edit('iu', '5', 'I')})"
+_NEW = {t: [f"CASE WHEN NOT gone AND x = '{t}' THEN {_edit(f, 'late', 'K')} END" for f in froms] + ([f"CASE WHEN NOT gone THEN {_edit(f, 'late + 1', 'R')} END" for f in froms] if t in "ua" else [])
+        for t, froms in {"s": ["z"], "u": ["z", "s", "ia"], "a": ["iu"]}.items()}
+
+OP11_SQL = f"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC_SQL.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS how FROM conversations),
+ d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE WHEN how = 1 THEN '' WHEN how = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN how = 3 THEN [1, 2] ELSE [1] END) FROM r WHERE how <> 0),
+ o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+ f AS (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM o),
+ g AS (SELECT conv_id, turn, role, text, i, role[1] AS x, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated,
+         prev IS NOT NULL AND prev[1] || role[1] NOT IN ('su', 'ua', 'au') AS illegal, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS late FROM f),
+ c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+         count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+ p AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '0000000000' AS z, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM c
+   UNION ALL SELECT conv_id, i, {_edit('z', '2', 'D')}, least({_edit('s', '2', 'D')}, {', '.join(_NEW['s'])}), least({_edit('iu', '2', 'D')}, {', '.join(_NEW['u'])}), least({_edit('ia', '2', 'D')}, {', '.join(_NEW['a'])})
+   FROM (SELECT *, {_A} AS ia FROM (SELECT g.conv_id, g.i, z, s, a, {_U} AS iu, x, gone, late FROM p JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.i = p.i + 1))),
+ e AS (SELECT conv_id, least(z, {_A}) AS best FROM (SELECT p.*, {_U} AS iu FROM p JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i)),
+ m AS (SELECT conv_id, CAST(best[1:10] AS BIGINT) AS cost, best[11:] AS audit FROM e),
+ k AS (SELECT conv_id, j, audit[j] AS edit, length(replace(audit[1:j], 'I', '')) AS i FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM m)),
+ l AS (SELECT k.*, g.role, g.text, row_number() OVER (PARTITION BY k.conv_id ORDER BY j) - 1 AS n FROM k LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM k.conv_id AND g.i = k.i WHERE edit <> 'D'),
+ h AS (SELECT *, max(CASE WHEN n = 0 AND edit = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM l),
+ t AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (n - system) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY n) AS lines FROM h GROUP BY conv_id)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) w LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
 OP13_SQL = f"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
            FROM conversations WHERE conv_id IS NOT NULL),
@@ -211,6 +268,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_maxscore": op10_maxscore,
+    "op11_structure_repair": op11_structure_repair,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
@@ -218,5 +276,6 @@ ORACLES: dict[str, str] = {
     "op5_tool_calls": OP5_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op10_maxscore": OP10_SQL,
+    "op11_structure_repair": OP11_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
