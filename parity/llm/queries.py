@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, packing, repair, secrets, substrings, topk, toxicity, trie, urls
+from . import bpe, chat, fingerprints, jaccard, langid, packing, repair, secrets, substrings, topk, toxicity, trie, urls
 from .sequences import ordered, row_key
 
 URL_RULES = [
@@ -126,6 +126,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def shared_openings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns (conv_id, at, digest, chars) and members (conv_id, length) after every conversation c got the first h turns of c - c % 100 in place of
     its own first h, h = crc32 of c in decimal % 6.  Turns go by turn, null first, then role and text; rows without conv_id are no conversation's."""
@@ -269,6 +275,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_maxscore": op10_maxscore,
     "op11_structure_repair": op11_structure_repair,
+    "op12_language_id": op12_language_id,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
