@@ -18,15 +18,26 @@ def laid_out(df: DataFrame, *order: Column | str) -> DataFrame:
     return written(laid.drop("__id"), "laid")
 
 
-def with_sums(laid: DataFrame, **sums: Column) -> DataFrame:
-    """laid (of laid_out) with the sum of each column over all rows before a row; a table of one row a range carries them over."""
+def with_sums(laid: DataFrame, key: str | None = None, **sums: Column) -> DataFrame:
+    """laid (of laid_out) with the sum of each column over all rows before a row, or over those before it that have its ``key`` (the first
+    of the columns that it is sorted by).  Tables of one row a range carry the sums, and the places where keys began, over to later ranges."""
     own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
     carried = laid.groupBy("__part").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
     carried = carried.select("__part", *(F.coalesce(F.sum(n).over(before), none).alias(f"__before_{n}") for n in sums))
     out = laid.withColumns({n: F.coalesce(F.sum(c).over(own), none) for n, c in sums.items()}).join(F.broadcast(carried), "__part")
-    return out.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in sums}).drop(*(f"__before_{n}" for n in sums))
+    out = out.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in sums}).drop(*(f"__before_{n}" for n in sums))
+    if key is None:
+        return out
+    here = Window.partitionBy("__part").orderBy("__at")
+    fresh = F.lag(F.struct(key)).over(here).eqNullSafe(F.struct(key))
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumn("__fresh", ~fresh).withColumn("__start", F.last(F.when(F.col("__fresh"), F.struct(*sums)), ignorenulls=True).over(upto))
+    last = out.groupBy("__part").agg(F.max_by(F.struct(F.col(key).alias("k"), "__start"), "__at").alias("last"))
+    first = last.groupBy(F.col("last.k").alias("__k")).agg(F.min("last.__start").alias("__began"))
+    out = out.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("__k")), "left").withColumn("__start", F.least("__start", F.coalesce("__began", "__start")))
+    return out.withColumns({n: F.col(n) - F.col("__start")[n] for n in sums}).drop("__fresh", "__start", "__k", "__began")
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "row_no") -> DataFrame:

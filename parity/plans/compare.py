@@ -67,6 +67,26 @@ def v2_tolerant_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionAll(two)
 
 
+@query(
+    "v2_nested_numbers",
+    f"""
+WITH l AS (SELECT s.step, l_orderkey, list_sort(list(l_extendedprice)) AS x, list_sort(list(CASE WHEN l_orderkey % 7 = 0 THEN l_extendedprice * (1 + s.step) ELSE l_extendedprice END)) AS y
+           FROM lineitem, (VALUES (1e-9), (1e-3)) s(step) GROUP BY ALL)
+SELECT step, bool_and(len(list_filter(list_zip(x, y), lambda p: NOT abs(p[1] - p[2]) <= greatest(1e-6 * greatest(abs(p[1]), abs(p[2])), 1e-9))) = 0) AS equal FROM l GROUP BY step
+""",
+)
+def v2_nested_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's prices as one array cell, in another order and a little moved on one side."""
+    lines = table(spark, sf_dir, "lineitem")
+
+    def prices(step: float, down: bool) -> DataFrame:
+        moved = F.when(F.col("l_orderkey") % 7 == 0, F.col("l_extendedprice") * (1 + step)).otherwise(F.col("l_extendedprice"))
+        return lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(moved), asc=not down).alias("prices"))
+
+    one, two = (V.tolerant_equal(prices(0.0, False), prices(s, True)).select(F.lit(s).alias("step"), "equal") for s in (1e-9, 1e-3))
+    return one.unionAll(two)
+
+
 ALL_NUMBERS = """
 WITH m AS (SELECT s.step, l_extendedprice AS x, l_extendedprice * (1 + s.step) AS y, l_tax AS t FROM lineitem, (VALUES (1e-9), (3e-6)) s(step)),
  a AS (SELECT step, x, t, row_number() OVER (PARTITION BY step ORDER BY x, t) AS rn FROM m), b AS (SELECT step, y, t AS u, row_number() OVER (PARTITION BY step ORDER BY y, t) AS rn FROM m)
@@ -108,6 +128,22 @@ def v4_tolerant_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tolerant_match(*moved_orders(spark, sf_dir, 1e-7))
 
 
+@query(
+    "v4_two_numbers",
+    """
+WITH o AS (SELECT o_orderstatus, o_totalprice AS x, CAST(o_custkey AS DOUBLE) AS c, o_orderkey % 11 = 0 AS moved, o_orderkey % 13 = 5 AS gone FROM orders)
+SELECT o_orderstatus, CAST(count(*) FILTER (WHERE moved OR gone) AS BIGINT) AS unmatched_a, CAST(count(*) FILTER (WHERE moved AND NOT gone) AS BIGINT) AS unmatched_b FROM o GROUP BY o_orderstatus
+""",
+)
+def v4_two_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two numbers that are near in either order: prices and customers a little moved, some moved for good, some missing."""
+    orders = table(spark, sf_dir, "orders")
+    a = orders.select("o_orderstatus", "o_totalprice", F.col("o_custkey").cast("double").alias("c"))
+    step = F.when(F.col("o_orderkey") % 11 == 0, 1.01).when(F.col("o_orderkey") % 2 == 0, 1 + 3e-7).otherwise(1 - 3e-7)
+    b = orders.filter("o_orderkey % 13 <> 5").select("o_orderstatus", (F.col("o_totalprice") * step).alias("o_totalprice"), (F.col("o_custkey") * (1 + 2e-7)).alias("c"))
+    return V.tolerant_match(a, b)
+
+
 V5_SQL = f"""
 WITH p AS (SELECT o_orderpriority AS k, sum(l_extendedprice * (1 - l_discount)) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
  q AS (SELECT o_orderpriority AS k, sum(r) * (1 + 1e-9) AS y FROM (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS r FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
@@ -188,6 +224,29 @@ def v8_fk_closed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0]
 
 
+@query(
+    "v8_self_reference",
+    """
+WITH RECURSIVE l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 3 THEN c_custkey WHEN c_custkey > 1 THEN c_custkey // 2 END AS up, c_nationkey FROM customer),
+ r AS (SELECT * FROM l WHERE id % 1000 = 77 UNION SELECT l.* FROM r JOIN l ON l.id = r.up)
+SELECT 'people' AS tbl, id FROM r UNION ALL SELECT 'nation', n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM r)
+UNION ALL SELECT 'region', r_regionkey FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM r))
+""",
+)
+def v8_self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers who were brought by a customer (some by themselves): the chains above some of them, and what those refer to."""
+    up = F.when(F.col("c_custkey") % 17 == 3, F.col("c_custkey")).when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2))
+    tables = {"people": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), up.alias("up"), "c_nationkey"), "nation": table(spark, sf_dir, "nation"), "region": table(spark, sf_dir, "region")}
+    fk = lambda col, to, ref: {"col": col, "ref_table": to, "ref_col": ref}
+    catalog = {"people": {"foreign_key": [fk("up", "people", "id"), fk("c_nationkey", "nation", "n_nationkey")]}, "nation": CATALOG["nation"], "region": CATALOG["region"]}
+    sample = V.fk_closed_sample(tables, catalog, "people", tables["people"].filter("id % 1000 = 77").select("id"))
+    ids = {"people": "id", "nation": "n_nationkey", "region": "r_regionkey"}
+    out = [df.select(F.lit(t).alias("tbl"), F.col(ids[t]).cast("long").alias("id")) for t, df in sample.items()]
+    for x in out[1:]:
+        out[0] = out[0].unionAll(x)
+    return out[0]
+
+
 def violating_catalog() -> dict:
     catalog = copy.deepcopy(CATALOG)
     catalog["lineitem"]["primary_key"] = ["l_orderkey", "l_linenumber"]
