@@ -32,6 +32,19 @@ def date_format_to_spark(fmt: str, allow_rr: bool = True) -> str:
     return "".join(out)
 
 
+def date_format_column(fmt: Column) -> Column:
+    """As date_format_to_spark for a column of formats: tokens, the longest first, become marks, what else is no separator is quoted, and marks
+    become pattern letters.  A format with a quote mark gives null."""
+    by_length = sorted(TOKENS, key=len, reverse=True)
+    out = fmt
+    for i, t in enumerate(by_length):
+        out = F.regexp_replace(out, "(?i)" + re.escape(t) + ("[0-9]?" if t == "FF" else ""), chr(0xE000 + i))
+    out = F.regexp_replace(out, "[^\ue000-\ue0ff0-9 ./,:;-]", "'$0'")
+    for i, t in enumerate(by_length):
+        out = F.replace(out, F.lit(chr(0xE000 + i)), F.lit(TOKENS[t]))
+    return F.when(~fmt.contains("'"), out)
+
+
 def parse_date_multi(col: Column, fmt: str) -> Column:
     """Text to timestamp under an Oracle or PostgreSQL format; month names in any case; RR years from 2050 on are of the century before;
     bad text gives null."""

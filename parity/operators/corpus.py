@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import laid_out, numbered, with_sums
 from .scratch import written
 
 POINTS = "array<struct<point:string,num:bigint>>"
@@ -118,10 +119,28 @@ def coverage(pairs: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def corpus_stats(pairs: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Number of pairs for each ``by``, and mean, least, greatest and exact median of each value; nulls count for none of them."""
     stats = []
     for v in values:
-        stats += [F.round(F.avg(v), 6).alias(f"{v}_avg"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.percentile(v, 0.5).alias(f"{v}_mid")]
-    return pairs.groupBy(*by).agg(F.count("*").alias("n"), *stats)
+        stats += [F.round(F.avg(v), 6).alias(f"{v}_avg"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max")]
+    out = pairs.groupBy(F.struct(*by).alias("__by")).agg(F.count("*").alias("n"), *stats)
+    for v in values:
+        out = out.join(medians(pairs, by, v), "__by", "left")
+    return out.select(*(F.col("__by")[c].alias(c) for c in by), "n", *(f"{v}_{s}" for v in values for s in ("avg", "min", "max", "mid")))
+
+
+def medians(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(__by, value_mid): the exact median of a number for each ``by``, half-way between the two middle ones of an even number.
+
+    Equal values are counted first; the counts are sorted in ranges and summed up to each, so that neither a group of a third of all rows nor its
+    different values are one task's work.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.struct(*by).alias("__by"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    laid = laid_out(counts, "__by", "v")
+    placed = with_sums(laid, key="__by", before=F.col("n")).join(laid.groupBy("__by").agg(F.sum("n").alias("total")), "__by")
+    at = lambda nth: F.max(F.when((F.col("before") <= nth) & (nth < F.col("before") + F.col("n")), F.col("v")))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    return placed.groupBy("__by").agg(((at(low) + at(high)) / 2).alias(f"{value}_mid"))
 
 
 def verdict_breakdown(results: DataFrame, reason: Column, by: Sequence[str]) -> DataFrame:
@@ -174,36 +193,81 @@ def greedy_cover(pairs: DataFrame, wanted: DataFrame, links: Mapping[str, Sequen
     """(step, pair_id, fresh): a small set of pairs that covers every coverable wanted point.
 
     Each step takes the pair with the most new points, of equals the most tables in use, then the most tables linked with
-    those (``links`` by table), then the smallest id.  pairs: (pair_id, points, tables).  The wanted points of the pairs are written
-    once; a round scans them for the best ``CANDIDATES`` and takes further steps among these while one has more new points than
-    any pair outside can have, since new points only get fewer.
+    those (``links`` by table), then the smallest id.  pairs: (pair_id, points, tables), ids distinct; null points and tables are none.
+
+    The result is that of one step after another, in fewer rounds.  A round looks at the best thousand pairs: while one of them has
+    more new points than any pair outside can have, it is taken on the driver, since new points only get fewer.  Where a thousand or more
+    have equally many, the round is one of reservations in Spark: every tied pair whose new points no tied pair before it shares is taken at once,
+    up to the first that brings a new table into use, which changes the order.  So there are about as many rounds as tables, numbers of new
+    points and lengths of chains of sharing pairs.  Points that are still new and the pairs taken are tables in the shared folder; the driver
+    holds tables in use and a thousand pairs.
     """
     links, spark = links or {}, pairs.sparkSession
-    names = pairs.select("pair_id", "tables", F.explode(F.array_distinct(names_of(F.col("points")))).alias("point"))
-    names = names.join(wanted.select("point").distinct(), "point", "left_semi").groupBy("pair_id").agg(F.sort_array(F.collect_set("point")).alias("names"), F.first("tables").alias("tables"))
-    left = written(names.withColumn("points", F.transform("names", lambda p: F.struct(p.alias("point")))), "cover")
-    covered, used, chosen = set(), set(), []
+    names = pairs.select("pair_id", F.coalesce("tables", F.array()).alias("tables"), F.explode(F.array_distinct(names_of(F.col("points")))).alias("point"))
+    names = names.join(wanted.select("point").distinct(), "point", "left_semi")
+    left = written(names.groupBy("pair_id").agg(F.sort_array(F.collect_set("point")).alias("names"), F.first("tables").alias("tables")), "cover")
+    kind, arr = dict(pairs.dtypes)["pair_id"], lambda xs: F.array(*map(F.lit, sorted(xs))).cast("array<string>")
+    schema = f"epoch long, used int, linked int, pair_id {kind}, fresh long"
+    used, taken, epoch, level = set(), [], 0, None
     while True:
         near = {t for u in used for t in links.get(u, ())} - used
-        ranked = rank_relevance(left, sorted(used), sorted(near), sorted(covered), keep=["names", "tables"]).filter("fresh > 0")
+        ranked = left.withColumns({"fresh": F.size("names"), "used": F.size(F.array_intersect("tables", arr(used))), "linked": F.size(F.array_intersect("tables", arr(near)))})
         best = ranked.orderBy(F.desc("fresh"), F.desc("used"), F.desc("linked"), "pair_id").limit(CANDIDATES).collect()
         if not best:
             break
-        outside = best[-1]["fresh"] if len(best) == CANDIDATES else 0
-        pool, first = {r["pair_id"]: r for r in best}, True
+        most = best[0]["fresh"]
+        epoch, level = epoch + (level != most), most
+        if len(best) == CANDIDATES and best[-1]["fresh"] == most:
+            got = written(_reserved(ranked.filter(F.col("fresh") == most), used).withColumn("epoch", F.lit(epoch).cast("long")), "cover")
+            points = got.select(F.explode("names").alias("point"))
+            left = _without(left, points)
+            more = {r[0] for r in got.select(F.explode("tables")).distinct().collect()} - used
+            taken.append(got.select("epoch", "used", "linked", "pair_id", F.col("fresh").cast("long").alias("fresh")))
+            used, epoch = used | more, epoch + bool(more)
+            continue
+        outside, pool, first, covered, rows = (best[-1]["fresh"] if len(best) == CANDIDATES else 0), {r["pair_id"]: r for r in best}, True, set(), []
         while pool:
             near = {t for u in used for t in links.get(u, ())} - used
             key = lambda r: (len(set(r["names"]) - covered), len(set(r["tables"]) & used), len(set(r["tables"]) & near))  # noqa: B023, E731
             top = min(pool.values(), key=lambda r: (*(-x for x in key(r)), r["pair_id"]))
-            fresh = key(top)[0]
+            fresh, *rank = key(top)
             if not fresh or not (first or fresh > outside):
                 break
-            chosen.append((len(chosen), top["pair_id"], fresh))
+            epoch, level = epoch + (level != fresh), fresh
+            rows.append((epoch, *rank, top["pair_id"], fresh))
             covered |= set(top["names"])
-            used |= set(top["tables"])
+            epoch, used = epoch + bool(set(top["tables"]) - used), used | set(top["tables"])
             del pool[top["pair_id"]]
             first = False
-    return spark.createDataFrame(chosen, f"step int, pair_id {dict(pairs.dtypes)['pair_id']}, fresh long")
+        taken.append(spark.createDataFrame(rows, schema))
+        one = spark.createDataFrame([(sorted(covered),)], "gone array<string>")  # of a thousand pairs at most
+        left = written(left.crossJoin(F.broadcast(one)).select("pair_id", F.array_except("names", "gone").alias("names"), "tables").filter(F.size("names") > 0), "cover")
+    done = spark.createDataFrame([], schema)
+    for part in taken:
+        done = done.unionAll(part)
+    return numbered(done, "epoch", F.desc("used"), F.desc("linked"), "pair_id", name="step").select(F.col("step").cast("int").alias("step"), "pair_id", "fresh")
+
+
+def _reserved(tied: DataFrame, used: set[str]) -> DataFrame:
+    """Of pairs with equally many new points, those that one step after another would take whatever becomes of the others: no pair before
+    them shares a point; if one brings new tables, all before it are decided and none after it is taken."""
+    order = F.struct((-F.col("used")).alias("u"), (-F.col("linked")).alias("l"), F.col("pair_id").alias("id"))
+    points = tied.select(order.alias("o"), F.explode("names").alias("point"))
+    first = points.groupBy("point").agg(F.min("o").alias("first"))
+    lost = points.join(first, "point").groupBy(F.col("o.id").alias("pair_id")).agg(F.max(F.col("first") < F.col("o")).alias("lost"))
+    fresh_table = F.size(F.array_except("tables", F.array(*map(F.lit, sorted(used))).cast("array<string>"))) > 0
+    seen = written(tied.join(lost, "pair_id").withColumns({"o": order, "brings": fresh_table}), "cover")
+    ends = seen.agg(F.min(F.when(F.col("lost"), F.col("o"))).alias("open"), F.min(F.when(~F.col("lost") & F.col("brings"), F.col("o"))).alias("brings"))
+    before = F.col("end.brings").isNull() | (F.col("o") < F.col("end.brings"))
+    itself = (F.col("o") == F.col("end.brings")) & (F.col("end.open").isNull() | (F.col("end.brings") < F.col("end.open")))
+    both = seen.filter(~F.col("lost")).crossJoin(F.broadcast(ends.select(F.struct("open", "brings").alias("end"))))
+    return both.filter(before | F.coalesce(itself, F.lit(False))).select("pair_id", "names", "tables", "fresh", "used", "linked")
+
+
+def _without(left: DataFrame, points: DataFrame) -> DataFrame:
+    """left without points that are covered now."""
+    rest = left.select("pair_id", "tables", F.explode("names").alias("point")).join(points.distinct(), "point", "left_anti")
+    return written(rest.groupBy("pair_id").agg(F.sort_array(F.collect_set("point")).alias("names"), F.first("tables").alias("tables")), "cover")
 
 
 def _drawn(seed: int, *keys: Column | str) -> Column:
@@ -211,9 +275,33 @@ def _drawn(seed: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)))
 
 
+SORTED_AT_ONCE = 10_000  # rows of the boundary bin that are sorted in one place
+
+
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows without replacement, the same under any partitioning."""
-    return df.orderBy(_drawn(seed, key), key).limit(n)
+    """n rows without replacement, the same under any partitioning: those with the smallest hashes of (seed, key), ties by key.
+
+    Rows are counted by the first four digits of their hash (at most 65,536 counts reach the driver).  Rows below the bin in which the nth lies
+    are taken by a filter; the bin is counted again by its next digits until so few rows are left that they can be sorted in one
+    place.  So a sample of half the rows shuffles counts and one bin.
+    """
+    h, low, left = _drawn(seed, key), "", n
+    while True:
+        digits = len(low) + 4
+        bins = df.filter(h.startswith(low)).groupBy(F.substring(h, 1, digits).alias("bin")).count().collect()
+        nth = None
+        for name, count in sorted(bins):
+            if count >= left:
+                nth = (name, count)
+                break
+            left -= count
+        if nth is None:
+            return df  # fewer rows than n
+        low = nth[0]
+        if nth[1] <= SORTED_AT_ONCE or digits >= 32:
+            break
+    edge = df.filter(h.startswith(low)).orderBy(h, key).limit(left)
+    return df.filter(F.substring(h, 1, len(low)) < low).unionAll(edge)
 
 
 def seeded_split(df: DataFrame, share: float, seed: int, key: str) -> DataFrame:

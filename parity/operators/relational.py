@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import family
-from .scratch import shared_folder
+from .numbering import first_rows
+from .scratch import written
 
 def _filler(kind: T.DataType, typed_null: bool) -> Column:
     """What stands for a missing column: a typed null, or 0.0 for numbers, 2025-05-30 for times and null else."""
@@ -51,7 +51,7 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def limit_then_union(a: DataFrame, b: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     """The limit stays with the first branch."""
-    return a.orderBy(*order).limit(n).unionAll(b)
+    return first_rows(a, n, *order).unionAll(b)
 
 
 def unique_name(taken: Sequence[str], words: Sequence[str], reserved: Sequence[str] = ()) -> str:
@@ -137,23 +137,33 @@ def merge_queries(a: DataFrame, b: DataFrame, catalog: Mapping[str, dict], names
 
 
 def hierarchy_levels(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
-    """(id, level) from the roots (null parent) down parent links; rows below no root are left out.
+    """(id, level) from the roots (null parent) down parent links, one row for every way to a root, as a recursive CTE with UNION ALL gives.
 
-    Spark's recursive CTE stops at a million rows, so each level is one join with the links, written to the shared folder:
-    as many rounds as the tree is deep.
+    Left out: rows without id, ids below no root, and ids whose links lead into a cycle, where the CTE would never end.
+
+    Pointer doubling: a row holds an id, the id that is 2^k links above it and how many ways lead there; a round joins it with the rows of
+    that id, which doubles the stride, so that there are as many rounds as the logarithm of the depth.  What has not ended when the stride is beyond the
+    number of ids is in or below a cycle.
     """
-    spark = df.sparkSession
-    base = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
-    links = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
-    front, level = links.filter("parent is null").select("id", F.lit(0).alias("level")), 0
+    links = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("at")).filter("id is not null")
+    now = links.groupBy("id", "at", F.when(F.col("at").isNull(), 0).otherwise(1).alias("level")).agg(F.count("*").cast("double").alias("ways"))
+    stride, most = 1, None
     while True:
-        front.write.parquet(f"{base}/level={level}")
-        front = spark.read.schema(front.schema).parquet(f"{base}/level={level}")
-        if front.isEmpty():
+        now = written(now, "levels")
+        open_ = now.filter("at is not null")
+        if open_.isEmpty():
+            ended = now
+            break
+        most = links.agg(F.count_distinct("id")).first()[0] if most is None else most
+        if stride > most:
+            ended = now.filter("at is null").join(open_.select("id").distinct(), "id", "left_anti")
             break
-        level += 1
-        front = links.join(front.select(F.col("id").alias("parent")), "parent").select("id", F.lit(level).alias("level"))
-    return spark.read.schema(front.schema).parquet(*(f"{base}/level={i}" for i in range(level + 1)))
+        above = now.toDF("at", "next", "more", "times")
+        further = open_.join(above, "at").select("id", F.col("next").alias("at"), (F.col("level") + F.col("more")).alias("level"), (F.col("ways") * F.col("times")).alias("ways"))
+        # an id with a parent that has no row is lost on that way only
+        now = now.filter("at is null").unionByName(further).groupBy("id", "at", "level").agg(F.sum("ways").alias("ways"))
+        stride *= 2
+    return ended.select("id", F.col("level").cast("int").alias("level"), F.explode(F.array_repeat(F.lit(0), F.col("ways").cast("int"))).alias("n")).drop("n")
 
 
 def order_by_dialect(specs: Sequence[tuple], dialect: str) -> list[Column]:
@@ -174,7 +184,7 @@ def order_by_position(df: DataFrame, specs: Sequence[tuple], dialect: str = "pg"
 
 
 def head_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    return first_rows(df, n, *order)
 
 
 def cube_sets(df: DataFrame, cols: Sequence[str], aggs: Sequence[Column], grand_total: bool = False) -> DataFrame:

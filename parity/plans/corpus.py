@@ -294,6 +294,13 @@ def o5_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.seeded_sample(table(spark, sf_dir, "orders"), 150, 7, "o_orderkey").select("o_orderkey")
 
 
+@query("o5_half_sample", "SELECT o_orderkey FROM orders ORDER BY md5('8|' || o_orderkey), o_orderkey LIMIT (SELECT count(*) // 2 FROM orders)")
+def o5_half_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of half the rows: taken by a filter, with one bin of hashes sorted."""
+    orders = table(spark, sf_dir, "orders")
+    return K.seeded_sample(orders, orders.count() // 2, 8, "o_orderkey").select("o_orderkey")
+
+
 @query("o5_seeded_split", "SELECT CASE WHEN substr(md5('7|' || o_orderkey), 1, 4) <= 'cccc' THEN 'train' ELSE 'dev' END AS part, count(*) AS n FROM orders GROUP BY 1")
 def o5_seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.seeded_split(table(spark, sf_dir, "orders"), 0.8, 7, "o_orderkey").groupBy("part").agg(F.count("*").alias("n"))

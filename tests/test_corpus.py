@@ -1,10 +1,14 @@
 """Properties of the corpus operators and small literal cases."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parity.operators import catalog as C
 from parity.operators import corpus as K
+from parity.operators import numbering
 from parity.operators import relational as R
 from parity.operators import retrieve as Q
 from parity.operators.numbering import numbered
@@ -131,3 +135,95 @@ def test_keyword_scores(spark):
     src = spark.createDataFrame([(1, "ROUND", "")], "id long, keyword string, description string")
     tgt = spark.createDataFrame([(1, "round", "rounds"), (2, "round_up", "x"), (3, "ceil", "like round"), (4, "abs", "")], src.schema)
     assert [(r["tgt_id"], r["score"]) for r in sorted(Q.keyword_topk(src, tgt, 9).collect(), key=lambda r: r["rank"])] == [(1, 120), (2, 50), (3, 20)]
+
+
+def plain_cover(pairs, wanted, links):
+    """One step after another."""
+    covered, used, out = set(), set(), []
+    rest = {i: (set(p) & wanted, set(t)) for i, p, t in pairs}
+    while True:
+        near = {t for u in used for t in links.get(u, ())} - used
+        key = lambda i: (-len(rest[i][0] - covered), -len(rest[i][1] & used), -len(rest[i][1] & near), i)  # noqa: B023, E731
+        top = min(rest, key=key, default=None)
+        if top is None or not rest[top][0] - covered:
+            return out
+        out.append((len(out), top, len(rest[top][0] - covered)))
+        covered |= rest[top][0]
+        used |= rest[top][1]
+        del rest[top]
+
+
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_greedy_cover_equals_single_steps(spark, monkeypatch, most):
+    """Reservations (pools of 1 and 4) give the steps of the plain form, in their order."""
+    monkeypatch.setattr(K, "CANDIDATES", most)
+    rng = random.Random(most)
+    rows = [(i, rng.sample([f"p{n}" for n in range(25)], rng.choice([1, 2, 2, 3])), rng.sample("abcd", rng.choice([0, 1, 1, 2]))) for i in range(40)]
+    wanted, links = {f"p{n}" for n in range(22)}, {"a": ["b"], "b": ["c"], "c": ["d"]}
+    df = spark.createDataFrame([(i, [(p, 1) for p in ps], ts) for i, ps, ts in rows], "pair_id long, points array<struct<point:string,num:bigint>>, tables array<string>")
+    got = K.greedy_cover(df, spark.createDataFrame([(w,) for w in sorted(wanted)], "point string"), links).orderBy("step").collect()
+    assert [tuple(r) for r in got] == plain_cover(rows, wanted, links)
+
+
+def test_greedy_cover_takes_ties_at_once(spark, monkeypatch):
+    """5,000 pairs of one point each: a round of reservations each for the first, which brings the table, and for all the others."""
+    rounds, once = [], K._reserved
+    monkeypatch.setattr(K, "_reserved", lambda *a: rounds.append(1) or once(*a))
+    df = spark.range(5000).select(F.col("id").alias("pair_id"), F.array(F.struct(F.col("id").cast("string").alias("point"), F.lit(1).cast("long").alias("num"))).alias("points"), F.array(F.lit("t")).alias("tables"))
+    got = K.greedy_cover(df, df.select(F.col("points")[0]["point"].alias("point")))
+    assert [r["pair_id"] for r in got.orderBy("step").collect()] == list(range(5000)) and len(rounds) <= 3
+
+
+def test_samples_larger_than_a_bin(spark, monkeypatch):
+    monkeypatch.setattr(K, "SORTED_AT_ONCE", 3)
+    df = spark.range(3000).select(F.col("id").alias("k"))
+    order = [r["k"] for r in df.orderBy(K._drawn(5, "k"), "k").collect()]
+    for n in (0, 1, 77, 1500, 2999, 3000, 9000):
+        assert sorted(r["k"] for r in K.seeded_sample(df, n, 5, "k").collect()) == sorted(order[:n])
+    copies = df.unionAll(df).withColumn("k", F.col("k") % 2)
+    assert K.seeded_sample(copies, 4000, 5, "k").count() == 4000
+
+
+def test_medians_and_first_rows(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(9)])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r["k"]: r["v_mid"] for r in K.corpus_stats(df, ["k"], ["v"]).collect()}
+    assert got == {k: float(np.median([v for j, v in rows if j == k and v is not None])) for k in ("a", "b", None)}
+    monkeypatch.setattr(numbering, "SORTED_AT_ONCE", 5)
+    ids = spark.range(500)
+    assert [r["id"] for r in numbering.first_rows(ids, 120, F.desc("id")).orderBy(F.desc("id")).collect()] == list(range(499, 379, -1))
+
+
+def plain_levels(rows):
+    below, out = {}, []
+    for i, up in rows:
+        below.setdefault(up, []).append(i)
+    cyclic = set()
+    for i, _ in rows:
+        seen, todo = set(), [i]
+        while todo:
+            for up in [u for j, u in rows if j == todo[0] and u is not None]:
+                if up == i:
+                    cyclic.add(i)
+                if up not in seen:
+                    seen.add(up)
+                    todo.append(up)
+            todo.pop(0)
+    bad = set(cyclic)
+    for _ in rows:
+        bad |= {i for i, u in rows if u in bad}
+    todo = [(i, 0) for i in below.get(None, [])]
+    while todo:
+        i, n = todo.pop()
+        if i not in bad:
+            out.append((i, n))
+        todo += [(j, n + 1) for j in below.get(i, []) if n < 60]
+    return sorted((i, n) for i, n in out if i not in bad)
+
+
+def test_levels_by_doubling(spark):
+    rng = random.Random(4)
+    for rows in ([(i, i - 1 if i else None) for i in range(40)], [(0, None), (1, 0), (1, 0), (2, 1), (2, 0), (3, 3), (4, 3), (5, 99), (6, 7), (7, 6), (8, 6), (8, 0)], [(i, rng.choice([None, *range(12)])) for i in range(12)]):
+        got = R.hierarchy_levels(spark.createDataFrame(rows, "id long, up long"), "id", "up")
+        assert sorted((r["id"], r["level"]) for r in got.collect()) == plain_levels(rows)
