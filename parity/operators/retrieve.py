@@ -22,14 +22,28 @@ def unmatched_names(src: DataFrame, tgt: DataFrame, name: str = "keyword") -> Da
 GRAM = 3  # characters of the pieces by which names and descriptions meet
 
 
-def _grams(col: Column) -> Column:
-    """Distinct pieces of GRAM characters; a shorter text is its own piece."""
-    many = F.length(col) - GRAM + 1
-    return F.when(many >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.substr(col, i, F.lit(GRAM))))).otherwise(F.array(col))
+def _pieces(col: Column, n: int) -> Column:
+    """The different pieces of n characters of a text; none, if it is shorter."""
+    return F.when(F.length(col) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substring(col, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
-def _first_gram(col: Column) -> Column:
-    return F.substring(col, 1, GRAM)
+def contained(small: DataFrame, big: DataFrame) -> DataFrame:
+    """(s, t) where the text s of small (s) is inside t of big (t); both different texts, without nulls.
+
+    A text of three characters or more is looked for under the rarest of its pieces, by how many texts of big hold it, and then verified; so a
+    piece that all names share is no key of the join.  Shorter ones are pieces themselves, so that the join is the whole test.
+    The empty text is in every text.
+    """
+    held = big.select("t", F.explode(_pieces(F.col("t"), GRAM)).alias("piece"))
+    often = held.groupBy("piece").agg(F.count("*").alias("n"))
+    own = small.filter(F.length("s") >= GRAM).select("s", F.explode(_pieces(F.col("s"), GRAM)).alias("piece")).join(often, "piece")
+    keyed = own.groupBy("s").agg(F.min(F.struct("n", "piece")).alias("k")).select("s", F.col("k.piece").alias("piece"))
+    out = keyed.join(held, "piece").filter(F.contains("t", "s")).select("s", "t")
+    for n in range(1, GRAM):
+        short = big.select("t", F.explode(_pieces(F.col("t"), n)).alias("s"))
+        out = out.unionByName(small.filter(F.length("s") == n).join(short, "s").select("s", "t"))
+    empty = small.filter("s = ''").limit(1)  # the different texts hold it once at most
+    return out.unionByName(big.crossJoin(F.broadcast(empty)).select("s", "t"))
 
 
 def keyword_topk(src: DataFrame, tgt: DataFrame, k: int) -> DataFrame:
@@ -39,22 +53,14 @@ def keyword_topk(src: DataFrame, tgt: DataFrame, k: int) -> DataFrame:
     whole keyword, or that inside it, 50, the source's name in the target's description 20 more; only positive scores
     count, ties by id; null names match nothing.
 
-    Equal names and descriptions repeat, so different ones are matched and the hits joined with their entries.  A text inside another shares its
-    first piece of GRAM characters with it, so candidates come from an equi-join on pieces and are then verified; a name
-    shorter than that is compared with all different texts (there are few such names).
+    Equal names and descriptions repeat, so different ones are matched (see ``contained``) and the hits joined with their entries.
     """
     a = src.select(F.col("id").alias("src_id"), F.lower(before_paren(F.col("keyword"))).alias("a")).filter("a is not null")
     b = tgt.select(F.col("id").alias("tgt_id"), F.lower("keyword").alias("b"), F.coalesce(F.lower("description"), F.lit("")).alias("d")).filter("b is not null")
     names, texts = a.select("a").distinct(), b.select(F.col("b").alias("t")).unionAll(b.select("d")).distinct()
-    short, long = names.filter(F.length("a") < GRAM), names.filter(F.length("a") >= GRAM)
-    held = texts.select("t", F.explode(_grams(F.col("t"))).alias("gram"))
-    inside = long.select("a", _first_gram(F.col("a")).alias("gram")).join(held, "gram").filter(F.contains("t", "a")).select("a", "t")
-    inside = inside.unionByName(short.join(texts, F.contains("t", "a"))).distinct()
-    # and the other way round: a target's keyword inside the source's name
-    words = b.select(F.col("b").alias("t")).distinct()
-    parts = names.select("a", F.explode(_grams(F.col("a"))).alias("gram"))
-    around = words.filter(F.length("t") >= GRAM).select("t", _first_gram(F.col("t")).alias("gram")).join(parts, "gram").filter(F.contains("a", "t")).select("a", "t")
-    around = around.unionByName(words.filter(F.length("t") < GRAM).join(names, F.contains("a", "t")).select("a", "t")).distinct()
+    inside = contained(names.toDF("s"), texts).withColumnRenamed("s", "a")
+    words = b.select(F.col("b").alias("s")).distinct()
+    around = contained(words, names.toDF("t")).select(F.col("t").alias("a"), F.col("s").alias("t"))  # and the other way round
     by_name = inside.unionByName(around).distinct()
     pairs = by_name.join(b.select("b", "d").distinct(), F.col("t") == F.col("b")).select("a", "b", "d")
     pairs = pairs.unionByName(inside.join(b.select("b", "d").distinct(), F.col("t") == F.col("d")).select("a", "b", "d")).distinct()

@@ -1,11 +1,16 @@
 """Sources and sinks on small files."""
 
 import json
+import random
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parity.operators import catalog as C
 from parity.operators import relational as R
+from parity.operators import retrieve as Q
+from parity.operators import statements
 from parity.plans.common import CATALOG
 from parity.sources import io as S
 
@@ -44,21 +49,91 @@ def test_rules(spark, tmp_path):
     assert S.read_rule_catalog(spark, str(tmp_path / "rules"), tagged_only=True).count() == 1
 
 
-def test_inserts_are_packed(spark):
-    df = spark.createDataFrame([(i, f"n'{i}") for i in range(7)], "id int, name string").coalesce(1)
-    got = S.render_inserts(df, "t", {"id": "INT", "name": "VARCHAR"}, "pg", max_rows=3, order=["id"]).collect()
-    assert [r["n_rows"] for r in got] == [3, 3, 1]
-    assert got[2]["statement"] == "INSERT INTO t (id, name) VALUES (6, 'n''6')"
-    assert [r["n_rows"] for r in S.render_inserts(df, "t", {"id": "INT", "name": "VARCHAR"}, "pg", max_len=10).collect()] == [1] * 7
-
-
-def test_jdbc(spark, tmp_path, monkeypatch):
+def plain_statements(rows, head, max_len, max_rows):
+    out, held, size = [], [], len(head)
+    for row in rows:
+        if held and (len(held) == max_rows or size + len(row) + 2 > max_len):
+            out.append(head + ", ".join(held))
+            held, size = [], len(head)
+        held.append(row)
+        size += len(row) + 2
+    return out + ([head + ", ".join(held)] if held else [])
+
+
+@pytest.mark.parametrize("block", [8, 1 << 16])
+def test_inserts_under_any_partitioning(spark, monkeypatch, block):
+    monkeypatch.setattr(statements, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(i, "x" * rng.choice([0, 1, 5, 30, 200])) for i in range(300)]
+    want = plain_statements([f"({i}, '{x}')" for i, x in rows], "INSERT INTO t (id, name) VALUES ", 150, 7)
+    for parts in (1, 50):
+        df = spark.createDataFrame(rows, "id int, name string").repartition(parts)
+        got = S.render_inserts(df, "t", {"id": "INT", "name": "VARCHAR"}, "pg", max_len=150, max_rows=7, order=["id"]).collect()
+        assert sorted(r["statement"] for r in got) == sorted(want) and sum(r["n_rows"] for r in got) == 300
+    none = spark.createDataFrame([], "id int, name string")
+    assert S.render_inserts(none, "t", {"id": "INT", "name": "VARCHAR"}, "pg").count() == 0
+
+
+def test_dates_of_any_format(spark, tmp_path):
+    day = lambda value, fmt: json.dumps({"value": value, "format": fmt})
+    cells = [day("31.12.2021", "DD.MM.YYYY"), day("2021, 5 MAY", "YYYY, D MON"), day("05-may-21", "DD-MON-RR"), day("05-MAY-71", "dd-mon-rr"), day("20210505", "YYYYMMDD"), "2021-05-05", day("5", "nonsense'")]
+    (tmp_path / "d.tbl").write_text("".join(f"{i}|{c}\n" for i, c in enumerate(cells)))
+    schema = T.StructType.fromDDL("id int, d date")
+    good, bad = S.read_delimited(spark, str(tmp_path / "d.tbl"), schema)
+    assert {r["id"]: str(r["d"]) for r in good.collect()} == {0: "2021-12-31", 2: "2021-05-05", 3: "1971-05-05", 4: "2021-05-05", 5: "2021-05-05"}
+    assert sorted(r["line"][0] for r in bad.collect()) == ["1", "6"]
+
+
+def test_jdbc(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     how = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")
     S.write_jdbc(df, url, "t", **how)
     back = S.read_query_jdbc(spark, url, "select * from t", **how)
     assert sorted((r[0], r[1]) for r in back.collect()) == [(1, "a"), (2, None)]
+    rows = [(i if i < 900 else 5 if i < 950 else None,) for i in range(1000)]
+    S.write_jdbc(spark.createDataFrame(rows, "n int"), url, "many", **how)
+    read = lambda where, **more: S.read_query_jdbc(spark, url, f'select "n" from many where {where}', by='"n"', parts=4, **how, **more)
+    got = read("1 = 1")
+    assert sorted(str(r[0]) for r in got.collect()) == sorted(str(r[0]) for r in rows)
+    sizes = [r["c"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("c")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 400
+    assert read('"n" = 5').count() == 51 and read('"n" > 5000').count() == 0
+    S.write_jdbc(df.limit(0), url, "staged", **how)
+    assert S.write_jdbc_staged(df, url, "staged", "one", **how) and not S.write_jdbc_staged(df, url, "staged", "one", **how)
+    broken = df.withColumn("id", F.when(F.col("id") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        S.write_jdbc_staged(broken, url, "staged", "two", **how)
+    assert S.read_query_jdbc(spark, url, "select * from staged", **how).count() == 2
+    assert S.write_jdbc_staged(df, url, "staged", "two", **how)
+    assert S.read_query_jdbc(spark, url, "select * from staged", **how).count() == 4
+
+
+def plain_topk(src, tgt, k):
+    out = []
+    for i, word, _ in src:
+        name = word.lower().split("(")[0].strip() if word is not None else None
+        hits = []
+        for j, other, text in tgt:
+            if name is None or other is None:
+                continue
+            low, said = other.lower(), (text or "").lower()
+            score = (100 if name == low.split("(")[0].strip() else 50 if name in low or low in name else 0) + 20 * (name in said)
+            if score:
+                hits.append((-score, j))
+        out += [(i, j, -s, n + 1) for n, (s, j) in enumerate(sorted(hits)[:k])]
+    return sorted(out)
+
+
+def test_keywords_by_rarest_piece(spark):
+    """All names share three letters, some have two, one or none."""
+    rng = random.Random(1)
+    word = lambda: "abc" + "".join(rng.choices("abcd", k=rng.randrange(4)))
+    src = [(i, w, "") for i, w in enumerate([word() for _ in range(25)] + ["ab", "d", "", None, "ABC(x)", "zz"])]
+    tgt = [(i, w, rng.choice([None, "", f"see {word()} and dd", "d"])) for i, w in enumerate([word() + "(a, b)" for _ in range(25)] + ["a", "cd", "", None, "zz(1)"])]
+    f = lambda rows: spark.createDataFrame(rows, "id int, keyword string, description string")
+    got = Q.keyword_topk(f(src), f(tgt), 4)
+    assert sorted((r["src_id"], r["tgt_id"], r["score"], r["rank"]) for r in got.collect()) == plain_topk(src, tgt, 4)
 
 
 def test_catalog(spark):
