@@ -83,12 +83,15 @@ def keys_frame(spark: SparkSession, catalog: Mapping[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "tbl string, cols array<string>, ref_table string, ref_cols array<string>")
 
 
-def fk_neighbours(keys: DataFrame, tables: Sequence[str], outgoing_only: bool = False) -> DataFrame:
-    """Tables one foreign-key hop away; outgoing_only leaves the given tables out."""
-    out = keys.filter(F.col("tbl").isin(*tables)).select(F.col("ref_table").alias("tbl"))
+def fk_neighbours(keys: DataFrame, tables: Sequence[str] | DataFrame, outgoing_only: bool = False) -> DataFrame:
+    """Tables one foreign-key hop away; outgoing_only leaves the given tables out.  tables: names, or a frame (tbl) of them."""
+    if not isinstance(tables, DataFrame):
+        tables = keys.sparkSession.createDataFrame([(t,) for t in tables], "tbl string")
+    given = tables.select("tbl").distinct()
+    out = keys.join(given, "tbl", "left_semi").select(F.col("ref_table").alias("tbl"))
     if outgoing_only:
-        return out.filter(~F.col("tbl").isin(*tables)).distinct()
-    return out.unionAll(keys.filter(F.col("ref_table").isin(*tables)).select("tbl")).distinct()
+        return out.join(given, "tbl", "left_anti").distinct()
+    return out.unionAll(keys.join(given.toDF("ref_table"), "ref_table", "left_semi").select("tbl")).distinct()
 
 
 def reserved_name_hits(columns: DataFrame, keywords: DataFrame, keys: DataFrame) -> DataFrame:

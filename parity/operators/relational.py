@@ -212,11 +212,16 @@ def topk_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column | str
 
 
 def categorical_window(df: DataFrame, catalog: Mapping[str, dict], table: str, agg: Column, name: str, most: int = 3) -> DataFrame:
-    """agg over a window partitioned by the table's CATEGORICAL columns (two or three; fewer if there are no more)."""
+    """agg over a window partitioned by the table's CATEGORICAL columns (two or three; fewer if there are no more).
+
+    A window over whole partitions is an aggregate joined back: a handful of categories would be a handful of tasks, while counts
+    are summed before they are shuffled, and the join is with one row for each combination.
+    """
     cols = [c["col_name"] for c in catalog[table]["cols"] if c.get("semantic", {}).get("type") == "CATEGORICAL"][:most]
     if not cols:
         raise ValueError(f"{table} has no categorical column")
-    return df.withColumn(name, agg.over(Window.partitionBy(*cols)))
+    totals = df.groupBy(F.struct(*cols).alias("__by")).agg(agg.alias(name))
+    return df.drop(name).withColumn("__by", F.struct(*cols)).join(totals, "__by", "left").drop("__by")
 
 
 def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: str, name: str = "running") -> DataFrame:

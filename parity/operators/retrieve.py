@@ -74,7 +74,7 @@ def keyword_topk(src: DataFrame, tgt: DataFrame, k: int) -> DataFrame:
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, partition_col: str | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): the k nearest items by cosine, within the query's partition if one is named.
 
-    queries, items: (id, vector[, partition_col]).  score = round((1 - d / 2) * 100, 2) clipped to 0..100 for the distance d = 1 - cosine.
+    queries, items: (id, vector[, partition_col]); ids are of any type that sorts.  score = round((1 - d / 2) * 100, 2) clipped to 0..100 for the distance d = 1 - cosine.
     A query's own id is no item.  Rows whose vector is null, empty or holds null or non-finite numbers take no part, nor do items of another length
     than the query.  Queries and items meet in a grid of bounded blocks; each block keeps its k best, so little is
     shuffled for the merge.
@@ -89,19 +89,19 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, partition_col: str
     right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), part.alias("p"), "id", "vector")
 
     def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, x = [], x.sort_values("id")
         if len(x) and len(y):
             unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             sims = unit(np.stack(y["vector"]).astype(float)) @ unit(np.stack(x["vector"]).astype(float)).T
             ids = x["id"].to_numpy()
             for i, query in enumerate(y["id"]):
-                best = np.lexsort((ids, -sims[i]))[: k + 1]
+                best = np.argsort(-sims[i], kind="stable")[: k + 1]
                 best = best[ids[best] != query][:k]
                 out += [(query, ids[j], sims[i, j]) for j in best]
-        return pd.DataFrame(out, columns=["query_id", "item_id", "cosine"]).astype({"query_id": "int64", "item_id": "int64", "cosine": "float64"})
+        return pd.DataFrame(out, columns=["query_id", "item_id", "cosine"]).astype({"cosine": "float64"})
 
     keys = ["c", "b", "p"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, "query_id long, item_id long, cosine double")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, f"query_id {dict(queries.dtypes)['id']}, item_id {dict(items.dtypes)['id']}, cosine double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round((1 - (1 - F.col("cosine")) / 2) * 100, 2)))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "item_id", score.alias("score"), "rank")

@@ -135,30 +135,37 @@ def j6_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cosine_topk(v.filter("id % 100 = 0"), v, 5, "label")
 
 
-@query("j7_fk_neighbours", "SELECT 'customer' AS tbl, count(*) AS n FROM customer UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
+@query(
+    "j7_fk_neighbours",
+    """WITH k AS (SELECT DISTINCT p_brand AS tbl, p_type AS ref_table FROM part UNION SELECT DISTINCT p_type, split_part(p_name, ' ', 1) FROM part),
+ g AS (SELECT p_type AS tbl FROM part GROUP BY p_type HAVING min(p_size) = 1)
+SELECT ref_table AS tbl FROM k WHERE tbl IN (SELECT tbl FROM g) UNION SELECT tbl FROM k WHERE ref_table IN (SELECT tbl FROM g)""",
+)
 def j7_fk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of the tables one key away from nation."""
-    near = [r["tbl"] for r in C.fk_neighbours(C.keys_frame(spark, CATALOG), ["nation"]).orderBy("tbl").collect()]
-    out = None
-    for t in near:
-        one = table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("tbl"), "n")
-        out = out.unionAll(one) if out is not None else one
-    return out
+    """Keys read from the parts, brands to types and types to the first words of names: what is one key away from the types that have a part of size 1."""
+    part = table(spark, sf_dir, "part")
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    keys = part.select(F.col("p_brand").alias("tbl"), F.col("p_type").alias("ref_table")).unionAll(part.select("p_type", first)).distinct()
+    given = part.groupBy(F.col("p_type").alias("tbl")).agg(F.min("p_size").alias("s")).filter("s = 1")
+    return C.fk_neighbours(keys, given)
 
 
 @query(
     "j8_reserved_name_hits",
     """WITH c AS (SELECT source AS tbl, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: len(x) > 2))) AS col FROM documents),
  n AS (SELECT DISTINCT tbl, col FROM c), w AS (SELECT DISTINCT upper(lang) AS w FROM documents UNION SELECT DISTINCT upper(split_part(p_name, ' ', 1)) FROM part UNION SELECT 'THE' UNION SELECT 'LES')
-SELECT tbl, col, [] AS links FROM n WHERE upper(col) IN (SELECT w FROM w)""",
+SELECT tbl, col, coalesce((SELECT list_sort(list(DISTINCT lang)) FROM documents d WHERE d.source = n.tbl AND list_filter(regexp_split_to_array(d.text, '[^A-Za-z]+'), lambda x: len(x) > 2)[1] = n.col), []) AS links
+FROM n WHERE upper(col) IN (SELECT w FROM w)""",
 )
 def j8_reserved_name_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of a source's documents are its columns; languages, the parts' first words and two frequent ones are reserved."""
+    """The words of a source's documents are its columns; languages, the parts' first words and two frequent ones are reserved.  The first word
+    of a document is a key of its source to its language."""
     docs, part = table(spark, sf_dir, "documents"), table(spark, sf_dir, "part")
     found = F.array_distinct(F.filter(F.split("text", "[^A-Za-z]+"), lambda x: F.length(x) > 2))
     columns = docs.select(F.col("source").alias("tbl"), F.explode(found).alias("col")).distinct()
     words = docs.select(F.col("lang").alias("word")).unionAll(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).unionAll(docs.select(F.explode(F.array(F.lit("the"), F.lit("les"))))).distinct()
-    return C.reserved_name_hits(columns, words, C.keys_frame(spark, {})).filter("col is not null")
+    keys = docs.select(F.col("source").alias("tbl"), F.array(F.get(found, F.lit(0))).alias("cols"), F.col("lang").alias("ref_table"), F.array(F.lit("id")).alias("ref_cols")).distinct()
+    return C.reserved_name_hits(columns, words, keys).filter("col is not null")
 
 
 @query("j11_compatible_rules", "SELECT p_partkey AS rule_id FROM part WHERE NOT (p_size % 3 = 1)")

@@ -227,3 +227,10 @@ def test_levels_by_doubling(spark):
     for rows in ([(i, i - 1 if i else None) for i in range(40)], [(0, None), (1, 0), (1, 0), (2, 1), (2, 0), (3, 3), (4, 3), (5, 99), (6, 7), (7, 6), (8, 6), (8, 0)], [(i, rng.choice([None, *range(12)])) for i in range(12)]):
         got = R.hierarchy_levels(spark.createDataFrame(rows, "id long, up long"), "id", "up")
         assert sorted((r["id"], r["level"]) for r in got.collect()) == plain_levels(rows)
+
+
+def test_cosine_ids_of_any_type(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0]), ("d", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    got = {(r["query_id"], r["rank"]): r["item_id"] for r in Q.cosine_topk(df.filter("id in ('a', 'c')"), df, 2).collect()}
+    assert got == {("a", 1): "d", ("a", 2): "b", ("c", 1): "b", ("c", 2): "a"}
