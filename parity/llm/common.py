@@ -148,24 +148,25 @@ def parts(spark: SparkSession) -> int:
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), for every id that has an edge.
 
-    Large-star and small-star rounds (Kiveris et al., 2014): every round is two group-bys that keep one row for
-    an edge, so that a hub is never expanded; ends when a round changes nothing.
+    Rounds of contraction: every id takes the name of the neighbour (or of itself) that has most edges, ties by a hash that is new
+    each round; edges between names remain, once each.  A star is one name after one round, a path of n ids after about log n.  Counting and naming are
+    pre-aggregated, and a round's joins have a row for each end of an edge, so that a hub is never expanded.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    e = written(e, name)
-    last = None
-    while True:
+    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
+    names: list[DataFrame] = []
+    while not e.isEmpty():
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = written(small.filter("a <> b").distinct(), name)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == last:
-            break
-        last = now
-    ids = e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
-    return ids.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        own = both.groupBy("a").agg(F.struct(F.count("*").alias("n"), F.xxhash64(F.lit(len(names)), "a").alias("h"), F.col("a").alias("to")).alias("own"))
+        best = both.join(own.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max("own").alias("best"))
+        named = written(own.join(best, "a").select("a", F.greatest("own", "best")["to"].alias("to")), name)
+        one, two = named.toDF("a", "x"), named.toDF("b", "y")
+        e = written(e.join(one, "a").join(two, "b").filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), name)
+        names.append(named)
+    if not names:
+        return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    last = names[-1]
+    for named in reversed(names[:-1]):
+        last = named.join(last.toDF("to", "end"), "to", "left").select("a", F.coalesce("end", "to").alias("to"))
+    last = written(last, name)
+    least = last.groupBy("to").agg(F.min("a").alias("component"))
+    return last.join(least, "to").select(F.col("a").alias("id"), "component")
