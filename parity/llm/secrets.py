@@ -32,11 +32,15 @@ KEYWORDS = f"(?i)({WORDS})"
 ASSIGNS = "(?:=>|:=|[=:])"
 PATHS = "(://|www\\.|\\.[a-z]{2,4}/|[a-z0-9]/[a-z0-9])"
 
-# A name with a keyword and its assigned value (quoted: up to the quote; else up to a space, a quote or the next parameter of a
-# url), or a run of key characters.
-NAMED = f"(?<![A-Za-z0-9_\\-])[A-Za-z0-9_\\-]{{0,30}}?(?i:{WORDS})[A-Za-z0-9_\\-]{{0,20}}[\"'`]?\\s{{0,4}}{ASSIGNS}\\s{{0,4}}"
+# A name with a keyword, of any length and with any space around the sign, and its assigned value (quoted: up to the quote; else up to a space, a
+# quote or the next parameter of a url), or a run of key characters.  A name is looked into only where a sign follows it, and runs
+# are possessive, so that the work is linear in the text.
+NAME = "[A-Za-z0-9_\\-]"
+SIGN = f"[\"'`]?\\s*+{ASSIGNS}\\s*+"
+NAMED = f"(?<!{NAME})(?={NAME}++{SIGN})(?={NAME}*?(?i:{WORDS})){NAME}++{SIGN}"
 VALUE = "(?:\"[^\"\\n]+(?=\")|'[^'\\n]+(?=')|`[^`\\n]+(?=`)|(?!=)(?:(?!&\\w+=)[^\\s\"'`])++)"
-CANDIDATE = f"{NAMED}{VALUE}|[A-Za-z0-9+/_=\\-]{{16,}}"
+RUN = "[A-Za-z0-9+/_=\\-]"
+CANDIDATE = f"{NAMED}{VALUE}|(?<!{RUN}){RUN}{{16,}}"
 
 FEATURES = ["length", "digits", "uppers", "lowers", "marks", "turns", "vowels", "kinds", "hexadecimal", "covered", "path", "path_near", "keyword", "assigned", "quoted"]
 
@@ -210,9 +214,9 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the span of every secret replaced by ``mark``; all else in its texts, other rows and columns are untouched."""
-    found = scan(docs).filter("secret").groupBy(F.col("k1").alias("__key")).agg(F.array_sort(F.collect_set("nth")).alias("__nth"))
-    text = F.col("text").cast("string")
+    """docs with the span of every secret replaced by ``mark``; all else in its texts, other rows and columns are untouched, whatever
+    the columns' names are."""
+    found = scan(docs).filter("secret").groupBy(F.col("k1").alias("key")).agg(F.array_sort(F.collect_set("nth")).alias("gone"))
 
     def marked(p: Column, m: Column, gone: Column) -> Column:
         between = lambda a, n: F.array_join(F.zip_with(F.slice(p, a + 1, n), F.slice(m, a + 1, n), lambda x, y: F.concat(x, y)), "")
@@ -221,7 +225,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         last = F.element_at(gone, -1) + 1
         return F.concat(F.array_join(heads, ""), between(last, F.size(m) - last), F.element_at(p, -1))
 
-    pieces, finds = _pieces(text)
-    clean = _let(pieces, lambda p: _let(finds, lambda m: marked(p, m, F.col("__nth"))))
-    joined = docs.withColumn("__key", F.xxhash64("doc_id", text)).join(found, "__key", "left")
-    return joined.select(*(F.when(F.col("__nth").isNotNull(), clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    text = F.col("row.text")
+    pieces, finds = _pieces(text.cast("string"))
+    clean = _let(pieces, lambda p: _let(finds, lambda m: marked(p, m, F.col("gone"))))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = rows.withColumn("key", F.xxhash64("row.doc_id", text.cast("string"))).join(found, "key", "left")
+    return joined.select(*((F.when(F.col("gone").isNotNull(), clean).otherwise(text) if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
