@@ -22,7 +22,6 @@ from .common import CHECK_POWERS, parts, signed, text_slices, window_hashes, wit
 
 GRAM = 12
 HOT = 1000  # times from which an anchor's windows are counted in salted groups
-MOST_HOT = 100_000  # the proven bound of the broadcast hot anchors: in a larger corpus an anchor must be hotter
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -96,17 +95,12 @@ def _anchors(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _listed(docs: DataFrame, k: int) -> tuple[DataFrame, bool]:
-    """(k1, k2, anchors, hot): each document's anchors that occur twice or more, and which of them are hot; and if any is."""
+    """(k1, k2, anchors, hot): each document's anchors that occur twice or more, and which of them are hot; and if any is.  The join
+    groups nothing, so that Spark splits a hot anchor's rows."""
     counts = written(_anchors(docs, k).groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1"), "anchors")
-    total, most = counts.agg(F.sum("n"), F.max("n")).first()
-    limit, salts = max(HOT, (total or 0) // MOST_HOT), parts(docs.sparkSession)
-    is_hot = F.col("n") > limit
-    hot = counts.filter(is_hot).select("anchor", F.lit(True).alias("hot"))
-    rows = _anchors(docs, k).join(F.broadcast(hot), "anchor", "left").select("anchor", "k1", "k2", F.when(F.col("hot"), F.pmod("k1", F.lit(salts))).otherwise(-1).alias("salt"))
-    every = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(-1).cast("long")))
-    known = counts.select("anchor", is_hot.alias("hot"), F.explode(every).alias("salt"))
-    found = rows.join(known, ["anchor", "salt"]).groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    return found, (most or 0) > limit
+    found = _anchors(docs, k).select("anchor", "k1", "k2").join(counts, "anchor").groupBy("k1", "k2")
+    found = found.agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot"))
+    return found, (counts.agg(F.max("n")).first()[0] or 0) > HOT
 
 
 def _candidates(docs: DataFrame, k: int) -> DataFrame:
