@@ -143,12 +143,12 @@ def _paired(rows: DataFrame, off: DataFrame, rel: float, abs_tol: float) -> Data
     kinds = {c: rows.schema[c].dataType for c in names}
     exact = [(F.col("g")[f.name], f.dataType) for f in rows.schema["g"].dataType]
     todo = rows.withColumn("__bucket", _bucket(exact)).join(F.broadcast(off.select("__bucket")), "__bucket", "left_semi")
-    bags = written(todo.groupBy("g", *names).agg(F.count_if("in_a").alias("na"), F.count_if(~F.col("in_a")).alias("nb")), "bags")
+    bags = todo.groupBy("g", *names).agg(F.count_if("in_a").alias("na"), F.count_if(~F.col("in_a")).alias("nb"))
+    laid = laid_out(bags, "g", *names)
     odd = (F.col("na") != F.col("nb")) | _has_nan(bags, names)
-    sizes = bags.groupBy("g").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.max(odd).alias("off")).filter("off")
+    sizes = laid.groupBy("g").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.max(odd).alias("off")).filter("off")
     uneven = sizes.filter("ta <> tb").select("g", F.lit(False).alias("ok"))
-    laid = laid_out(bags.join(sizes.filter("ta = tb").select("g"), "g", "left_semi"), "g", *names)
-    placed = with_sums(laid, key="g", pa=F.col("na"), pb=F.col("nb"))
+    placed = with_sums(laid, key="g", pa=F.col("na"), pb=F.col("nb")).join(sizes.filter("ta = tb").select("g"), "g", "left_semi")
     cells, none = F.struct(F.lit(0).alias("row"), *names), F.lit(None)
 
     def runs(at: str, n: str, mine: str) -> DataFrame:
