@@ -23,17 +23,26 @@ BLOCK = 1 << 16  # positions of a group's sorted lists that are paired in one wi
 _PIECES = ((0, 22), (22, 21), (43, 21))  # (shift, bits) of a 64-bit hash; sums of so few bits hold for 2^41 rows
 
 
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}  # whole microseconds
+
+
+def _zeroed(col: Column, kind: T.DataType) -> Column:
+    """-0.0 as 0.0, at any depth, as grouping has it."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return col + F.lit(0.0).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _zeroed(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*(_zeroed(col[f.name], f.dataType).alias(f.name) for f in kind)))
+    return col
+
+
 def _hash(seed: int, cells: Sequence[tuple[Column, T.DataType]]) -> Column:
-    """64 bits of a row's cells; nulls have their places, equal numbers (0.0, -0.0) one hash, nested cells are hashed as JSON."""
+    """64 bits of a row's cells; nulls have their places, nested cells are hashed as JSON."""
     parts = [F.lit(seed)]
     for col, kind in cells:
-        if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
-            if kind.simpleString() == "array<double>":
-                col = F.transform(col, lambda x: x + F.lit(0.0))
-            col = F.to_json(F.struct(col.alias("c")))
-        elif isinstance(kind, (T.FloatType, T.DoubleType)):
-            col = col + F.lit(0.0).cast(kind)
-        parts += [col.isNull(), col]
+        col = _zeroed(col, kind)
+        parts += [col.isNull(), F.to_json(F.struct(col.alias("c")), _JSON) if isinstance(kind, (T.ArrayType, T.StructType)) else col]
     return F.xxhash64(*parts)
 
 

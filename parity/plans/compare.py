@@ -228,18 +228,19 @@ def v8_fk_closed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     "v8_self_reference",
     """
 WITH RECURSIVE l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 3 THEN c_custkey WHEN c_custkey > 1 THEN c_custkey // 2 END AS up, c_nationkey FROM customer),
- r AS (SELECT * FROM l WHERE id % 1000 = 77 UNION SELECT l.* FROM r JOIN l ON l.id = r.up)
+ r AS (SELECT * FROM l WHERE id IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50) UNION SELECT l.* FROM r JOIN l ON l.id = r.up)
 SELECT 'people' AS tbl, id FROM r UNION ALL SELECT 'nation', n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM r)
 UNION ALL SELECT 'region', r_regionkey FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM r))
 """,
 )
 def v8_self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers who were brought by a customer (some by themselves): the chains above some of them, and what those refer to."""
+    """Customers who were brought by a customer (some by themselves): the chains above the fifty richest (the sample size is
+    the feature), and what those refer to."""
     up = F.when(F.col("c_custkey") % 17 == 3, F.col("c_custkey")).when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2))
     tables = {"people": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), up.alias("up"), "c_nationkey"), "nation": table(spark, sf_dir, "nation"), "region": table(spark, sf_dir, "region")}
     fk = lambda col, to, ref: {"col": col, "ref_table": to, "ref_col": ref}
     catalog = {"people": {"foreign_key": [fk("up", "people", "id"), fk("c_nationkey", "nation", "n_nationkey")]}, "nation": CATALOG["nation"], "region": CATALOG["region"]}
-    sample = V.fk_closed_sample(tables, catalog, "people", tables["people"].filter("id % 1000 = 77").select("id"))
+    sample = V.fk_closed_sample(tables, catalog, "people", table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50).select(F.col("c_custkey").alias("id")))
     ids = {"people": "id", "nation": "n_nationkey", "region": "r_regionkey"}
     out = [df.select(F.lit(t).alias("tbl"), F.col(ids[t]).cast("long").alias("id")) for t, df in sample.items()]
     for x in out[1:]:

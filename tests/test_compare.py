@@ -215,8 +215,10 @@ def test_nulls_have_their_places_in_digests(spark):
     f = lambda rows: spark.createDataFrame(rows, "x int, y int, z array<int>")
     assert not V.multiset_equal(f([(1, None, [None, 1])]), f([(None, 1, [None, 1])])).first()["equal"]
     assert V.multiset_diff(f([(1, 2, [1])]), f([(1, 2, None)])).count() == 2
-    zero = lambda x: spark.createDataFrame([(x, [x])], "x double, y array<double>")
+    zero = lambda x: spark.createDataFrame([(x, [x], (x, [(x,)]))], "x double, y array<double>, s struct<v:double,w:array<struct<u:double>>>")
     assert V.multiset_equal(zero(0.0), zero(-0.0)).first()["equal"] and not V.multiset_diff(zero(0.0), zero(-0.0)).count()
+    at = lambda micro: spark.sql(f"select array(timestamp'2020-01-01 00:00:00.00000{micro}') as t, named_struct('n', timestamp_ntz'2020-01-01 00:00:00.00000{micro}') as s")
+    assert V.multiset_equal(at(1), at(1)).first()["equal"] and not V.multiset_equal(at(1), at(2)).first()["equal"] and V.multiset_diff(at(1), at(2)).count() == 2
 
 
 def plain_unmatched(v, na, nb):
