@@ -16,7 +16,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WORD_POWERS, mix, span_hash, text_slices, with_fields
 
@@ -136,13 +135,6 @@ def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") ->
     return df.mapInArrow(run, with_fields(df, (name, "string")))
 
 
-@F.pandas_udf(T.DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Likeness of two fingerprint columns, 0 to 1."""
-    read = lambda x: np.frombuffer(bytes.fromhex(x or ""), dtype=">u4")
-    return pd.Series([sketch_likeness(read(x), read(y)) for x, y in zip(a, b, strict=True)])
-
-
 def _ranged(docs: DataFrame) -> DataFrame:
     """(range, guest, place, doc_id, text): documents dealt by ranges of ids; each range also has, as a guest, the document that
     follows its last (the first one of all after the last range).  One shuffle of the texts, no global window."""
