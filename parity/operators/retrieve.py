@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,36 +73,107 @@ def keyword_topk(src: DataFrame, tgt: DataFrame, k: int) -> DataFrame:
     return hits.join(a, "a").select("src_id", "tgt_id", "score", "rank")
 
 
+CELL, MOST_CELLS, PROBES = 2048, 256, 512  # items of a cell on average; pivots, and items that queries are tried against first, at most
+SLACK = 1e-6  # of an angle, for rounding
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_list()).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _cells(rows: pd.DataFrame, pivots: dict[int, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each row the nearest pivot of its length (-1: there is none), and the angles to all of them."""
+    cell, angles = np.full(len(rows), -1), [np.zeros(0)] * len(rows)
+    sizes = rows["vector"].map(len).to_numpy()
+    for size in np.unique(sizes):
+        if (at := np.flatnonzero(sizes == size)).size and size in pivots:
+            a = np.arccos(np.clip(_unit(rows["vector"].iloc[at]) @ pivots[size].T, -1, 1))
+            cell[at] = a.argmin(axis=1)
+            for i, row in zip(at, a, strict=True):
+                angles[i] = row
+    return cell, angles
+
+
+class _Grid:
+    """The items in cells around pivots, and which cells each query must visit."""
+
+    def __init__(self, queries: DataFrame, items: DataFrame, k: int, partition_col: str | None) -> None:
+        fine = F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+        kind = [F.size("vector").cast("string"), *([F.coalesce(F.col(partition_col).cast("string"), F.lit("null"))] if partition_col else [])]
+        plain = lambda df: df.filter(fine).select(F.concat_ws("|", *kind).alias("p"), "id", F.col("vector").cast("array<double>").alias("vector"))
+        self.queries, self.items = plain(queries), plain(items)
+        n = self.items.count()
+        self.blocks = max(1, -(-self.queries.count() // BLOCK))
+        probes = self.items.orderBy(F.xxhash64("id"), "id").limit(PROBES).toPandas()
+        chosen = probes.head(min(MOST_CELLS, max(1, n // CELL)))
+        pivots = {size: _unit(g) for size, g in chosen["vector"].groupby(chosen["vector"].map(len))} if len(chosen) else {}
+        tried = {p: (g["id"].to_numpy(), _unit(g["vector"])) for p, g in probes.groupby("p")} if len(probes) else {}
+        kinds = {"q": dict(self.queries.dtypes)["id"], "i": dict(self.items.dtypes)["id"]}
+
+        def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    cell, angles = _cells(b, pivots)
+                    yield b.assign(cell=cell, angle=[a[c] if c >= 0 else 0.0 for c, a in zip(cell, angles, strict=True)])
+
+        def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """A query, how far its k-th best can be, and its angles to the pivots."""
+            for b in batches:
+                if not len(b):
+                    continue
+                _, angles = _cells(b, pivots)
+                far = np.full(len(b), np.pi)
+                for i, (p, query, vector) in enumerate(zip(b["p"], b["id"], b["vector"], strict=True)):
+                    if p in tried:
+                        ids, units = tried[p]
+                        near = np.sort(units[ids != query] @ _unit(pd.Series([vector]))[0])[::-1]
+                        if len(near) >= k:
+                            far[i] = np.arccos(np.clip(near[k - 1], -1, 1)) + SLACK
+                yield b.assign(far=far, angles=[a.tolist() for a in angles])
+
+        self.placed = self.items.mapInPandas(placed, f"p string, id {kinds['i']}, vector array<double>, cell int, angle double")
+        asked = self.queries.mapInPandas(wanted, f"p string, id {kinds['q']}, vector array<double>, far double, angles array<double>")
+        self.stats = self.placed.groupBy("p", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n"))
+        angle = F.coalesce(F.get("angles", F.col("cell")), F.lit(0.0))
+        least = F.when(F.col("cell") < 0, 0.0).otherwise(F.greatest(F.lit(0.0), angle - F.col("high"), F.col("low") - angle))
+        self.pairs = asked.join(self.stats, "p").withColumn("visit", least <= F.col("far") + SLACK)
+
+
+def cosine_cells(queries: DataFrame, items: DataFrame, k: int, partition_col: str | None = None) -> DataFrame:
+    """(query_id, cells, visited): how many cells hold items of a query's kind, and how many of them cosine_topk looks into."""
+    return _Grid(queries, items, k, partition_col).pairs.groupBy(F.col("id").alias("query_id")).agg(F.count("*").alias("cells"), F.count_if("visit").alias("visited"))
+
+
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, partition_col: str | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): the k nearest items by cosine, within the query's partition if one is named.
 
     queries, items: (id, vector[, partition_col]); ids are of any type that sorts.  score = round((1 - d / 2) * 100, 2) clipped to 0..100 for the distance d = 1 - cosine.
     A query's own id is no item.  Rows whose vector is null, empty or holds null or non-finite numbers take no part, nor do items of another length
-    than the query.  Queries and items meet in a grid of bounded blocks; each block keeps its k best, so little is
-    shuffled for the merge.
+    than the query.
+
+    Exact, but not every item is looked at: items lie in cells around pivots (at most 256 of a sample by a hash of the id), of which the least and greatest
+    angle to the pivot are known.  A query is first tried against at most 512 items; the k-th best of them bounds how far its answers can be,
+    and by the triangle inequality of angles a cell that lies beyond is skipped (``cosine_cells`` tells how many).  What is left meets
+    in bounded blocks; each keeps its k best, so little is shuffled for the merge.
     """
-    fine = F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    queries, items = queries.filter(fine), items.filter(fine)
-    n, q = items.count(), queries.count()
-    chunks, blocks = max(1, -(-n // CHUNK), min(8, -(-n // 512))), max(1, -(-q // BLOCK))
-    kind = [F.size("vector").cast("string"), *([F.coalesce(F.col(partition_col).cast("string"), F.lit("null"))] if partition_col else [])]
-    part = F.concat_ws("|", *kind)
-    left = items.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("long").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), part.alias("p"), "id", "vector")
-    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), part.alias("p"), "id", "vector")
+    grid = _Grid(queries, items, k, partition_col)
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("int")
+    left = grid.placed.join(F.broadcast(grid.stats.select("p", "cell", "n")), ["p", "cell"]).select("p", "cell", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(grid.blocks - 1))).alias("b"), "id", "vector")
+    right = grid.pairs.filter("visit").select("p", "cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c"), F.pmod(F.xxhash64("id"), F.lit(grid.blocks)).cast("int").alias("b"), "id", "vector")
+    right = right.toDF(*right.columns)  # columns of its own: both sides come from the cells
 
     def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out, x = [], x.sort_values("id")
         if len(x) and len(y):
-            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            sims = unit(np.stack(y["vector"]).astype(float)) @ unit(np.stack(x["vector"]).astype(float)).T
-            ids = x["id"].to_numpy()
+            sims, ids = _unit(y["vector"]) @ _unit(x["vector"]).T, x["id"].to_numpy()
             for i, query in enumerate(y["id"]):
                 best = np.argsort(-sims[i], kind="stable")[: k + 1]
                 best = best[ids[best] != query][:k]
                 out += [(query, ids[j], sims[i, j]) for j in best]
         return pd.DataFrame(out, columns=["query_id", "item_id", "cosine"]).astype({"cosine": "float64"})
 
-    keys = ["c", "b", "p"]
+    keys = ["p", "cell", "c", "b"]
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, f"query_id {dict(queries.dtypes)['id']}, item_id {dict(items.dtypes)['id']}, cosine double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round((1 - (1 - F.col("cosine")) / 2) * 100, 2)))

@@ -234,3 +234,25 @@ def test_cosine_ids_of_any_type(spark):
     df = spark.createDataFrame(rows, "id string, vector array<double>")
     got = {(r["query_id"], r["rank"]): r["item_id"] for r in Q.cosine_topk(df.filter("id in ('a', 'c')"), df, 2).collect()}
     assert got == {("a", 1): "d", ("a", 2): "b", ("c", 1): "b", ("c", 2): "a"}
+
+
+def test_cosine_skips_cells_but_no_item(spark, monkeypatch):
+    """Vectors in four far directions: the same rows as by all products, with cells skipped."""
+    monkeypatch.setattr(Q, "CELL", 20)
+    rng = np.random.default_rng(3)
+    centres = np.eye(6)[:4]
+    rows = [(int(i), (centres[i % 4] + 0.05 * rng.normal(size=6)).tolist(), "xy"[i % 2]) for i in range(300)] + [(900, [0.0] * 6, "x"), (901, None, "x"), (902, [1.0, 2.0], "x"), (903, [float("nan")] * 6, "y"), (904, [2.0, 1.0], "x")]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label string")
+    asked = df.filter("id % 7 = 0 or id = 902")
+    for col in (None, "label"):
+        got = {(r["query_id"], r["rank"]): r["item_id"] for r in Q.cosine_topk(asked, df, 4, col).collect()}
+        want = {}
+        fine = [(i, np.array(v), p) for i, v, p in rows if v and np.isfinite(v).all()]
+        unit = lambda v: v / max(np.linalg.norm(v), 1e-300)
+        for q, v, p in fine:
+            if q % 7 == 0 or q == 902:
+                near = sorted((-float(unit(v) @ unit(w)), i) for i, w, o in fine if i != q and len(w) == len(v) and (col is None or o == p))
+                want |= {(q, n + 1): i for n, (_, i) in enumerate(near[:4])}
+        assert got == want
+        visits = Q.cosine_cells(asked, df, 4, col).agg(F.sum("cells"), F.sum("visited")).first()
+        assert visits[1] < 0.6 * visits[0]
