@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, with_fields, written
+from .common import mix, parts, with_fields, written
 from .sequences import chain_keys, chained
 
 SPREAD = 1.5  # places a key has in each level of the hash
 MOST_LEVELS = 200
 PIECE_BYTES = 1 << 20
+SHARD = 1 << 20  # nodes of a shard, about
 _STEP = 0x9E3779B97F4A7C15
 _ZERO = np.zeros(1, np.uint64)
 ROOT = tuple(int(k[0]) for k in chain_keys(_ZERO, _ZERO, np.zeros(1, np.int64)))
@@ -170,8 +171,8 @@ def _fragment_sums(fragments: DataFrame) -> DataFrame:
     return now.select("t1", "t2", "leaves", "saved")
 
 
-def _subtree_sums(nodes: DataFrame) -> DataFrame:
-    """nodes with leaves and saved summed over their subtrees."""
+def _subtree_sums(nodes: DataFrame, many: int) -> DataFrame:
+    """nodes (``many``) with leaves and saved summed over their subtrees, in as many shards as keep one to about a million nodes."""
     schema = with_fields(nodes, ("part", "int"), ("t1", "long"), ("t2", "long"), ("own_leaves", "long"), ("own_saved", "long"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +189,8 @@ def _subtree_sums(nodes: DataFrame) -> DataFrame:
             rows = rows.append_column(name, col)
         yield from rows.to_batches()
 
-    by = ["conv_id", "depth"]
-    laid = written(nodes.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(first, schema), "shards")
+    by, shards = ["conv_id", "depth"], max(parts(nodes.sparkSession), -(-many // SHARD))
+    laid = written(nodes.repartitionByRange(shards, *by).sortWithinPartitions(*by).mapInArrow(first, schema), "shards")
     tops = laid.filter("k1 = t1 and k2 = t2").select("t1", "t2", "p1", "p2", "leaves", "saved")
     above = laid.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("t1").alias("j1"), F.col("t2").alias("j2"))
     tops = written(tops.join(above, ["p1", "p2"], "left"), "tops")
@@ -226,11 +227,12 @@ def prefix_trie(rows: DataFrame, members: DataFrame) -> DataFrame:
     root = root.select(F.lit(ROOT[0]).alias("k1"), F.lit(ROOT[1]).alias("k2"), none.alias("p1"), none.alias("p2"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("chars"), "conv_id", "n_convs")
     found = steps.groupBy("k1", "k2").agg(*(F.min(c).alias(c) for c in ("p1", "p2", "depth", "chars", "conv_id")), F.count("*").alias("n_convs"))
     nodes = written(found.unionByName(root), "nodes")
+    many = nodes.count()
     kids = nodes.filter("p1 is not null").groupBy("p1", "p2").agg(F.count("*").alias("n_children")).toDF("k1", "k2", "n_children")
     above = nodes.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
     nodes = nodes.join(kids, ["k1", "k2"], "left").join(above, ["p1", "p2"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     nodes = nodes.withColumns({"leaves": (F.col("n_children") == 0).cast("long"), "saved": (F.col("n_convs") - 1) * F.col("chars")}).drop("chars")
-    summed = _subtree_sums(nodes)
+    summed = _subtree_sums(nodes, many)
     ends = steps.filter("end").select("k1", "k2", F.col("conv_id").alias("id"))
     ends = _ends(ends.unionByName(members.filter("length = 0").select(F.lit(ROOT[0]).alias("k1"), F.lit(ROOT[1]).alias("k2"), F.col("conv_id").alias("id"))))
     done = summed.join(ends, ["k1", "k2"], "left")
