@@ -4,6 +4,7 @@ import json
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -453,6 +454,45 @@ def test_topk(spark):
     assert topk.maxscore_topk(v.filter("false"), v.filter("false"), 5).count() == 0
 
 
+def plain_topk(ids, x, asked, queries, k):
+    scores = queries.astype(object) @ x.T.astype(object)
+    return [(int(q), int(ids[i]), int(s[i])) for q, s in zip(asked, scores, strict=True) for i in sorted(np.flatnonzero(ids != q), key=lambda i: (-s[i], ids[i]))[:k]]
+
+
+@pytest.mark.parametrize("rows", [16, topk.ROWS])
+@pytest.mark.parametrize("kind", ["sphere", "clusters", "ties", "same", "beyond float32", "beyond double", "negative", "copies"])
+def test_topk_of_a_shard(kind, rows, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", rows)
+    rng = np.random.default_rng(8)
+    n, d = 2500, 24
+    size = {"beyond float32": 1e5, "beyond double": 2.0**26, "negative": 50}.get(kind, 32)
+    x = rng.normal(0, size, (n, d))
+    if kind == "clusters":
+        x = x[rng.integers(0, 9, n)] + rng.normal(0, 1, (n, d))
+    x = np.floor({"ties": np.sign(x), "negative": -np.abs(x), "copies": np.repeat(x[:50], 50, axis=0), "same": x[:1] + 0 * x}.get(kind, x)).astype(np.int64)
+    ids = rng.permutation(n) // (2 if kind == "copies" else 1)
+    asked = np.concatenate([np.unique(ids[:40]), [-1, n + 7]])
+    queries = x[: len(asked)]
+    for rows, width in ((0, d), (3, d), (3, 0), (n, 0), (n, d)):
+        part = ids[:rows], x[:rows, :width], asked, queries[:, :width], 5
+        assert sorted(zip(*(c.tolist() for c in topk.shard_topk(*part)), strict=True)) == sorted(plain_topk(*part))
+
+
+def test_topk_costs_what_a_product_does():
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (8192, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    ids = np.arange(len(x))
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    plain = min(seconds(lambda: np.partition(x[::16].astype(np.float32) @ x.T.astype(np.float32), len(x) - 5, axis=1)) for _ in range(3))
+    assert min(seconds(lambda: topk.shard_topk(ids, x, ids[::16], x[::16], 5)) for _ in range(3)) < 20 * plain
+
+
 @pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
 def test_stages(stage, docs, spark, sf_dir):
     full = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("kept"), F.lit("x").alias("score"))
