@@ -5,11 +5,13 @@ hash and a set's group counts are its point; the summed coordinate minima of two
 above, and so do the minima with the upper corner of a node's box.
 
 Plain count vectors do not part large sets (their coordinates are all near n / GROUPS), so blocks come first: two sets
-that link share a shingle among the n - ceil(t n) + 1 smallest hashes of each, their prefix.  A prefix shingle that no
+that link share a shingle among the n - ceil(t n) + 1 smallest hashes of each, their prefix.  This holds for any order of all
+shingles, so those that very many documents share (a common line) count as the largest hashes: else each is a block whose sets have little else in
+common, which grows with the corpus and, once its nodes melt, ties all of them into one family.  A prefix shingle that no
 other set's prefix holds adds nothing to any overlap, so the ``LOW`` first groups become one coordinate that counts only
-shingles met in a block; a set whose prefix ends inside them sends all of them to the blocks, so that what two
-sets share there is met by both.  A small block gives its few pairs; in a
-block of any size a one-pass insertion into leaf nodes joins what the bound allows.  Sets that the bound
+shingles met in a larger block; a set whose prefix ends inside them sends all of them to the blocks, so that what two
+sets share there is met by both.  A small block gives its few pairs, and how many small blocks of the ``LOW`` groups a pair shares is counted and added
+to its bound; in a larger block a one-pass insertion into leaf nodes joins what the bound allows to those that share no small block.  Sets that the bound
 connects form families; a family is packed in leaves of bounded size, leaf pairs whose boxes cannot hold a link are
 dropped, and the rest are verified exactly, skipping pairs that are already connected.
 
@@ -35,14 +37,39 @@ NODE_ROWS = 32  # members of a node
 OPEN_NODES = 4096  # nodes held open in a block; beyond, they melt into one whose corner stands for its members, and nothing is lost
 LEAF_ROWS, LEAF_SHINGLES = 1024, 1 << 21
 SEEN_SETS = 200_000  # signatures kept per task to send a repeated set once
+COMMON_TEXTS = 256  # a shingle of about so many different texts or more is put last
+COMMON_PART = 32  # they are looked for in one text of so many; which are found changes the blocks, never the links
+COMMON_KEYS = 1 << 17  # the most that are put last (the commonest), which bounds what each task holds
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
+class Late:
+    """Shingles that are put last: each becomes one of the largest 64-bit numbers, the commonest the very last."""
+
+    def __init__(self, commonest_first: np.ndarray) -> None:
+        order = np.argsort(commonest_first)
+        self.keys, self.codes = commonest_first[order], ~order.astype(np.uint64)
+        self.some = np.zeros(1 << 20, dtype=bool)
+        self.some[self.keys >> np.uint64(44)] = True
+
+    def renamed(self, grams: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.some[grams >> np.uint64(44)])
+        if not len(at):
+            return grams
+        nth = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
+        same = self.keys[nth] == grams[at]
+        grams[at[same]] = self.codes[nth[same]]
+        return grams
+
+
+NONE_LATE = Late(np.zeros(0, np.uint64))
+
+
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int, late: Late = NONE_LATE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text with fewer than k words has its whole sequence as one."""
     buf = LOWER[buf]
     starts, ends, first = word_spans(buf, offs)
     words, _ = word_hashes(buf, starts, ends)
-    grams = window_hashes(words, k)
+    grams = late.renamed(window_hashes(words, k))
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= k:
@@ -59,7 +86,11 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Counts by the upper bits; shingles that were put last are dealt to the groups from LOW on."""
+    groups = (s >> np.uint64(58)).astype(np.int64)
+    first = int(np.searchsorted(s, ~np.uint64(COMMON_KEYS)))
+    groups[first:] = LOW + (~s[first:]).astype(np.int64) % (GROUPS - LOW)
+    return np.bincount(groups, minlength=GROUPS).astype(np.int32)
 
 
 def prefix(s: np.ndarray, percent: int) -> np.ndarray:
@@ -68,7 +99,12 @@ def prefix(s: np.ndarray, percent: int) -> np.ndarray:
 
 def blocked(s: np.ndarray, percent: int) -> np.ndarray:
     """The shingles that a set sends to the blocks: its prefix and all of the LOW first groups."""
-    return s[: max(len(prefix(s, percent)), int(np.searchsorted(s, np.uint64(LOW << 58))))]
+    return s[: max(len(prefix(s, percent)), in_low(s))]
+
+
+def in_low(s: np.ndarray) -> int:
+    """How many shingles the LOW first groups hold."""
+    return int(np.searchsorted(s, np.uint64(LOW << 58)))
 
 
 def least_overlap(total: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -82,32 +118,44 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _texts(docs: DataFrame, run: Callable[[pa.RecordBatch, int, int, list[np.ndarray]], pa.RecordBatch | None], schema: str, k: int) -> DataFrame:
+def _texts(docs: DataFrame, run: Callable[[pa.RecordBatch, int, int, list[np.ndarray]], pa.RecordBatch | None], schema: str, k: int, late: Late = NONE_LATE) -> DataFrame:
     def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offs in text_slices(batch.column("text")):
-                out = run(batch, a, b, shingle_sets(buf, offs, k))
+                out = run(batch, a, b, shingle_sets(buf, offs, k, late))
                 if out is not None:
                     yield out
 
     return docs.mapInArrow(all_batches, schema)
 
 
-def _described(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, s1, s2, point) of every row: the point without the LOW first groups."""
+def _late(docs: DataFrame, k: int) -> Late:
+    """The shingles to put last."""
+
+    def flat(batch: pa.RecordBatch, a: int, b: int, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets)))], names=["shingle"])
+
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(COMMON_PART)) == 0).distinct()
+    many = _texts(some, flat, "shingle long", k).groupBy("shingle").count().filter(F.col("count") >= COMMON_TEXTS // COMMON_PART)
+    found = many.orderBy(F.desc("count"), "shingle").limit(COMMON_KEYS).select("shingle").toArrow()
+    return Late(found.column("shingle").to_numpy().view(np.uint64))
+
+
+def _described(docs: DataFrame, k: int, late: Late) -> DataFrame:
+    """(doc_id, n, s1, s2, low, point) of every row: the point without the LOW first groups, and how many shingles those hold."""
 
     def run(batch: pa.RecordBatch, a: int, b: int, sets: list[np.ndarray]) -> pa.RecordBatch:
         sigs = [signature(s) for s in sets]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in sigs], pa.int64()),
-             pa.array([y for _, y in sigs], pa.int64()), pa.array([point(s)[LOW:].tobytes() for s in sets], pa.binary())],
-            names=["doc_id", "n", "s1", "s2", "point"],
+             pa.array([y for _, y in sigs], pa.int64()), pa.array([in_low(s) for s in sets], pa.int64()), pa.array([point(s)[LOW:].tobytes() for s in sets], pa.binary())],
+            names=["doc_id", "n", "s1", "s2", "low", "point"],
         )
 
-    return _texts(docs, run, "doc_id long, n long, s1 long, s2 long, point binary", k)
+    return _texts(docs, run, "doc_id long, n long, s1 long, s2 long, low long, point binary", k, late)
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, percent: int, late: Late) -> DataFrame:
     """(shingle, n, s1): each set's blocked hashes; a task sends a repeated set once."""
 
     def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +163,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             for _, _, buf, offs in text_slices(batch.column("text")):
                 rows, sizes, ids = [], [], []
-                for s in shingle_sets(buf, offs, k):
+                for s in shingle_sets(buf, offs, k, late):
                     sid = signature(s)
                     if not len(s) or sid in seen:
                         continue
@@ -133,8 +181,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _blocks(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Rows (shingle, a, b, met): a pair of a small block (shingle null), a member a of a larger one (b null), or for a set
-    a how many of its shingles in the LOW first groups were met in blocks (both null).
+    """Rows (shingle, a, b, met): a pair of small blocks and how many of these lie in the LOW first groups (shingle null), a member a of a larger
+    block (b null), or for a set a how many of its shingles in the LOW first groups were met in larger blocks (both null).
 
     Prefixes lie sorted by (shingle, n, s1) in their partition; a block is a run and is never held whole.
     """
@@ -167,7 +215,8 @@ def _blocks(prefixes: DataFrame, percent: int) -> DataFrame:
                 held = (key[cut:], n[cut:], sid[cut:])
             large, tail = (int(key[-1]), int(sid[-1])) if not last and big[-1] else (None, None)
             of_big = np.repeat(big, size)[:cut]
-            left, right = [], []
+            left, right, of_low = [], [], []
+            lowest = key[:cut].view(np.uint64) < np.uint64(LOW << 58)
             small = np.flatnonzero(~of_big)
             for d in range(1, SMALL_BLOCK):
                 i = small[small + d < cut]
@@ -177,17 +226,20 @@ def _blocks(prefixes: DataFrame, percent: int) -> DataFrame:
                     break
                 left.append(np.minimum(sid[i], sid[i + d]))
                 right.append(np.maximum(sid[i], sid[i + d]))
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.zeros((0, 2), np.int64)
+                of_low.append(lowest[i])
+            pairs, shared = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+            if left:
+                pairs, nth = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0, return_inverse=True)
+                shared = np.bincount(nth.reshape(-1), np.concatenate(of_low), minlength=len(pairs)).astype(np.int64)
             at = np.flatnonzero(of_big)
             m = len(pairs)
             shingle = pa.array(np.concatenate([np.zeros(m, np.int64), key[at]]), mask=np.arange(m + len(at)) < m)
             other = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(at), np.int64)]), mask=np.arange(m + len(at)) >= m)
-            low = np.flatnonzero((key[:cut].view(np.uint64) < np.uint64(LOW << 58)) & (of_big | (np.repeat(size, size)[:cut] > 1)))
-            who, met = np.unique(sid[low], return_counts=True)
+            who, met = np.unique(sid[:cut][lowest & of_big], return_counts=True)
             nothing = pa.nulls(len(who), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([shingle, nothing]), pa.array(np.concatenate([pairs[:, 0], sid[at], who])), pa.concat_arrays([other, nothing]),
-                 pa.concat_arrays([pa.nulls(m + len(at), pa.int64()), pa.array(met.astype(np.int64))])],
+                 pa.concat_arrays([pa.array(shared), pa.nulls(len(at), pa.int64()), pa.array(met.astype(np.int64))])],
                 names=["shingle", "a", "b", "met"],
             )
 
@@ -210,14 +262,14 @@ def _points_of(batch: pa.RecordBatch, low: str, rest: str) -> np.ndarray:
 
 
 def _bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose summed minima reach the least overlap."""
-    one = points.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"), F.col("point").alias("pa"))
-    two = points.select(F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"), F.col("point").alias("pb"))
+    """The pairs whose summed minima, with what they share in small blocks, reach the least overlap."""
+    one = points.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("large").alias("la"), F.col("point").alias("pa"))
+    two = points.select(F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("large").alias("lb"), F.col("point").alias("pb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
-            bound = np.minimum(_points_of(batch, "la", "pa"), _points_of(batch, "lb", "pb")).sum(axis=1)
+            bound = np.minimum(_points_of(batch, "la", "pa"), _points_of(batch, "lb", "pb")).sum(axis=1) + np.asarray(batch.column("shared"))
             yield batch.filter(pa.array(bound >= least_overlap(total, percent))).select(["a", "b"])
 
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
@@ -291,14 +343,14 @@ class Boxes:
 
 
 def _block_edges(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) inside larger blocks: what the bound connects there is connected by them."""
+    """Edges (a, b) inside larger blocks: of sets that share no small block, what the bound connects there is connected by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, boxes = None, Boxes(percent)
         given: set[tuple[int, int]] = set()
         for batch in batches:
             edges: set[tuple[int, int]] = set()
-            pts = _points_of(batch, "low", "point")
+            pts = _points_of(batch, "large", "point")
             for i, (k, sid, n) in enumerate(zip(*(np.asarray(batch.column(c)).tolist() for c in ("shingle", "s1", "n")), strict=True)):
                 if k != key:
                     key, boxes = k, Boxes(percent)
@@ -310,7 +362,7 @@ def _block_edges(members: DataFrame, points: DataFrame, percent: int) -> DataFra
             pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    laid = members.join(points, "s1").select("shingle", "n", "s1", "low", "point").repartition("shingle").sortWithinPartitions("shingle", "n", "s1")
+    laid = members.join(points, "s1").select("shingle", "n", "s1", "large", "point").repartition("shingle").sortWithinPartitions("shingle", "n", "s1")
     return laid.mapInArrow(run, "a long, b long")
 
 
@@ -419,7 +471,7 @@ def link_rows(rep: list[int], side: np.ndarray, sets: list[np.ndarray], percent:
     return out
 
 
-def _verified(docs: DataFrame, leaves: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, leaves: DataFrame, pairs: DataFrame, k: int, percent: int, late: Late) -> DataFrame:
     """Links (a, b) between representatives."""
     flat = pairs.select(F.col("one").alias("leaf"), F.lit(0).alias("side"), "one", "two").unionByName(pairs.filter("one <> two").select(F.col("two").alias("leaf"), F.lit(1).alias("side"), "one", "two"))
     tasks = leaves.select("rep", "leaf").join(flat, "leaf").groupBy("rep").agg(F.collect_list(F.struct("one", "two", "side")).alias("tasks"))
@@ -428,7 +480,7 @@ def _verified(docs: DataFrame, leaves: DataFrame, pairs: DataFrame, k: int, perc
     def sets(batch: pa.RecordBatch, a: int, b: int, found: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), batch.column("tasks").slice(a, b - a), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "tasks", "elements"])
 
-    rows = _texts(texts, sets, "rep long, tasks array<struct<one:long,two:long,side:int>>, elements binary", k)
+    rows = _texts(texts, sets, "rep long, tasks array<struct<one:long,two:long,side:int>>, elements binary", k, late)
     rows = rows.select("rep", "elements", F.explode("tasks").alias("t")).select("t.one", "t.two", "t.side", "rep", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,17 +519,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     of either reach both; an empty table gives no rows.  No link is lost at any size of block or family.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = written(_described(docs, k), "described")
-    blocks = written(_blocks(_prefixes(docs, k, percent), percent), "blocks")
-    met = blocks.filter("met is not null").groupBy("a").agg(F.sum("met").alias("met")).withColumnRenamed("a", "s1")
-    sets = info.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"))
-    sets = written(sets.join(met, "s1", "left").select("s1", "s2", "n", "rep", F.coalesce("met", F.lit(0)).alias("low"), "point"), "sets")
-    points = sets.select("s1", "n", "low", "point")
-    pairs = _bounded_pairs(blocks.filter("b is not null").select("a", "b").distinct(), points, percent)
+    late = _late(docs, k)
+    info = written(_described(docs, k, late), "described")
+    blocks = written(_blocks(_prefixes(docs, k, percent, late), percent), "blocks")
+    met = blocks.filter("b is null and met is not null").groupBy("a").agg(F.sum("met").alias("met")).withColumnRenamed("a", "s1")
+    sets = info.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("point").alias("point"))
+    sets = written(sets.join(met, "s1", "left").select("s1", "s2", "n", "rep", "low", F.coalesce("met", F.lit(0)).alias("large"), "point"), "sets")
+    points = sets.select("s1", "n", "large", "point")
+    pairs = _bounded_pairs(blocks.filter("b is not null").groupBy("a", "b").agg(F.sum("met").alias("shared")), points, percent)
     inside = _contracted(_block_edges(blocks.filter("shingle is not null").select("shingle", F.col("a").alias("s1")), points, percent))
     families = components(pairs.unionByName(inside), "families").select(F.col("id").alias("s1"), F.col("component").alias("family"))
     leaves = written(_leaves(sets.join(families, "s1")), "leaves")
-    found = written(_verified(docs, leaves, _leaf_pairs(leaves, percent), k, percent), "links")
+    found = written(_verified(docs, leaves, _leaf_pairs(leaves, percent), k, percent, late), "links")
     reached = components(found, "linked").select(F.col("id").alias("rep"), "component")
     classes = sets.select("s1", "s2", "n", "rep").join(reached, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = info.join(classes, ["s1", "s2", "n"], "left")

@@ -152,6 +152,42 @@ def test_jaccard_over_many_leaves(monkeypatch, spark):
     assert by_id(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")), "component_id") == of
 
 
+def test_jaccard_of_many_texts_that_share_a_line(monkeypatch, spark):
+    """A line in every text is put last and ties nothing together; links are those of all pairs, whichever shingles go last."""
+    rng = np.random.default_rng(5)
+    line, words = "this line is in every one of the texts", [f"w{i}" for i in range(5000)]
+    texts = [f"{line} {' '.join(rng.choice(words, 40))}" for _ in range(600)]
+    texts += [f"{t} more" for t in texts[::10]] + [f"{line} of {i}" for i in range(20)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    of = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                of = [of[i] if c == of[j] else c for c in of] if of[i] < of[j] else [of[j] if c == of[i] else c for c in of]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "OPEN_NODES", 64)
+    seen = []
+    monkeypatch.setattr(jaccard, "_leaf_pairs", lambda leaves, percent, f=jaccard._leaf_pairs: (seen.append(leaves), f(leaves, percent))[1])
+    for least in (1 << 20, 64, 1):
+        monkeypatch.setattr(jaccard, "COMMON_TEXTS", least)
+        monkeypatch.setattr(jaccard, "COMMON_PART", 1)
+        assert by_id(jaccard.jaccard_join(docs), "component_id") == dict(enumerate(of))
+    assert seen[1].groupBy("family").count().agg(F.max("count")).first()[0] <= 40  # without the order, and with more nodes than are held open, hundreds
+
+
+def test_a_pair_that_shares_one_small_block_is_no_family(monkeypatch, spark):
+    """Long texts whose shingles all occur in some other text are parted by what a pair itself shares."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(5000)]
+    one, two = (" ".join(rng.choice(words, 3000)) for _ in range(2))
+    both = "these words are in both of them"
+    rows = [(1, f"{one} {both}"), (2, f"{one} {both} end"), (3, f"{two} {both}"), (4, f"{two} {both} end")]
+    seen = []
+    monkeypatch.setattr(jaccard, "_leaf_pairs", lambda leaves, percent, f=jaccard._leaf_pairs: (seen.append(leaves), f(leaves, percent))[1])
+    assert by_id(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")), "component_id") == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert sorted(r["count"] for r in seen[0].groupBy("family").count().collect()) == [2, 2]
+
+
 def test_open_nodes_melt(monkeypatch):
     monkeypatch.setattr(jaccard, "OPEN_NODES", 3)
     boxes, rng = jaccard.Boxes(75), np.random.default_rng(2)
