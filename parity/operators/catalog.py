@@ -109,7 +109,8 @@ def type_histogram(columns: DataFrame) -> DataFrame:
     """(type_name, n) for every listed type, zeros included, then the totals of columns and tables."""
     spark = columns.sparkSession
     types = spark.createDataFrame([(t,) for t in LISTED], "type_name string")
-    per = types.join(columns, "type_name", "left").groupBy("type_name").agg(F.count("col").alias("n"))
+    counted = columns.groupBy("type_name").agg(F.count("col").alias("n"))  # before the join: a type may have most of all columns
+    per = types.join(counted, "type_name", "left").select("type_name", F.coalesce("n", F.lit(0)).alias("n"))
     totals = columns.agg(F.count("*").alias("c"), F.countDistinct("tbl").alias("t"))
     return per.unionAll(totals.select(F.lit("columns"), "c")).unionAll(totals.select(F.lit("tables"), "t"))
 

@@ -145,6 +145,16 @@ def test_catalog(spark):
     assert near == {"customer"}
 
 
+def test_type_histogram_counts_before_it_joins(spark):
+    """No row of the columns enters the join with the listed types, however many have one type; unlisted types and null columns add nothing."""
+    columns = spark.range(1000).select(F.when(F.col("id") < 900, "INT").when(F.col("id") < 990, "TEXT").when(F.col("id") < 995, "ODD").alias("type_name"), (F.col("id") % 3).cast("string").alias("tbl"), F.when(F.col("id") % 10 > 0, F.col("id")).alias("col"))
+    df = C.type_histogram(columns)
+    hist = {r["type_name"]: r["n"] for r in df.collect()}
+    assert {k: n for k, n in hist.items() if n} == {"INT": 810, "TEXT": 81, "columns": 1000, "tables": 3} and len(hist) == len(C.LISTED) + 2
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate [type_name")
+
+
 def test_null_order_by_dialect(spark):
     df = spark.createDataFrame([(1,), (None,), (2,)], "x int")
     run = lambda way, d: [r["x"] for r in df.orderBy(*R.order_by_dialect([("x", way)], d)).collect()]
