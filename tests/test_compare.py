@@ -320,3 +320,13 @@ def test_shuffled_rows_are_equal_and_a_changed_cell_is_found(spark, rows):
 def test_dates_in_tables(spark):
     df = spark.createDataFrame([(dt.date(2020, 1, 1),)], "d date")
     assert one(V.multiset_equal(df, df))["equal"]
+
+
+def test_two_numbers_moved_for_good_meet_no_other_order(spark, tmp_path):
+    """A customer's order of a hundredth more than another one: the moved one must not be taken for it."""
+    from parity.plans.registry import QUERIES
+
+    rows = [(11, 7, "F", 100.0), (5, 7, "F", 101.0), (2, 7, "F", 50.0), (22, 8, "O", 200.0), (33, 8, "O", 202.0), (4, 9, "P", 10.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in QUERIES["v4_two_numbers"](spark, str(tmp_path)).collect()}
+    assert got >= {("F", 2, 1), ("O", 2, 2)}
